@@ -28,11 +28,13 @@ def _as_rows(one_row: DataFrame, rows: list[Column]) -> DataFrame:
     return one_row.select(F.inline(F.array(*rows)))
 
 
-def _spine(df: DataFrame, name: str, values: list) -> DataFrame:
-    """A fixed list of values as rows with their position."""
-    rows = list(enumerate(values))
-    kind = "string" if isinstance(values[0], str) else "int"
-    return F.broadcast(df.sparkSession.createDataFrame(rows, f"position int, {name} {kind}"))
+def _on_spine(df: DataFrame, name: str, values: list) -> DataFrame:
+    """Rows for a fixed list of values, in order, with what ``df`` has for them.
+
+    ``df`` is grouped by that column, so it has few rows and is broadcast.
+    """
+    spine = df.sparkSession.range(1).select(F.posexplode(F.array(*[F.lit(v) for v in values])).alias("position", name))
+    return spine.join(F.broadcast(df), name, "left")
 
 
 # --- Whole-table profiles -------------------------------------------------
@@ -123,7 +125,7 @@ def monthly_profile(df: DataFrame, value: str = TARGET) -> DataFrame:
 def weekday_profile(df: DataFrame, value: str = TARGET) -> DataFrame:
     """Mean per day name, Monday first; a day without rows has a null mean."""
     means = df.groupBy(day_name(F.col(TIME)).alias("day_name")).agg(F.avg(value).alias("mean"))
-    return means.join(_spine(df, "day_name", DAY_NAMES), "day_name", "right").select(
+    return _on_spine(means, "day_name", DAY_NAMES).select(
         "position", "day_name", "mean"
     )
 
@@ -201,7 +203,7 @@ def category_distribution(df: DataFrame, aqi: Column | None = None) -> DataFrame
     """Rows per category in fixed order, empty categories included."""
     aqi = to_published(F.col(TARGET)) if aqi is None else aqi
     counts = df.groupBy(health_category(aqi).alias("category")).agg(F.count(F.lit(1)).alias("n"))
-    return counts.join(_spine(df, "category", HEALTH_CATEGORIES), "category", "right").select(
+    return _on_spine(counts, "category", HEALTH_CATEGORIES).select(
         "position", "category", F.coalesce("n", F.lit(0)).alias("count")
     )
 
@@ -216,7 +218,7 @@ def transition_matrix(df: DataFrame) -> DataFrame:
         .pivot("next", HEALTH_CATEGORIES)
         .count()
     )
-    return pairs.join(_spine(df, "category", HEALTH_CATEGORIES), "category", "right").select(
+    return _on_spine(pairs, "category", HEALTH_CATEGORIES).select(
         "position",
         "category",
         *[F.coalesce(F.col(f"`{c}`"), F.lit(0)).alias(slug) for c, slug in CATEGORY_COLUMNS.items()],

@@ -41,6 +41,11 @@ def dedup(batch: DataFrame, prefer: list[str] | None = None) -> DataFrame:
     )
 
 
+def not_stored(batch: DataFrame, stored: DataFrame) -> DataFrame:
+    """Rows of the batch whose (series, hour) is not stored yet."""
+    return batch.join(stored.select(KEY, TIME), [KEY, TIME], "left_anti")
+
+
 def dedup_upsert(batch: DataFrame, stored: DataFrame, prefer: list[str] | None = None) -> DataFrame:
-    """Rows of the batch whose key is not stored yet, once per key."""
-    return dedup(batch, prefer).join(stored.select(KEY, TIME), [KEY, TIME], "left_anti")
+    """The same, once per key."""
+    return not_stored(dedup(batch, prefer), stored)

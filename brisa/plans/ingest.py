@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brisa.operators.checks import in_range
 from brisa.operators.features import drop_incomplete, floor_to_hour, incremental_features
-from brisa.operators.upsert import dedup, dedup_upsert
-from brisa.schemas import READINGS_SCHEMA
-from brisa.sources.store import append_rows, read_table
+from brisa.operators.shape import last_n_rows
+from brisa.operators.upsert import dedup, not_stored
+from brisa.schemas import KEY, READINGS_SCHEMA, ROLLING, TIME
+from brisa.sources.store import DATE, append_rows, read_table
 
 REVISION = "revision"
+LOOKBACK_DAYS = 7
+LOOKBACK_ROWS = max(ROLLING.values()) - 1
 
 
 def clean_readings(raw: DataFrame) -> DataFrame:
@@ -21,6 +26,23 @@ def clean_readings(raw: DataFrame) -> DataFrame:
     return dedup(good)
 
 
+def needed_history(stored: DataFrame, fresh: DataFrame, first_day: date) -> DataFrame:
+    """The stored readings that the features of new rows can depend on.
+
+    Usually the day partitions shortly before the new rows hold enough rows of
+    every series. Only series that have fewer there are looked up further back.
+    """
+    start = F.lit(first_day - timedelta(days=LOOKBACK_DAYS))
+    first_new = fresh.groupBy(KEY).agg(F.min(TIME).alias("_first_new"))
+    recent = stored.where(F.col(DATE) >= start)
+    found = recent.join(first_new, KEY).where(F.col(TIME) < F.col("_first_new")).groupBy(KEY).count()
+    short = first_new.join(found.where(F.col("count") >= LOOKBACK_ROWS), KEY, "left_anti").select(KEY)
+    earlier = stored.where(F.col(DATE) < start)
+    if earlier.isEmpty() or short.isEmpty():
+        return recent
+    return recent.unionByName(last_n_rows(earlier.join(short, KEY, "left_semi"), LOOKBACK_ROWS))
+
+
 def ingest_batch(raw: DataFrame, path: str, revision: int) -> None:
     """Add a batch of raw readings to the tables under ``path``.
 
@@ -28,13 +50,18 @@ def ingest_batch(raw: DataFrame, path: str, revision: int) -> None:
     repeat finds the readings missing and writes the same features again, which
     ``current_features`` sees as the same revision of the same key.
     """
-    spark = raw.sparkSession
-    stored = read_table(spark, f"{path}/readings", READINGS_SCHEMA).drop("date")
-    fresh = dedup_upsert(clean_readings(raw), stored).persist()
-    features = incremental_features(stored, fresh).withColumn(REVISION, F.lit(revision).cast("bigint"))
-    append_rows(features, f"{path}/features")
-    append_rows(fresh, f"{path}/readings")
-    fresh.unpersist()
+    clean = clean_readings(raw).persist()
+    days = clean.agg(F.min(F.to_date(TIME)).alias("first"), F.max(F.to_date(TIME)).alias("last")).first()
+    if days["first"] is not None:
+        stored = read_table(raw.sparkSession, f"{path}/readings", READINGS_SCHEMA)
+        nearby = stored.where(F.col(DATE).between(F.lit(days["first"]), F.lit(days["last"])))
+        fresh = not_stored(clean, nearby).persist()
+        history = needed_history(stored, fresh, days["first"]).drop(DATE)
+        features = incremental_features(history, fresh).withColumn(REVISION, F.lit(revision).cast("bigint"))
+        append_rows(features, f"{path}/features")
+        append_rows(fresh, f"{path}/readings")
+        fresh.unpersist()
+    clean.unpersist()
 
 
 def current_features(features: DataFrame) -> DataFrame:
