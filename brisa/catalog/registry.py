@@ -5,10 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brisa.functions.numeric import rounded
 from brisa.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,19 +16,15 @@ _STORED: dict[tuple, object] = {}
 
 def tidy(df: DataFrame) -> DataFrame:
     """Output form: doubles to 6 digits, timestamps without zone, dates and lists as text."""
-    columns = []
-    for field in df.schema.fields:
-        column = F.col(f"`{field.name}`")
-        if isinstance(field.dataType, T.DoubleType):
-            column = rounded(column)
-        elif isinstance(field.dataType, T.TimestampType):
-            column = column.cast("timestamp_ntz")
-        elif isinstance(field.dataType, T.DateType):
-            column = column.cast("string")
-        elif isinstance(field.dataType, T.ArrayType):
-            column = F.array_join(column, " | ")
-        columns.append(column.alias(field.name))
-    return df.select(*columns)
+    forms = {
+        T.DoubleType: "round({0}, 6) + 0D",  # adding zero turns a negative zero into zero
+        T.TimestampType: "cast({0} AS timestamp_ntz)",
+        T.DateType: "cast({0} AS string)",
+        T.ArrayType: "array_join({0}, ' | ')",
+    }
+    return df.selectExpr(
+        *[forms.get(type(f.dataType), "{0}").format(f"`{f.name}`") + f" AS `{f.name}`" for f in df.schema.fields]
+    )
 
 
 def query(name: str, sql: str | None = None):

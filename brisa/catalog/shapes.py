@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from brisa.catalog import sql as S
 from brisa.catalog.registry import query
 from brisa.operators import shape
-from brisa.plans.readings import dense_readings, readings, table
+from brisa.plans.readings import readings, table
 from brisa.schemas import KEY, PROFILE_POLLUTANTS, TIME
 
 
@@ -38,11 +38,11 @@ def _(spark, folder):
 
 @query(
     "last_n_rows",
-    f"""{S.DENSE} SELECT {S.READING_COLUMNS} FROM r
-        QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY datetime DESC) <= 500""",
+    f"""{S.R} SELECT {S.READING_COLUMNS} FROM r
+        QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY datetime DESC) <= 24""",
 )
 def _(spark, folder):
-    return shape.last_n_rows(dense_readings(spark, folder), 500)
+    return shape.last_n_rows(readings(spark, folder), 24)
 
 
 _HASH = """(((42 + series_id % 2147483647 * 7919 + (epoch(datetime) // 3600)::BIGINT % 2147483647 * 104729)

@@ -6,11 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def rounded(value: Column, digits: int = 6) -> Column:
-    """Round for output; adding zero turns a negative zero into zero."""
-    return F.round(value, digits) + F.lit(0.0)
-
-
 def to_published(aqi: Column) -> Column:
     """Stored scale 0-4 to published scale 1-5."""
     return aqi + 1
@@ -26,12 +21,21 @@ def without_nan(value: Column) -> Column:
     return F.when(~F.isnan(value), value)
 
 
+def varies(value: Column) -> Column:
+    """Aggregate: whether the values differ.
+
+    Partial deviations of equal values can merge to a tiny number instead of 0,
+    so a deviation must not be compared with 0.
+    """
+    return F.min(value) < F.max(value)
+
+
 def safe_correlation(a: Column, b: Column) -> Column:
     """Pearson correlation over rows where both are present; null if either is constant."""
     x = F.when(b.isNotNull(), a)
     y = F.when(a.isNotNull(), b)
     spread = F.stddev_pop(x) * F.stddev_pop(y)
-    return F.covar_pop(a, b) / F.when(spread != 0, spread)
+    return F.covar_pop(a, b) / F.when(varies(x) & varies(y), spread)
 
 
 def hash_order(*keys: Column, seed: int = 42) -> Column:

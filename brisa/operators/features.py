@@ -20,6 +20,10 @@ from brisa.schemas import (
 )
 
 
+# How many earlier rows the features of a row depend on.
+LOOKBACK_ROWS = max(ROLLING.values()) - 1
+
+
 def floor_to_hour(df: DataFrame, time: str = TIME) -> DataFrame:
     return df.withColumn(time, hour_floor(F.col(time).cast("timestamp")))
 
@@ -39,10 +43,12 @@ def add_event_id(df: DataFrame) -> DataFrame:
     return df.withColumn("event_id", key_of(F.col(KEY), F.col(TIME)))
 
 
-def to_number(value: Column, type_name: str) -> Column:
-    """Coerce text or a floating value to a numeric type. Unreadable values and NaN become null."""
-    number = value.try_cast("double")
-    return F.when(~F.isnan(number), number).try_cast(type_name)
+def to_number(name: str, data_type: T.DataType, type_name: str) -> Column:
+    """Coerce a column to a numeric type. Unreadable values and NaN become null."""
+    if isinstance(data_type, T.IntegralType):
+        return F.expr(f"try_cast(`{name}` AS {type_name})")
+    number = f"try_cast(`{name}` AS double)"
+    return F.expr(f"CASE WHEN NOT isnan({number}) THEN try_cast({number} AS {type_name}) END")
 
 
 def coerce_types(df: DataFrame, label_type: str = "bigint") -> DataFrame:
@@ -54,11 +60,9 @@ def coerce_types(df: DataFrame, label_type: str = "bigint") -> DataFrame:
     wanted = {TARGET: label_type, "no": label_type, **FEATURE_TYPES}
     return df.withColumns(
         {
-            name: F.col(name).try_cast(type_name)
-            if isinstance(df.schema[name].dataType, T.IntegralType)
-            else to_number(F.col(name), type_name)
-            for name, type_name in wanted.items()
-            if name in df.columns
+            field.name: to_number(field.name, field.dataType, wanted[field.name])
+            for field in df.schema.fields
+            if field.name in wanted
         }
     )
 
@@ -78,8 +82,7 @@ def compute_features(df: DataFrame, label_type: str = "bigint", **split) -> Data
     Windows see the target as it was read; it is typed only afterwards, and
     incomplete rows leave after they have taken their place in the windows.
     """
-    lookback = max(ROLLING.values()) - 1
-    windowed = with_row_windows(df, lag_and_rolling, [TARGET], lookback, **split)
+    windowed = with_row_windows(df, lag_and_rolling, [TARGET], LOOKBACK_ROWS, **split)
     complete = drop_incomplete(windowed)
     return coerce_types(add_event_id(add_calendar(complete)), label_type)
 
@@ -95,10 +98,9 @@ def drop_non_features(df: DataFrame, label: str = TARGET) -> DataFrame:
 def align_features(df: DataFrame, names: list[str] = MODEL_FEATURES, keep: list[str] = ()) -> DataFrame:
     """Exactly the named columns in that order; an absent column or value is 0."""
     aligned = [
-        (F.coalesce(F.col(n).cast("double"), F.lit(0.0)) if n in df.columns else F.lit(0.0)).alias(n)
-        for n in names
+        f"coalesce(double(`{n}`), 0D) AS `{n}`" if n in df.columns else f"0D AS `{n}`" for n in names
     ]
-    return df.select(*keep, *aligned)
+    return df.selectExpr(*keep, *aligned)
 
 
 def split_label(df: DataFrame, label: str = TARGET) -> tuple[DataFrame, DataFrame]:
@@ -106,29 +108,38 @@ def split_label(df: DataFrame, label: str = TARGET) -> tuple[DataFrame, DataFram
     return df.drop(label), df.select(KEY, TIME, F.col(label))
 
 
-def incremental_features(
-    stored: DataFrame, new: DataFrame, label_type: str = "bigint", **split
-) -> DataFrame:
-    """Features of the rows that ``new`` adds or changes, equal to a full recomputation.
+def rows_for_new(stored: DataFrame, new: DataFrame) -> DataFrame:
+    """The readings that the features of ``new`` need, with ``is_new``.
 
-    ``stored`` and ``new`` are readings; keys in ``new`` are not in ``stored``.
-    Per series the stored rows from the first new hour on are taken (none unless
-    a row is late), and the last 23 before it. A late row also changes the 23
-    rows after it, so those are returned too.
+    Per series these are the new rows, the stored rows from the first new hour
+    on (none unless a row is late), and the last 23 stored rows before it.
     """
-    lookback = max(ROLLING.values()) - 1
     columns = new.columns
     first_new = new.groupBy(KEY).agg(F.min(TIME).alias("_first_new"))
     touched = stored.select(*columns).join(first_new, KEY)
     later = touched.where(F.col(TIME) >= F.col("_first_new")).drop("_first_new")
-    before = last_n_rows(touched.where(F.col(TIME) < F.col("_first_new")).drop("_first_new"), lookback)
-    old = later.unionByName(before).withColumn("_new", F.lit(0))
-    joined = old.unionByName(new.withColumn("_new", F.lit(1)))
+    before = last_n_rows(touched.where(F.col(TIME) < F.col("_first_new")).drop("_first_new"), LOOKBACK_ROWS)
+    old = later.unionByName(before).withColumn("is_new", F.lit(0))
+    return old.unionByName(new.withColumn("is_new", F.lit(1)))
+
+
+def affected_features(rows: DataFrame, label_type: str = "bigint", **split) -> DataFrame:
+    """Features of the new rows and of the 23 rows after each, which a late row changes too."""
 
     def build(window: WindowSpec) -> dict[str, Column]:
-        frame = window.rowsBetween(-lookback, 0)
-        return {**lag_and_rolling(window), "_affected": F.max("_new").over(frame)}
+        frame = window.rowsBetween(-LOOKBACK_ROWS, 0)
+        return {**lag_and_rolling(window), "_affected": F.max("is_new").over(frame)}
 
-    windowed = with_row_windows(joined, build, [TARGET, "_new"], lookback, **split)
-    affected = windowed.where(F.col("_affected") == 1).drop("_affected", "_new")
+    windowed = with_row_windows(rows, build, [TARGET, "is_new"], LOOKBACK_ROWS, **split)
+    affected = windowed.where(F.col("_affected") == 1).drop("_affected", "is_new")
     return coerce_types(add_event_id(add_calendar(drop_incomplete(affected))), label_type)
+
+
+def incremental_features(
+    stored: DataFrame, new: DataFrame, label_type: str = "bigint", **split
+) -> DataFrame:
+    """Features of the rows that ``new`` adds or changes, equal to a full recomputation.
+
+    ``stored`` and ``new`` are readings; keys in ``new`` are not in ``stored``.
+    """
+    return affected_features(rows_for_new(stored, new), label_type, **split)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brisa.functions.calendar import epoch_hour
+from brisa.functions.numeric import varies
 from brisa.schemas import KEY, TIME
 
 
@@ -21,7 +22,7 @@ def regression_metrics(
             F.count(F.lit(1)).alias("n"),
             F.avg(F.abs(error)).alias("mae"),
             F.avg(error * error).alias("_mse"),
-            F.var_pop(y).alias("_var"),
+            F.when(varies(y), F.var_pop(y)).alias("_var"),
         )
         .withColumn("rmse", F.sqrt("_mse"))
         .withColumn("r2", 1 - F.try_divide(F.col("_mse"), F.col("_var")))
@@ -52,17 +53,18 @@ def temporal_split(df: DataFrame, train_share: float = 0.8) -> DataFrame:
     return df.withColumn("is_train", F.unix_timestamp(TIME) <= cut)
 
 
+def spread(value: Column) -> Column:
+    """Aggregate: population deviation to divide by; 1 for a constant column."""
+    return F.when(varies(value), F.stddev_pop(value)).otherwise(1.0)
+
+
 def standard_scale(df: DataFrame, columns: list[str]) -> DataFrame:
     """Z-scores with the population deviation; a constant column becomes 0."""
     moments = df.agg(
         F.struct(
             *[F.avg(c).alias(f"{c}_mean") for c in columns],
-            *[F.stddev_pop(c).alias(f"{c}_std") for c in columns],
+            *[spread(F.col(c)).alias(f"{c}_std") for c in columns],
         ).alias("m")
     ).scalar()
-    scaled = {
-        c: (F.col(c) - F.col(f"_m.{c}_mean"))
-        / F.when(F.col(f"_m.{c}_std") == 0, 1.0).otherwise(F.col(f"_m.{c}_std"))
-        for c in columns
-    }
+    scaled = {c: (F.col(c) - F.col(f"_m.{c}_mean")) / F.col(f"_m.{c}_std") for c in columns}
     return df.withColumn("_m", moments).withColumns(scaled).drop("_m")

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from brisa.functions.calendar import DAY_NAMES, day_name, season
 from brisa.functions.categories import HEALTH_CATEGORIES, health_category
-from brisa.functions.numeric import safe_correlation, to_published
+from brisa.functions.numeric import safe_correlation, to_published, varies
 from brisa.operators.quantiles import quartiles
 from brisa.operators.shape import melt
 from brisa.operators.windows import with_previous
@@ -239,14 +239,10 @@ def transition_percent(df: DataFrame) -> DataFrame:
 
 def _paired(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """One row per input row and column pair, where both values are present."""
-    number = lambda name: F.col(name).cast("double")
-    both = F.array(
-        *[
-            F.struct(F.lit(i).alias("pair"), number(a).alias("x"), number(b).alias("y"))
-            for i, (a, b) in enumerate(pairs)
-        ]
+    structs = ", ".join(
+        f"named_struct('pair', {i}, 'x', double(`{a}`), 'y', double(`{b}`))" for i, (a, b) in enumerate(pairs)
     )
-    return df.select(F.inline(both)).where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    return df.selectExpr(f"inline(array({structs}))").where("x IS NOT NULL AND y IS NOT NULL")
 
 
 def correlation_matrix(df: DataFrame, columns: list[str] = CORRELATED) -> DataFrame:
@@ -255,7 +251,7 @@ def correlation_matrix(df: DataFrame, columns: list[str] = CORRELATED) -> DataFr
     The pairs of a row are aggregated map-side, so the shuffle holds one row per pair and task.
     """
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    names = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in pairs])
+    names = F.expr("array(" + ", ".join(f"named_struct('a', '{a}', 'b', '{b}')" for a, b in pairs) + ")")
     values = _paired(df, pairs).groupBy("pair").agg(safe_correlation(F.col("x"), F.col("y")).alias("r"))
     named = values.select(names[F.col("pair")].alias("p"), "r").select("p.a", "p.b", "r")
     both_ways = F.when(F.col("a") == F.col("b"), F.array(F.struct("a", "b"))).otherwise(
@@ -278,9 +274,10 @@ def linear_trend(df: DataFrame, pollutants: list[str] = PROFILE_POLLUTANTS, labe
     """Straight-line fit of the label on each pollutant; null for a constant pollutant."""
     parts = []
     for p in pollutants:
+        fitted = varies(F.when(F.col(label).isNotNull(), F.col(p)))
         parts += [
-            F.regr_slope(F.col(label), F.col(p)).alias(f"{p}_slope"),
-            F.regr_intercept(F.col(label), F.col(p)).alias(f"{p}_intercept"),
+            F.when(fitted, F.regr_slope(F.col(label), F.col(p))).alias(f"{p}_slope"),
+            F.when(fitted, F.regr_intercept(F.col(label), F.col(p))).alias(f"{p}_intercept"),
             F.min(p).alias(f"{p}_min"),
             F.max(p).alias(f"{p}_max"),
         ]
@@ -358,7 +355,7 @@ def kde_curve(df: DataFrame, value: str = TARGET, points: int = 200) -> DataFram
         values.groupBy("v")
         .agg(F.count(F.lit(1)).alias("weight"))
         .withColumn("s", s)
-        .where(F.col("s.bandwidth") > 0)
+        .where(F.col("s.low") < F.col("s.high"))
         .withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
         .withColumn("x", x)
         .groupBy("point", "x")

@@ -15,7 +15,7 @@ def melt(
     keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """Wide to long; nulls stay as rows."""
-    numbers = df.select(*keep, *[F.col(c).cast("double").alias(c) for c in columns])
+    numbers = df.selectExpr(*keep, *[f"double(`{c}`) AS `{c}`" for c in columns])
     return numbers.unpivot(list(keep), columns, name, value)
 
 
@@ -62,12 +62,7 @@ def sample_n(df: DataFrame, n: int = 1000, seed: int = 42) -> DataFrame:
 def pairwise_points(df: DataFrame, columns: list[str] = PROFILE_POLLUTANTS) -> DataFrame:
     """One row per input row and pair of columns, for scatter plots of a sample."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    points = F.array(
-        *[
-            F.struct(
-                F.lit(a).alias("column_x"), F.lit(b).alias("column_y"), F.col(a).alias("x"), F.col(b).alias("y")
-            )
-            for a, b in pairs
-        ]
+    points = ", ".join(
+        f"named_struct('column_x', '{a}', 'column_y', '{b}', 'x', `{a}`, 'y', `{b}`)" for a, b in pairs
     )
-    return df.select(KEY, TIME, F.inline(points))
+    return df.selectExpr(KEY, TIME, f"inline(array({points}))")

@@ -8,15 +8,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brisa.operators.checks import in_range
-from brisa.operators.features import drop_incomplete, floor_to_hour, incremental_features
+from brisa.operators.features import (
+    LOOKBACK_ROWS,
+    affected_features,
+    drop_incomplete,
+    floor_to_hour,
+    rows_for_new,
+)
 from brisa.operators.shape import last_n_rows
 from brisa.operators.upsert import dedup, not_stored
-from brisa.schemas import KEY, READINGS_SCHEMA, ROLLING, TIME
+from brisa.schemas import KEY, READINGS_SCHEMA, TIME
 from brisa.sources.store import DATE, append_rows, read_table
 
 REVISION = "revision"
 LOOKBACK_DAYS = 7
-LOOKBACK_ROWS = max(ROLLING.values()) - 1
 
 
 def clean_readings(raw: DataFrame) -> DataFrame:
@@ -57,9 +62,11 @@ def ingest_batch(raw: DataFrame, path: str, revision: int) -> None:
         nearby = stored.where(F.col(DATE).between(F.lit(days["first"]), F.lit(days["last"])))
         fresh = not_stored(clean, nearby).persist()
         history = needed_history(stored, fresh, days["first"]).drop(DATE)
-        features = incremental_features(history, fresh).withColumn(REVISION, F.lit(revision).cast("bigint"))
+        rows = rows_for_new(history, fresh).persist()
+        features = affected_features(rows).withColumn(REVISION, F.lit(revision).cast("bigint"))
         append_rows(features, f"{path}/features")
         append_rows(fresh, f"{path}/readings")
+        rows.unpersist()
         fresh.unpersist()
     clean.unpersist()
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from brisa.functions.categories import status_fields
 from brisa.functions.numeric import to_published
 from brisa.operators.features import align_features
-from brisa.operators.metrics import regression_metrics, train_val_split
+from brisa.operators.metrics import regression_metrics, spread, train_val_split
 from brisa.operators.shape import latest_row
 from brisa.schemas import KEY, MODEL_FEATURES, TARGET, TIME
 from brisa.session import enable_checkpoints
@@ -58,7 +58,7 @@ def _scaling_stage(moments, names: list[str]) -> SQLTransformer:
     terms = []
     for name in names:
         mean, deviation = moments[f"{name}_mean"], moments[f"{name}_std"]
-        terms.append(f"(`{name}` - {mean!r}D) / {deviation or 1.0!r}D AS `{scaled(name)}`")
+        terms.append(f"(`{name}` - {mean!r}D) / {deviation!r}D AS `{scaled(name)}`")
     return SQLTransformer(statement=f"SELECT *, {', '.join(terms)} FROM __THIS__")
 
 
@@ -113,7 +113,7 @@ def train_models(
     base = data if settings.scale_on_all_rows else train
     moments = base.agg(
         *[F.avg(n).alias(f"{n}_mean") for n in names],
-        *[F.stddev_pop(n).alias(f"{n}_std") for n in names],
+        *[spread(F.col(n)).alias(f"{n}_std") for n in names],
     ).first()
     size = train.agg(F.count(LABEL).alias("n"), F.stddev_pop(LABEL).alias("sd")).first()
     chosen = regressors(settings, size["sd"], size["n"])

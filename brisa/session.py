@@ -9,7 +9,11 @@ from pyspark.sql import SparkSession
 
 
 def local_session(cores: int = 8, shuffle_partitions: int | None = None, app: str = "brisa") -> SparkSession:
-    """Session for tests and benches on one machine; a cluster brings its own."""
+    """Session for tests and benches on one machine; a cluster brings its own.
+
+    Looking up the Python call site of every column expression takes longer than
+    planning a small query, so that debugging aid is off.
+    """
     return (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -17,6 +21,7 @@ def local_session(cores: int = 8, shuffle_partitions: int | None = None, app: st
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cores))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")

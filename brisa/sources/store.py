@@ -67,7 +67,12 @@ def between(df: DataFrame, start: Column, end: Column) -> DataFrame:
 
 
 def _end(df: DataFrame, end: Column | None) -> Column:
-    return df.agg(F.max(TIME)).scalar() if end is None else end
+    """``end``, or the newest time; in a stored table only its newest day is read for that."""
+    if end is not None:
+        return end
+    if DATE in df.columns:
+        df = df.where(F.col(DATE) == df.agg(F.max(DATE)).scalar())
+    return df.agg(F.max(TIME)).scalar()
 
 
 def batch_window(df: DataFrame, end: Column | None = None, hours: int = 24) -> DataFrame:
