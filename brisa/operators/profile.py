@@ -51,7 +51,7 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
 
 
-def describe(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+def describe(df: DataFrame, columns: list[str] | None = None, small: bool | None = None) -> DataFrame:
     """Count, mean, sample deviation, extremes and exact quartiles of each column."""
     columns = columns or numeric_columns(df)
     long = melt(df, columns, "column", "value")
@@ -63,7 +63,7 @@ def describe(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
         F.max("value").alias("max"),
     )
     # One row per column name on both sides.
-    return moments.join(F.broadcast(quartiles(long, ["column"], "value")), "column", "left")
+    return moments.join(F.broadcast(quartiles(long, ["column"], "value", small)), "column", "left")
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
@@ -363,13 +363,13 @@ def kde_curve(df: DataFrame, value: str = TARGET, points: int = 200) -> DataFram
     )
 
 
-def boxplot_stats(df: DataFrame, group: str, value: str) -> DataFrame:
+def boxplot_stats(df: DataFrame, group: str, value: str, small: bool | None = None) -> DataFrame:
     """Exact quartiles, whiskers at 1.5 times their distance, and outliers per group.
 
     ``group`` must come from a fixed small set; one row per group is broadcast.
     """
     data = df.select(group, value).where(F.col(value).isNotNull() & F.col(group).isNotNull())
-    box = quartiles(data, [group], value)
+    box = quartiles(data, [group], value, small)
     reach = (F.col("q75") - F.col("q25")) * 1.5
     inside = F.col(value).between(F.col("q25") - reach, F.col("q75") + reach)
     return (

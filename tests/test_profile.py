@@ -24,12 +24,13 @@ def shapes():
     }
 
 
-def test_exact_quantiles(spark):
+@pytest.mark.parametrize("small", [True, False, None])
+def test_exact_quantiles(spark, small):
     data = shapes()
     rows = [(name, v) for name, vs in data.items() for v in vs] + [("ties", None), (None, 1.0)]
     df = spark.createDataFrame(rows, "g string, v double").repartition(7)
     probabilities = [0.0, 0.01, 0.25, 0.5, 0.75, 0.999, 1.0]
-    got = {(r["g"], r["probability"]): r["quantile"] for r in quantiles.exact_quantiles(df, ["g"], "v", probabilities).collect()}
+    got = {(r["g"], r["probability"]): r["quantile"] for r in quantiles.exact_quantiles(df, ["g"], "v", probabilities, small).collect()}
     assert len(got) == len(data) * len(probabilities)
     for name, values in data.items():
         for p in probabilities:
@@ -38,10 +39,10 @@ def test_exact_quantiles(spark):
 
 def test_poor_sketch_still_gives_exact_quantiles(spark, monkeypatch):
     monkeypatch.setattr(quantiles, "ACCURACY", 2)
-    monkeypatch.setattr(quantiles, "BINS", 3)
+    monkeypatch.setattr(quantiles, "_BIN", quantiles._BIN.replace(str(quantiles.BINS - 1), "2").replace(str(quantiles.BINS), "3"))
     values = shapes()["heavy"]
     df = spark.createDataFrame([("a", v) for v in values], "g string, v double")
-    got = {r["probability"]: r["quantile"] for r in quantiles.exact_quantiles(df, ["g"], "v", [0.1, 0.9]).collect()}
+    got = {r["probability"]: r["quantile"] for r in quantiles.exact_quantiles(df, ["g"], "v", [0.1, 0.9], False).collect()}
     assert got[0.1] == pytest.approx(np.quantile(values, 0.1), rel=1e-12)
     assert got[0.9] == pytest.approx(np.quantile(values, 0.9), rel=1e-12)
 
@@ -73,10 +74,11 @@ def test_histogram_equals_numpy(spark):
     assert counts == np.histogram(values, 20)[0].tolist()
 
 
-def test_boxplot(spark):
+@pytest.mark.parametrize("small", [True, False])
+def test_boxplot(spark, small):
     rows = [("a", float(v)) for v in [1, 2, 3, 4, 100]] + [("b", 5.0), ("b", None), (None, 1.0)]
     df = spark.createDataFrame(rows, "g string, v double")
-    got = {r["g"]: r for r in profile.boxplot_stats(df, "g", "v").collect()}
+    got = {r["g"]: r for r in profile.boxplot_stats(df, "g", "v", small).collect()}
     a = got["a"]
     assert (a["q25"], a["q50"], a["q75"], a["whisker_low"], a["whisker_high"], a["outliers"]) == (2, 3, 4, 1, 4, 1)
     assert (got["b"]["q50"], got["b"]["count"], got["b"]["outliers"]) == (5.0, 1, 0)
