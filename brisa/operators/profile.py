@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from brisa.functions.calendar import DAY_NAMES, day_name, season
 from brisa.functions.categories import HEALTH_CATEGORIES, health_category
 from brisa.functions.numeric import safe_correlation, to_published, varies
-from brisa.operators.quantiles import quartiles
+from brisa.operators.quantiles import is_small, quartiles
 from brisa.operators.shape import melt
 from brisa.operators.windows import with_previous
 from brisa.schemas import CORRELATED, KEY, PROFILE_POLLUTANTS, SHARE_POLLUTANTS, TARGET, TIME
@@ -55,15 +55,21 @@ def describe(df: DataFrame, columns: list[str] | None = None, small: bool | None
     """Count, mean, sample deviation, extremes and exact quartiles of each column."""
     columns = columns or numeric_columns(df)
     long = melt(df, columns, "column", "value")
-    moments = long.groupBy("column").agg(
+    small = is_small(long) if small is None else small
+    moments = [
         F.count("value").alias("count"),
         F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("std"),
         F.min("value").alias("min"),
         F.max("value").alias("max"),
-    )
+    ]
+    if small:
+        quarters = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q")
+        described = long.groupBy("column").agg(*moments, quarters)
+        return described.selectExpr("* EXCEPT (_q)", "_q[0] AS q25", "_q[1] AS q50", "_q[2] AS q75")
     # One row per column name on both sides.
-    return moments.join(F.broadcast(quartiles(long, ["column"], "value", small)), "column", "left")
+    quarters = F.broadcast(quartiles(long, ["column"], "value", small))
+    return long.groupBy("column").agg(*moments).join(quarters, "column", "left")
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
