@@ -173,6 +173,38 @@ def _(spark, folder):
     return checks.expectation_run(readings(spark, folder), SUITE)
 
 
+@query(
+    "expectation_list",
+    f"""{S.R}, b AS (SELECT 'series ' || series_id AS suite_name, floor(min(pm2_5))::BIGINT AS lo,
+          ceil(max(pm2_5))::BIGINT AS hi FROM r GROUP BY series_id)
+        SELECT suite_name, 1 AS position, 'expect_column_values_to_not_be_null' AS expectation_type,
+          'aqi' AS "column", NULL::VARCHAR AS min_value, NULL::VARCHAR AS max_value FROM b
+        UNION ALL SELECT suite_name, 2, 'expect_column_values_to_be_between', 'pm2_5', lo::VARCHAR, hi::VARCHAR FROM b
+        UNION ALL SELECT suite_name, 3, 'expect_table_row_count_to_be_between', 'N/A', '1', NULL FROM b""",
+)
+def _(spark, folder):
+    """One stored suite per series, with the range its readings have had."""
+    ranges = readings(spark, folder).groupBy(KEY).agg(
+        F.floor(F.min("pm2_5")).alias("lo"), F.ceil(F.max("pm2_5")).alias("hi")
+    )
+    suites = ranges.selectExpr(
+        """to_json(struct(
+             concat('series ', series_id) AS expectation_suite_name,
+             map('owner', 'tests') AS meta,
+             array(
+               struct('expect_column_values_to_not_be_null' AS expectation_type, map('column', 'aqi') AS kwargs),
+               struct('expect_column_values_to_be_between' AS expectation_type,
+                      map('column', 'pm2_5', 'min_value', string(lo), 'max_value', string(hi)) AS kwargs),
+               struct('expect_table_row_count_to_be_between' AS expectation_type, map('min_value', '1') AS kwargs)
+             ) AS expectations)) AS value"""
+    )
+    return checks.expectation_list(suites).selectExpr(
+        "* EXCEPT (params)",
+        "try_element_at(params, 'min_value') AS min_value",
+        "try_element_at(params, 'max_value') AS max_value",
+    )
+
+
 # --- Windows --------------------------------------------------------------
 
 
