@@ -50,11 +50,10 @@ def append_rows(df: DataFrame, path: str) -> None:
 def insert_new(features: DataFrame, path: str) -> None:
     """Append the rows whose key is not stored. Only days of the batch are read from the table."""
     spark = features.sparkSession
-    days = features.agg(F.min(F.to_date(TIME)).alias("first"), F.max(F.to_date(TIME)).alias("last"))
+    day = F.to_date(TIME)
+    days = features.agg(F.struct(F.min(day).alias("first"), F.max(day).alias("last"))).scalar()
     stored = read_table(spark, path, features.schema)
-    nearby = stored.where(
-        (F.col(DATE) >= days.select("first").scalar()) & (F.col(DATE) <= days.select("last").scalar())
-    )
+    nearby = stored.where(F.col(DATE).between(days["first"], days["last"]))
     append_rows(dedup_upsert(features, nearby), path)
 
 

@@ -1,6 +1,7 @@
 """Payloads, tables, snapshots, CSV and the ingestion job."""
 
 import json
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -126,3 +127,16 @@ def test_rejected_readings_are_not_stored(spark, make_readings):
 def test_shared_folder_comes_from_the_session(spark):
     assert new_dir(spark, "x").startswith(shared_dir(spark) + "/x-")
     assert new_dir(spark, "x") != new_dir(spark, "x")
+
+
+def session_stub(master, **conf):
+    context = SimpleNamespace(master=master, applicationId=f"stub-{master}")
+    return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default=None: conf.get(key, default)), sparkContext=context)
+
+
+def test_only_a_local_master_may_make_its_own_folder():
+    named = {"spark.checkpoint.dir": "hdfs://store/work/"}
+    assert shared_dir(session_stub("yarn", **named)) == "hdfs://store/work"
+    with pytest.raises(ValueError):
+        shared_dir(session_stub("yarn"))
+    assert shared_dir(session_stub("local[2]")) == shared_dir(session_stub("local[2]"))
