@@ -297,7 +297,7 @@ def _(spark, folder):
 def _(spark, folder):
     sizes = {"rolling_aqi_3h": 3, "rolling_aqi_6h": 6, "rolling_aqi_24h": 24}
     long = event_series(spark, folder)
-    return windows.rolling_means(long, sizes, tie_breakers=("event_id",), chunk_hours=24).select("event_id", *sizes)
+    return windows.rolling_means(long, sizes, tie_breakers=("event_id",), rows_per_chunk=100_000).select("event_id", *sizes)
 
 
 # --- New rows -------------------------------------------------------------

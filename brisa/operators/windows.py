@@ -24,6 +24,22 @@ def _chunk_of(time: str, chunk_hours: int) -> Column:
     return F.floor(F.unix_timestamp(F.col(time).cast("timestamp")) / (chunk_hours * 3600)).cast("bigint")
 
 
+def _with_balanced_chunks(
+    df: DataFrame, keys: tuple[str, ...], time: str, rows_per_chunk: int, unit_seconds: int = 60
+) -> DataFrame:
+    """Chunks of about equally many rows, cut between minutes.
+
+    Counts per minute are combined map-side and numbered along each series; a
+    series has at most half a million of them per year, however many rows it has.
+    """
+    unit = F.floor(F.unix_timestamp(F.col(time).cast("timestamp")) / unit_seconds)
+    rows = df.withColumn("_unit", unit)
+    counts = rows.groupBy(*keys, "_unit").agg(F.count(F.lit(1)).alias("_n"))
+    so_far = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_unit")) - F.col("_n")
+    chunks = counts.select(*keys, "_unit", F.floor(so_far / rows_per_chunk).alias(CHUNK))
+    return rows.join(chunks, [*keys, "_unit"]).drop("_unit").select(*df.columns, CHUNK)
+
+
 def with_row_windows(
     df: DataFrame,
     build: Callable[[WindowSpec], dict[str, Column]],
@@ -33,6 +49,7 @@ def with_row_windows(
     time: str = TIME,
     tie_breakers: tuple[str, ...] = (),
     chunk_hours: int = CHUNK_HOURS,
+    rows_per_chunk: int | None = None,
     backwards: bool = False,
 ) -> DataFrame:
     """Add the columns that ``build`` defines over "the last ``lookback`` rows and this one".
@@ -41,10 +58,17 @@ def with_row_windows(
     with k up to ``lookback`` over the columns named in ``inputs``. With
     ``backwards`` the order is descending, so ``lag`` reads the following row.
     Gaps are fine: the copies come from as many earlier chunks as needed.
+
+    Chunks are ``chunk_hours`` long, which suits one row per hour and costs no
+    join. Where a series may hold any number of rows per hour, ``rows_per_chunk``
+    makes chunks of that many rows instead, for one more shuffle.
     """
     order_columns = [time, *tie_breakers]
-    chunk = _chunk_of(time, chunk_hours)
-    rows = df.withColumn(CHUNK, -chunk if backwards else chunk).withColumn(COPY, F.lit(False))
+    if rows_per_chunk is None:
+        rows = df.withColumn(CHUNK, _chunk_of(time, chunk_hours))
+    else:
+        rows = _with_balanced_chunks(df, keys, time, rows_per_chunk)
+    rows = rows.withColumn(CHUNK, F.col(CHUNK) * (-1 if backwards else 1)).withColumn(COPY, F.lit(False))
 
     def ordered(descending: bool) -> list[Column]:
         return [F.col(c).desc() if descending else F.col(c).asc() for c in order_columns]

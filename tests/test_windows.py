@@ -1,5 +1,6 @@
 """Split windows give what plain windows give, wherever a series is cut."""
 
+import datetime
 import random
 
 import pytest
@@ -14,7 +15,7 @@ from brisa.operators.features import (
 )
 from brisa.operators.profile import gap_report
 from brisa.schemas import KEY, TARGET, TIME
-from tests.conftest import hours, same_rows
+from tests.conftest import START, hours, same_rows
 
 
 def ragged(seed=3):
@@ -38,6 +39,25 @@ def test_row_windows_equal_plain_windows(make_readings, chunk_hours):
     same_rows(split, plain(df, lag_and_rolling))
 
 
+@pytest.mark.parametrize("rows_per_chunk", [1, 10, 100, 100_000])
+def test_row_windows_over_balanced_chunks(make_readings, rows_per_chunk):
+    df = make_readings(ragged()).select(KEY, TIME, TARGET)
+    split = windows.with_row_windows(df, lag_and_rolling, [TARGET], 23, rows_per_chunk=rows_per_chunk)
+    same_rows(split, plain(df, lag_and_rolling))
+    back = windows.with_next(df, {"next": TARGET}, rows_per_chunk=rows_per_chunk)
+    same_rows(back, plain(df, lambda w: {"next": F.lead(TARGET).over(w)}))
+
+
+def test_balanced_chunks_hold_about_as_many_rows_as_asked(spark):
+    """Nearly all rows of a year fall on one day."""
+    rows = [(1, hours(24 * d)) for d in range(365)]
+    rows += [(1, START + datetime.timedelta(days=90, seconds=7 * i)) for i in range(5000)]
+    df = spark.createDataFrame(rows, "series_id bigint, datetime timestamp")
+    sizes = windows._with_balanced_chunks(df, (KEY,), TIME, 500).groupBy(windows.CHUNK).count().collect()
+    assert len(sizes) == 11
+    assert max(r["count"] for r in sizes) < 500 + 2 * 60 / 7
+
+
 @pytest.mark.parametrize("chunk_hours", [1, 7, 24 * 90])
 def test_next_equals_lead(make_readings, chunk_hours):
     df = make_readings(ragged()).select(KEY, TIME, TARGET)
@@ -62,9 +82,10 @@ def test_time_window_longer_than_chunk_is_refused(make_readings):
 def test_ties_are_broken_by_further_columns(spark):
     rows = [(1, hours(h // 5), h, float(h * h % 11)) for h in range(100)]
     df = spark.createDataFrame(rows, "series_id bigint, datetime timestamp, event_id bigint, aqi double")
-    split = windows.rolling_means(df, {"m": 6}, tie_breakers=("event_id",), chunk_hours=2)
     window = Window.partitionBy(KEY).orderBy(TIME, "event_id").rowsBetween(-5, 0)
-    same_rows(split, df.withColumn("m", F.avg(TARGET).over(window)))
+    want = df.withColumn("m", F.avg(TARGET).over(window))
+    for split in ({"chunk_hours": 2}, {"rows_per_chunk": 13}):
+        same_rows(windows.rolling_means(df, {"m": 6}, tie_breakers=("event_id",), **split), want)
 
 
 def test_gap_stretches_row_windows_but_not_time_windows(make_readings):
