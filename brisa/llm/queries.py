@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from brisa.llm.common import table
 from brisa.llm.fingerprint import edited_likeness
+from brisa.llm.simhash import near_duplicates
 from brisa.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,3 +29,9 @@ def query(name: str, sql: str | None = None):
 @query("op1_document_fingerprints")
 def op1(spark, folder):
     return edited_likeness(table(spark, folder, "documents"))
+
+
+@query("op9_simhash_near_dedup")
+def op9(spark, folder):
+    found = near_duplicates(table(spark, folder, "documents"), size=4, distance=4)
+    return found.withColumn("fingerprint", F.lpad(F.lower(F.hex("fingerprint")), 16, "0"))
