@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from brisa.llm.common import table
 from brisa.llm.fingerprint import edited_likeness
+from brisa.llm.packing import packed
 from brisa.llm.simhash import near_duplicates
 from brisa.session import prepare
 
@@ -35,3 +36,14 @@ def op1(spark, folder):
 def op9(spark, folder):
     found = near_duplicates(table(spark, folder, "documents"), size=4, distance=4)
     return found.withColumn("fingerprint", F.lpad(F.lower(F.hex("fingerprint")), 16, "0"))
+
+
+def vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+@query("op8_best_fit_packing")
+def op8(spark, folder):
+    return packed(table(spark, folder, "documents"), vocabulary(), capacity=1024, end=2)
