@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from brisa.llm.common import table
 from brisa.llm.fingerprint import edited_likeness
+from brisa.llm.mixing import mix
 from brisa.llm.packing import packed
 from brisa.llm.simhash import near_duplicates
 from brisa.session import prepare
@@ -47,3 +48,9 @@ def vocabulary() -> str:
 @query("op8_best_fit_packing")
 def op8(spark, folder):
     return packed(table(spark, folder, "documents"), vocabulary(), capacity=1024, end=2)
+
+
+@query("op5_mixing_sources")
+def op5(spark, folder):
+    mixed = mix(table(spark, folder, "documents"), weights=(3, 1, 2), amount=1.5, most=2.0)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
