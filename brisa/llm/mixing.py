@@ -28,6 +28,8 @@ from brisa.llm.common import WORD, stored
 BLOCK = 8192
 #: Probabilities this close to 0 or 1 are there.
 TINY = 1e-9
+#: Documents of a source kept back for the landing, which tries all ways to round them.
+LANDING = 10
 
 
 def size(text: Column) -> Column:
@@ -76,20 +78,21 @@ def flight(probabilities: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def landing(probabilities: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Round the last probabilities so that the words come nearest to their sum, then the documents."""
-    words, documents = probabilities @ sizes, probabilities.sum()
+    """Round the last probabilities, of all ways the one whose words and documents come nearest to their sums."""
     ways = np.array(list(product((0.0, 1.0), repeat=len(sizes))))
-    off = np.lexsort((np.abs(ways.sum(axis=1) - documents), np.abs(ways @ sizes - words)))
-    return ways[off[0]]
+    words = np.abs(ways @ sizes - probabilities @ sizes)
+    documents = np.abs(ways.sum(axis=1) - probabilities.sum())
+    return ways[np.argmin(words + documents * sizes.mean() / 100)]
 
 
 def _round(open_: DataFrame, last: bool) -> DataFrame:
-    """Fly every block; where it is the last of its source, land."""
+    """Fly every block; where it is the last of its source, land it together with a few documents kept back."""
 
     def fly(rows: pd.DataFrame) -> pd.DataFrame:
-        # Long documents first: the few left to round are then short ones.
-        rows = rows.sort_values(["size", "order", "doc_id"], ascending=[False, True, True], kind="stable", ignore_index=True)
-        p, sizes = flight(rows["p"].to_numpy(), rows["size"].to_numpy()), rows["size"].to_numpy(float)
+        rows = rows.sort_values(["order", "doc_id", "size"], kind="stable", ignore_index=True)
+        p, sizes = rows["p"].to_numpy(copy=True), rows["size"].to_numpy(float)
+        kept = min(LANDING, len(p)) if last else 0
+        p[kept:] = flight(p[kept:], sizes[kept:])
         left = np.flatnonzero((p > 0) & (p < 1))
         if last and len(left):
             p[left] = landing(p[left], sizes[left])
