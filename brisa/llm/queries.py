@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brisa.llm import toxicity
 from brisa.llm.common import table
 from brisa.llm.fingerprint import edited_likeness
 from brisa.llm.mixing import mix
@@ -54,3 +55,15 @@ def op8(spark, folder):
 def op5(spark, folder):
     mixed = mix(table(spark, folder, "documents"), weights=(3, 1, 2), amount=1.5, most=2.0)
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
+#: Labelled rows whose remainder is 0 are held out of training.
+REMAINDER = "crc32(cast(cast(doc_id AS string) AS binary)) % 5"
+
+
+@query("op3_toxicity")
+def op3(spark, folder):
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    model = toxicity.train(toxicity.sample(docs, labels, "toxic", F.expr(f"{REMAINDER} <> 0")))
+    scored = docs.select("doc_id", F.expr(f"{REMAINDER} = 0").alias("held_out"), toxicity.score(F.col("text"), model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
