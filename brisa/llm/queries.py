@@ -13,6 +13,7 @@ from brisa.llm.fingerprint import edited_likeness
 from brisa.llm.mixing import mix
 from brisa.llm.packing import packed
 from brisa.llm.simhash import near_duplicates
+from brisa.llm.suffix import without_repeats
 from brisa.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,3 +68,9 @@ def op3(spark, folder):
     model = toxicity.train(toxicity.sample(docs, labels, "toxic", F.expr(f"{REMAINDER} <> 0")))
     scored = docs.select("doc_id", F.expr(f"{REMAINDER} = 0").alias("held_out"), toxicity.score(F.col("text"), model).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+@query("op4_suffix_array_dedup")
+def op4(spark, folder):
+    cut = without_repeats(table(spark, folder, "documents"), length=400, rule="other")
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
