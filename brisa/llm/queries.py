@@ -65,7 +65,7 @@ REMAINDER = "crc32(cast(cast(doc_id AS string) AS binary)) % 5"
 @query("op3_toxicity")
 def op3(spark, folder):
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
-    model = toxicity.train(toxicity.sample(docs, labels, "toxic", F.expr(f"{REMAINDER} <> 0")))
+    model = toxicity.fit(docs, labels, "toxic", F.expr(f"{REMAINDER} <> 0"))
     scored = docs.select("doc_id", F.expr(f"{REMAINDER} = 0").alias("held_out"), toxicity.score(F.col("text"), model).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 

@@ -35,6 +35,8 @@ LANDMARKS = 160
 #: Words of clean texts that training sets against the toxic ones.
 CLEAN_WORDS = 20_000
 ROUNDS = 4
+#: Log odds from which a word (or how it begins) tells a toxic text at first.
+TELLING = 2.9
 DECAY = 0.8
 SLOTS = 1 << 16
 #: Places of the characters of a subsequence after its first one.
@@ -43,6 +45,8 @@ SHAPES = [(1 + a, 2 + a + b) for a in range(3) for b in range(3)] + [
 ]
 #: Characters read at a time of a long word, and by how many the parts overlap.
 PART, OVERLAP = 30, 12
+#: Words and texts handled at a time, which bounds the memory.
+WORDS_AT_A_TIME, TEXTS_AT_A_TIME = 20_000, 200
 #: Score of a text without words.
 MILDEST = -2.0
 
@@ -105,8 +109,11 @@ def _by_length(letters: np.ndarray, size: np.ndarray):
 
 def scores(words: list[str], weights: np.ndarray) -> np.ndarray:
     """Sum of the weights of each word's subsequences; of a long word, its worst part's."""
-    if not words:
-        return np.zeros(0)
+    many = [_scores(words[i : i + WORDS_AT_A_TIME], weights) for i in range(0, len(words), WORDS_AT_A_TIME)]
+    return np.concatenate([np.zeros(0), *many])
+
+
+def _scores(words: list[str], weights: np.ndarray) -> np.ndarray:
     letters, size, word = parts_of(words)
     part = np.zeros(len(word))
     for at, rows in _by_length(letters, size):
@@ -149,14 +156,23 @@ def _machine(features: np.ndarray, side: np.ndarray, cost: np.ndarray) -> np.nda
     x = np.column_stack([features, np.ones(len(features))])
     keep = np.eye(x.shape[1])
     keep[-1, -1] = 1e-6
+
+    def loss(w):
+        return w @ keep @ w + cost @ np.maximum(0, 1 - side * (x @ w)) ** 2
+
     w = np.zeros(x.shape[1])
-    for _ in range(30):
+    now = loss(w)
+    for _ in range(60):
         active = side * (x @ w) < 1
         xa = x[active] * cost[active, None]
-        new = np.linalg.solve(keep + xa.T @ x[active], xa.T @ side[active])
-        if np.abs(new - w).max() < 1e-7:
+        step = np.linalg.solve(keep + xa.T @ x[active], xa.T @ side[active]) - w
+        size = 1.0
+        while size > 1e-4 and loss(w + size * step) > now:
+            size /= 2
+        w = w + size * step
+        before, now = now, loss(w)
+        if before - now < 1e-6 * now:
             break
-        w = new
     return w
 
 
@@ -201,6 +217,19 @@ def _landmarks(words: list[str], gain: np.ndarray, number: int) -> list[str]:
     return [pool[i] for i in chosen]
 
 
+def _first_copies(text: np.ndarray, word: np.ndarray, words: list[str], count: int) -> np.ndarray:
+    """Which texts are no copies of earlier ones, by the least hashes of their words: words of copies tell nothing."""
+    kept, seen = np.ones(count, bool), set()
+    hashes = [np.array([zlib.crc32(w.encode(), salt) for w in words], np.int64) for salt in (1, 2)]
+    bounds = np.searchsorted(text, np.arange(count + 1))
+    for i in range(count):
+        own = word[bounds[i] : bounds[i + 1]]
+        marks = {(salt, *np.sort(h[own])[:3].tolist()) for salt, h in enumerate(hashes)} if len(own) else set()
+        kept[i] = not marks & seen
+        seen |= marks
+    return kept
+
+
 def _inserted(words: list[str], most: int = 3000) -> list[str]:
     """The words with one more character inside, so that training sees such insults too."""
     bent = [
@@ -215,44 +244,46 @@ def train(rows: list[tuple[str, int]], landmarks: int = LANDMARKS) -> Model:
     empty = Model(np.zeros(SLOTS, np.float32), 0.0, 0.0, -np.inf, [])
     if not (0 < label.sum() < len(label)):
         return empty
-    words, codes, owner = words_of(pa.array([t or "" for t, _ in rows], pa.large_string()))
-    distinct, inverse = np.unique(np.array(words, dtype=object).astype(str), return_inverse=True)
-    pairs = np.unique(np.column_stack([owner, inverse[codes]]), axis=0)
-    words = distinct.tolist()
-    pairs = pairs[np.array([len(w) > 2 for w in words])[pairs[:, 1]]] if len(pairs) else pairs
-    if not len(pairs):
+    number: dict[str, int] = {}
+    found = []
+    for start in range(0, len(rows), TEXTS_AT_A_TIME):
+        some = pa.array([t or "" for t, _ in rows[start : start + TEXTS_AT_A_TIME]], pa.large_string())
+        words, codes, owner = words_of(some)
+        place = np.array([number.setdefault(w, len(number)) for w in words], np.int64)
+        if len(codes):
+            found.append(np.unique((owner + start) << 32 | place[codes]))
+    words = list(number)
+    pairs = np.concatenate([np.zeros(0, np.int64), *found])
+    text, word = pairs >> 32, pairs & 0xFFFFFFFF
+    long_enough = np.array([len(w) > 2 for w in words], bool)
+    text, word = (v[long_enough[word]] for v in (text, word)) if len(words) else (text, word)
+    if not len(text):
         return empty
-    text, word = pairs[:, 0], pairs[:, 1]
+    kept = _first_copies(text, word, words, len(label))
+    text, word = text[kept[text]], word[kept[text]]
     toxic = label[text] == 1
-    n_toxic, n_clean = label.sum(), (1 - label).sum()
+    n_toxic, n_clean = label[kept].sum(), (1 - label[kept]).sum()
     seen_toxic = np.bincount(word[toxic], minlength=len(words))
     seen_clean = np.bincount(word[~toxic], minlength=len(words))
 
-    def odds(a, b):
-        # Counts of toxic texts less their spread: a few by chance do not tell.
-        return np.log((a - np.sqrt(a) + 0.1) / n_toxic) - np.log((b + 0.6) / n_clean)
-
     # First guess: how much more often toxic texts hold a word's beginnings and the word itself.
-    used = np.flatnonzero(seen_toxic)
-    heads: dict[str, list[int]] = {}
-    for i in used.tolist():
-        for size in (4, 5, 6, 99):
-            heads.setdefault(words[i][:size], []).append(i)
-    head_of = {}
-    for j, w in enumerate(words):
-        for size in (4, 5, 6, 99):
-            if w[:size] in heads:
-                head_of.setdefault(w[:size], set()).add(j)
-    where = {}
-    order = np.argsort(word, kind="stable")
-    bounds = np.searchsorted(word[order], np.arange(len(words) + 1))
-    for head, members in head_of.items():
-        docs = np.unique(np.concatenate([text[order[bounds[j] : bounds[j + 1]]] for j in members]))
-        where[head] = odds(label[docs].sum(), (1 - label[docs]).sum()) if label[docs].sum() > 1 else -9.0
+    # Counts of toxic texts less their spread: a few by chance do not tell.
     gain = np.full(len(words), -9.0)
-    for i in used.tolist():
-        gain[i] = max(where[words[i][:size]] for size in (4, 5, 6, 99))
-
+    for size in (4, 5, 6, 99):
+        heads: dict[str, int] = {}
+        head = np.array([heads.setdefault(w[:size], len(heads)) for w in words], np.int64)
+        held = np.unique(text << 32 | head[word])
+        is_toxic = label[held >> 32] == 1
+        a = np.bincount((held & 0xFFFFFFFF)[is_toxic], minlength=len(heads))
+        b = np.bincount((held & 0xFFFFFFFF)[~is_toxic], minlength=len(heads))
+        odds = np.log((a - np.sqrt(a) + 0.1) / n_toxic) - np.log((b + 0.6) / n_clean)
+        gain = np.maximum(gain, np.where(a > 1, odds, -9.0)[head])
+    # The last are the words themselves: these alone tell a toxic text.
+    sure = np.flatnonzero(odds[head] > TELLING)
+    gain[seen_toxic == 0] = -9.0
+
+    # A witness is a word that clean texts hold seldom.
+    rare = seen_toxic / n_toxic > 5 * seen_clean / n_clean
     clean_only = np.flatnonzero((seen_clean > 0) & (seen_toxic <= seen_clean))
     picked = np.array([zlib.crc32(words[i].encode()) for i in clean_only], np.int64)
     common = clean_only[np.argsort(-seen_clean[clean_only], kind="stable")[: CLEAN_WORDS // 4]]
@@ -263,14 +294,14 @@ def train(rows: list[tuple[str, int]], landmarks: int = LANDMARKS) -> Model:
     chosen: list[str] = []
     for turn in range(ROUNDS):
         # The witness of a toxic text is its highest word.
-        at = np.flatnonzero(toxic)
+        at = np.flatnonzero(toxic & rare[word])
         ranked = at[np.lexsort((-seen_toxic[word[at]], -score[word[at]], text[at]))]
         _, first = np.unique(text[ranked], return_index=True)
         witness = word[ranked[first]]
-        strong = score[witness] > (2.9 if turn == 0 else -0.5)
+        strong = score[witness] > (TELLING if turn == 0 else 0.5)
         if strong.any():
             witness = witness[strong]
-        positive, weight = np.unique(witness, return_counts=True)
+        positive, weight = np.unique(np.concatenate([witness, sure]), return_counts=True)
         against_now = np.setdiff1d(against, positive)
         if turn < 2:
             half = landmarks * 3 // 4
@@ -299,19 +330,44 @@ def train(rows: list[tuple[str, int]], landmarks: int = LANDMARKS) -> Model:
         against = np.union1d(against, hard)
     worst = np.full(len(label), MILDEST)
     np.maximum.at(worst, text, score[word])
+    worst, label = worst[kept], label[kept]
     slope, shift = _logistic(worst, label.astype(float))
+    # Toxic texts mostly hold several insults in full, so the curve's middle lies high. It moves down to just
+    # above what clean texts reach, where inserted characters still count.
+    middle = -shift / slope
+    reached = float(np.quantile(worst[label == 0], 0.998))
+    shift = -slope * min(middle, max(reached + 0.3, middle / 2))
     return Model(model_weights.astype(np.float32), offset, slope, shift, chosen)
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, most: int = TRAINING_TEXTS) -> list[tuple[str, int]]:
-    """Labelled texts for training: at most ``most`` of each kind, chosen by a hash of their id."""
+def fit(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, most: int = TRAINING_TEXTS) -> Model:
+    """Model of the labelled texts: at most ``most`` of each kind, chosen by a hash of their id.
+
+    The bounded sample is trained on in one task, and only the model comes to the driver. Ids that are labelled both ways
+    count as toxic; null labels and others than 0 and 1 are left out.
+    """
     known = labels.where(allowed & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).alias("_label"))
     chosen = [
         known.where(F.col("_label") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for kind in (0, 1)
     ]
     picked = F.broadcast(chosen[0].unionByName(chosen[1]))  # at most twice ``most`` rows
-    rows = texts(docs).join(picked, "doc_id").select("doc_id", "text", "_label").orderBy("doc_id", "text")
-    return [(r["text"], r["_label"]) for r in rows.limit(4 * most).collect()]
+    rows = texts(docs).join(picked, "doc_id").select("doc_id", "text", F.col("_label").cast("int"))
+
+    def run(batches):
+        rows = sorted(row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
+        model = train([(text, kind) for _, text, kind in rows])
+        yield pa.RecordBatch.from_pydict(
+            {
+                "weights": pa.array([model.weights.tobytes()], pa.binary()),
+                "numbers": pa.array([[model.offset, model.slope, model.shift]], pa.list_(pa.float64())),
+                "landmarks": pa.array([model.landmarks], pa.list_(pa.string())),
+            }
+        )
+
+    fitted = rows.repartition(1).mapInArrow(run, "weights binary, numbers array<double>, landmarks array<string>").first()
+    if fitted is None:
+        return train([])
+    return Model(np.frombuffer(fitted["weights"], np.float32), *fitted["numbers"], list(fitted["landmarks"]))
 
 
 def score(text: Column, model: Model) -> Column:
