@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brisa.llm import toxicity
+from brisa.llm import debruijn, toxicity
 from brisa.llm.common import table
 from brisa.llm.fingerprint import edited_likeness
 from brisa.llm.mixing import mix
@@ -74,3 +74,9 @@ def op3(spark, folder):
 def op4(spark, folder):
     cut = without_repeats(table(spark, folder, "documents"), length=400, rule="other")
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op10_substring_dedup")
+def op10(spark, folder):
+    cut = debruijn.without_repeats(table(spark, folder, "documents"), length=13)
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
