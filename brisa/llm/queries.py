@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brisa.llm import debruijn, toxicity
+from brisa.llm import debruijn, embeddings, toxicity
 from brisa.llm.common import table
 from brisa.llm.fingerprint import edited_likeness
 from brisa.llm.mixing import mix
@@ -80,3 +80,8 @@ def op4(spark, folder):
 def op10(spark, folder):
     cut = debruijn.without_repeats(table(spark, folder, "documents"), length=13)
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op7_embedding_near_dedup")
+def op7(spark, folder):
+    return embeddings.near_duplicates(table(spark, folder, "embeddings"), threshold=0.95)
