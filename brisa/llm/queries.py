@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brisa.llm import debruijn, embeddings, toxicity
+from brisa.llm import debruijn, embeddings, token_trees, toxicity, warc
 from brisa.llm.common import table
 from brisa.llm.fingerprint import edited_likeness
 from brisa.llm.mixing import mix
@@ -72,7 +72,8 @@ def op3(spark, folder):
 
 @query("op4_suffix_array_dedup")
 def op4(spark, folder):
-    cut = without_repeats(table(spark, folder, "documents"), length=400, rule="other")
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    cut = without_repeats(docs, length=400, rule="other").select("doc_id", "cut_.*")
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
@@ -85,3 +86,54 @@ def op10(spark, folder):
 @query("op7_embedding_near_dedup")
 def op7(spark, folder):
     return embeddings.near_duplicates(table(spark, folder, "embeddings"), threshold=0.95)
+
+
+@query("op2_token_counts")
+def op2(spark, folder):
+    """Three edits a text: its middle replaced by its first characters, a part left out, its last characters repeated."""
+    docs = table(spark, folder, "documents")
+    size = F.length(F.coalesce("text", F.lit("")))
+    change = lambda start, removed, inserted: F.struct(
+        F.floor(start).cast("int").alias("start"), F.lit(removed).alias("removed"), inserted.alias("inserted")
+    )
+    text = F.coalesce("text", F.lit(""))
+    edits = F.array(
+        change(size / 4, 16, F.lit("")), change(size / 2, 8, F.substring(text, 1, 24)), change(size, 0, F.substring(text, -12, 12))
+    )
+    return token_trees.counts_after_edits(docs, edits, vocabulary())
+
+
+WARC_SQL = """
+WITH numbered AS (
+  SELECT page_id, coalesce(html, '') AS html, coalesce(url, '') AS url,
+         row_number() OVER (ORDER BY page_id) - 1 AS place FROM pages),
+sized AS (
+  SELECT *, strlen('WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url
+     || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10) || 'Content-Type: text/html'
+     || chr(13) || chr(10) || 'Content-Length: ' || strlen(html) || chr(13) || chr(10) || chr(13) || chr(10) || html
+     || chr(13) || chr(10) || chr(13) || chr(10)) AS length FROM numbered),
+placed AS (
+  SELECT CAST(place // 1000 AS BIGINT) AS file, CAST(place % 1000 AS BIGINT) AS record_no, page_id, html, CAST(length AS BIGINT) AS length,
+         CAST(sum(length) OVER (PARTITION BY place // 1000 ORDER BY place) - length AS BIGINT) AS "offset" FROM sized)
+SELECT file, record_no, "offset", length, page_id,
+       CASE WHEN page_id % 211 = 5 THEN 'missing' ELSE 'changed' END AS status
+FROM placed WHERE page_id % 211 = 5 OR (page_id % 50 = 17 AND reverse(html) <> html)
+"""
+
+
+@query("op6_warc_fixity", WARC_SQL)
+def op6(spark, folder):
+    """The replica lost some records and holds others with their pages' characters the other way round."""
+    pages = table(spark, folder, "pages").select("page_id", "url", "html")
+    held = F.when(F.expr("page_id % 50 = 17"), F.reverse("html")).otherwise(F.col("html"))
+    read = F.sha2(warc.record(F.col("url"), F.col("page_id"), held), 256)
+    records = warc.manifest(pages.withColumn("read", read), "read")
+    replica = records.where("NOT coalesce(page_id % 211 = 5, false)").withColumn("sha256", F.col("read"))
+    return warc.audit(records.drop("read"), replica.drop("read"))
+
+
+@query("pipeline")
+def pipeline(spark, folder):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, folder)

@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -278,38 +278,53 @@ CUT = T.StructType(
 )
 
 
-@F.arrow_udf(CUT)
-def _cut(column: pa.Array, spans: pa.Array) -> pa.Array:
-    data, places = text_bytes(column)
-    lists = spans.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-    fields = spans.flatten()
-    start, end = (fields.field(i).to_numpy(zero_copy_only=False) for i in range(2))
-    ends = np.cumsum(lists)
-    rows = []
-    for i in range(len(column)):
-        text = data[places[i] : places[i + 1]]
-        a, b = merged(start[ends[i] - lists[i] : ends[i]], end[ends[i] - lists[i] : ends[i]], len(text))
-        a, b = a[a < b], b[a < b]
-        if len(a):
-            kept = b"".join(text[x:y].tobytes() for x, y in zip(np.append(0, b), np.append(a, len(text))))
-        else:
-            kept = text.tobytes()
-        rows.append((len(text), len(text) - len(kept), len(a), kept))
-    return pa.StructArray.from_arrays(
-        [pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))],
-        ["n_bytes", "n_removed", "n_spans", "kept"],
-    )
+def _whole_characters(text: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spans shrunk to whole characters of UTF-8."""
+    padded = np.append(text, 0)
+    for _ in range(3):
+        a = a + ((padded[np.minimum(a, len(text))] & 0xC0) == 0x80)
+        b = b - ((padded[b] & 0xC0) == 0x80)
+    return a[a < b], b[a < b]
 
 
-def without_repeats(docs: DataFrame, length: int = 400, rule: str = "first") -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept): every document with the bytes it keeps (binary).
+def cut(text: Column, spans: Column, characters: bool = False) -> Column:
+    """Struct of n_bytes, n_removed, n_spans and the kept bytes of a text without its spans (start, end).
 
-    ``rule`` "first" keeps the first place of a repeated stretch, "other" none. All stretches are
-    judged on the input.
+    With ``characters`` a character that a span holds in part stays, so what is kept is text again.
     """
-    known = keyed(docs)
-    spans = by_document(repeated(known, length, rule))
-    cut = known.join(spans, "doc", "left").select("doc", _cut("text", "spans").alias("cut"))
-    return cut.select(F.when(F.col("doc") != NULL_ID, F.col("doc")).alias("doc_id"), "cut.*")
 
+    @F.arrow_udf(CUT)
+    def run(column: pa.Array, spans: pa.Array) -> pa.Array:
+        data, places = text_bytes(column)
+        lists = spans.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        fields = spans.flatten()
+        start, end = (fields.field(i).to_numpy(zero_copy_only=False) for i in range(2))
+        ends = np.cumsum(lists)
+        rows = []
+        for i in range(len(column)):
+            text = data[places[i] : places[i + 1]]
+            a, b = merged(start[ends[i] - lists[i] : ends[i]], end[ends[i] - lists[i] : ends[i]], len(text))
+            a, b = a[a < b], b[a < b]
+            if characters and len(a):
+                a, b = _whole_characters(text, a, b)
+            if len(a):
+                kept = b"".join(text[x:y].tobytes() for x, y in zip(np.append(0, b), np.append(a, len(text))))
+            else:
+                kept = text.tobytes()
+            rows.append((len(text), len(text) - len(kept), len(a), kept))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], [f.name for f in CUT])
+
+    return run(F.coalesce(text, F.lit("")), spans)
+
+
+def without_repeats(docs: DataFrame, length: int = 400, rule: str = "first", characters: bool = False) -> DataFrame:
+    """The documents with a struct ``cut_``: n_bytes, n_removed, n_spans (maximal removed runs), kept (bytes).
 
+    ``rule`` "first" keeps the first place of a repeated stretch, "other" none. All stretches are
+    judged on the input.
+    """
+    spans = by_document(repeated(keyed(docs), length, rule)).withColumnsRenamed({"doc": "spans_of_", "spans": "spans_"})
+    same = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)) == F.col("spans_of_")
+    found = docs.join(spans, same, "left").withColumn("cut_", cut(F.col("text"), F.col("spans_"), characters))
+    return found.drop("spans_of_", "spans_")
