@@ -104,7 +104,7 @@ def suffix_classes(data: np.ndarray, places: np.ndarray, length: int) -> np.ndar
 
     Prefix doubling: the rank of twice the depth comes from the ranks at a place and one depth on.
     """
-    padded = np.concatenate([data, np.zeros(2 * length, np.uint8)]).astype(np.uint64)
+    padded = np.concatenate([data, np.zeros(2 * length + 8, np.uint8)]).astype(np.uint64)
     count, depth = len(data) + length, 8
     key = np.zeros(count, np.uint64)
     for i in range(depth):

@@ -187,6 +187,8 @@ class Model:
     landmarks: list[str]
 
     def curve(self, worst: np.ndarray) -> np.ndarray:
+        if not len(self.landmarks):
+            return np.zeros(np.shape(worst))
         return 1 / (1 + np.exp(-np.clip(self.slope * worst + self.shift, -40, 40)))
 
 
