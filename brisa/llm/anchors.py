@@ -27,7 +27,7 @@ ROWS = 1 << 18
 #: Odd multipliers of the two rolling hashes (64-bit arithmetic).
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
-RUN = "g bigint, c1 bigint, c2 bigint, doc bigint, a bigint, n int, x int"
+RUN = "g bigint, c bigint, doc bigint, a bigint, n int, x int"
 
 
 def _powers(base: int) -> tuple[np.ndarray, np.ndarray]:
@@ -64,7 +64,9 @@ def segments(sizes: np.ndarray, length: int):
 
 
 def runs(units: np.ndarray, order: np.ndarray, sizes: np.ndarray, length: int, gram: int):
-    """Runs of windows of concatenated stretches: stretch, first window, windows, anchor place, anchor and content hashes.
+    """Runs of windows of concatenated stretches: stretch, first window, windows, anchor place, anchor and content hash.
+
+    Contents are only told apart among runs of one anchor, whose hash is a different one, so both make 128 bits.
 
     ``order`` ranks the units' grams by up to 40 bits; with None their hashes do.
     """
@@ -91,9 +93,8 @@ def runs(units: np.ndarray, order: np.ndarray, sizes: np.ndarray, length: int, g
     a, n = valid[at], np.diff(np.append(at, len(valid)))
     p = chosen[at]
     shape = mixed(((p - a) << 20 | n).astype(np.uint64))
-    end = a + n - 1 + length
-    c1, c2 = first.of(a, end) + shape, second.of(a, end) ^ shape
-    return owner[a], a - starts[owner[a]], n, p - a, grams[p], c1, c2
+    content = second.of(a, a + n - 1 + length) ^ shape
+    return owner[a], a - starts[owner[a]], n, p - a, grams[p], content
 
 
 def batch_of(columns: dict[str, np.ndarray], schema: pa.Schema) -> pa.RecordBatch:
@@ -105,17 +106,17 @@ def batch_of(columns: dict[str, np.ndarray], schema: pa.Schema) -> pa.RecordBatc
     return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
 
-RUN_SCHEMA = pa.schema([(n, pa.int64()) for n in ("g", "c1", "c2", "doc", "a")] + [("n", pa.int32()), ("x", pa.int32())])
+RUN_SCHEMA = pa.schema([(n, pa.int64()) for n in ("g", "c", "doc", "a")] + [("n", pa.int32()), ("x", pa.int32())])
 
 
-def settled(g, c1, c2, doc, a, rule: str, forced: bool, carried):
+def settled(g, c, doc, rule: str, forced: bool, carried):
     """Which of the sorted runs hold windows that are repeated, and which must be looked at closer.
 
     ``carried`` is the first (doc, a) of the first class here if that began earlier. ``forced``
     says that further classes of the anchors here are elsewhere.
     """
     new_g = np.concatenate([[True], g[1:] != g[:-1]])
-    new_c = new_g | np.concatenate([[True], (c1[1:] != c1[:-1]) | (c2[1:] != c2[:-1])])
+    new_c = new_g | np.concatenate([[True], c[1:] != c[:-1]])
     class_, group = np.cumsum(new_c) - 1, np.cumsum(new_g) - 1
     first = np.flatnonzero(new_c)
     size = np.diff(np.append(first, len(g)))
@@ -149,7 +150,7 @@ def resolve(found: DataFrame, rule: str) -> DataFrame:
         held, count, carried, mid_group = [], 0, None, False
 
         def give(rows, forced):
-            repeated, closer, *_ = settled(*(rows[k] for k in ("g", "c1", "c2", "doc", "a")), rule, forced, carried)
+            repeated, closer, *_ = settled(rows["g"], rows["c"], rows["doc"], rule, forced, carried)
             for mark, at in ((False, np.flatnonzero(repeated)), (True, np.flatnonzero(closer))):
                 if len(at):
                     columns = {k: rows[k][at] for k in names} | {"closer": np.full(len(at), mark)}
@@ -158,14 +159,15 @@ def resolve(found: DataFrame, rule: str) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            held.append({k: batch.column(k).to_numpy(zero_copy_only=False) for k in names})
+            g, c, doc, at = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            held.append(dict(g=g, c=c, doc=doc, a=at >> 32, n=at >> 16 & 0xFFFF, x=at & 0xFFFF))
             count += batch.num_rows
             if count < ROWS:
                 continue
             rows = {k: np.concatenate([h[k] for h in held]) for k in names}
-            g, c1, c2 = rows["g"], rows["c1"], rows["c2"]
+            g, c = rows["g"], rows["c"]
             new_g = np.flatnonzero(g[1:] != g[:-1]) + 1
-            new_c = np.flatnonzero((g[1:] != g[:-1]) | (c1[1:] != c1[:-1]) | (c2[1:] != c2[:-1])) + 1
+            new_c = np.flatnonzero((g[1:] != g[:-1]) | (c[1:] != c[:-1])) + 1
             if len(new_g):
                 cut, forced = int(new_g[-1]), mid_group
                 # The first anchor may have begun earlier; the others are whole.
@@ -198,7 +200,9 @@ def resolve(found: DataFrame, rule: str) -> DataFrame:
                 yield from give({k: v[cut:] for k, v in rows.items()}, False)
 
     n = partitions(found.sparkSession)
-    dealt = found.repartition(n, "g").sortWithinPartitions("g", "c1", "c2", "doc", "a")
+    # One number for the three that are small: it is these rows that fill the shuffle.
+    at = F.shiftleft("a", 32) + F.shiftleft(F.col("n").cast("long"), 16) + F.col("x")
+    dealt = found.select("g", "c", "doc", at.alias("at")).repartition(n, "g").sortWithinPartitions("g", "c", "doc", "at")
     return dealt.mapInArrow(run, RUN + ", closer boolean")
 
 

@@ -1,7 +1,7 @@
 """Removing repeated stretches of words over a compacted de Bruijn graph of word windows.
 
 Every window of ``length`` words is an edge from its first to its last ``length - 1`` words. Windows that follow each
-other and share their anchor (the longest word in them, see anchors.py) lie on one path that is compacted
+other and share their anchor (the two longest neighbouring words in them, see anchors.py) lie on one path that is compacted
 where it is read; a row stands for that path. Sorting joins equal paths of all documents and settles them; paths that share
 an anchor only may branch, and are taken apart into their edges, which meet once more by content.
 What is repeated comes back as source coordinates (document, first word, end), and adjoining
@@ -26,8 +26,12 @@ from brisa.llm.common import mixed, stored
 from brisa.llm.suffix import NULL_ID, keyed
 
 
+#: Words of the anchor gram.
+GRAM = 2
+
+
 def word_units(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash and rank (long words first) of every word of a column, and the number of words per text."""
+    """Hash and number of bytes of every word of a column, and the number of words per text."""
     from xxhash import xxh64_intdigest
 
     lists = pc.ascii_split_whitespace(column.cast(pa.large_string()).fill_null(""))
@@ -40,8 +44,15 @@ def word_units(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     there = sizes[codes] > 0 if len(codes) else np.zeros(0, bool)
     owner = np.repeat(np.arange(len(counts)), counts)[there]
     codes = codes[there]
-    rank = (np.uint64(63) - np.minimum(sizes, 63).astype(np.uint64)) << np.uint64(34) | mixed(hashes) >> np.uint64(30)
-    return hashes[codes], rank[codes], np.bincount(owner, minlength=len(counts)).astype(np.int64)
+    return hashes[codes], sizes[codes], np.bincount(owner, minlength=len(counts)).astype(np.int64)
+
+
+def rank_of(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Rank of every word with the one after it as an anchor: long ones first, as they are rare."""
+    pair, letters = hashes.copy(), sizes.copy()
+    pair[:-1] = mixed(pair[:-1] * np.uint64(3) + hashes[1:])
+    letters[:-1] += sizes[1:]
+    return (np.uint64(255) - np.minimum(letters, 255).astype(np.uint64)) << np.uint64(32) | mixed(pair) >> np.uint64(32)
 
 
 def paths(docs: DataFrame, length: int) -> DataFrame:
@@ -50,15 +61,16 @@ def paths(docs: DataFrame, length: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            hashes, rank, counts = word_units(batch.column(1))
+            hashes, letters, counts = word_units(batch.column(1))
+            rank = rank_of(hashes, letters)
             starts = np.cumsum(counts) - counts
             for group in segments(counts, length):
                 where = np.concatenate([np.arange(starts[t] + a, starts[t] + b) for t, a, b in group])
                 sizes = np.array([b - a for _, a, b in group])
-                stretch, a, n, x, g, c1, c2 = runs(hashes[where], rank[where], sizes, length, 1)
+                stretch, a, n, x, g, c = runs(hashes[where], rank[where], sizes, length, GRAM)
                 text = np.array([t for t, _, _ in group])[stretch]
                 a = a + np.array([s for _, s, _ in group])[stretch]
-                yield batch_of(dict(g=g, c1=c1, c2=c2, doc=ids[text], a=a, n=n, x=x), RUN_SCHEMA)
+                yield batch_of(dict(g=g, c=c, doc=ids[text], a=a, n=n, x=x), RUN_SCHEMA)
 
     return docs.mapInArrow(run, RUN)
 
@@ -79,24 +91,25 @@ def edges(docs: DataFrame, closer: DataFrame, length: int) -> DataFrame:
             row, first = np.repeat(owner, n), np.repeat(a, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             whole = first + length <= counts[row]
             row, first = row[whole], first[whole]
+            bounds = np.searchsorted(row, np.arange(len(counts) + 1))
             for t in np.unique(row):
-                at = first[row == t]
+                at = first[bounds[t] : bounds[t + 1]]
                 # A text of any length is hashed in stretches around its windows.
                 for low in range(0, int(counts[t]), 1 << 19):
                     some = at[(at >= low) & (at < low + (1 << 19))]
                     if not len(some):
                         continue
                     units = hashes[starts[t] + low : starts[t] + min(counts[t], low + (1 << 19) + length)]
-                    c1, c2 = (Rolling(units, i).of(some - low, some - low + length) for i in range(2))
+                    g, c = (Rolling(units, i).of(some - low, some - low + length) for i in range(2))
                     one = np.ones(len(some))
-                    yield batch_of(dict(g=c1, c1=c1, c2=c2, doc=np.full(len(some), ids[t]), a=some, n=one, x=one), RUN_SCHEMA)
+                    yield batch_of(dict(g=g, c=c, doc=np.full(len(some), ids[t]), a=some, n=one, x=one), RUN_SCHEMA)
 
     return docs.join(wanted, "doc").mapInArrow(run, RUN)
 
 
 def repeated(docs: DataFrame, length: int) -> DataFrame:
     """Spans (doc, start, end) of words in windows that also start in a document of smaller id; they may overlap."""
-    level = stored(resolve(paths(docs, length), "document"), "paths")
+    level = stored(resolve(paths(docs, length), "document").select("doc", "a", "n", "closer"), "paths")
     single = resolve(edges(docs, level.where("closer"), length), "document")
     found = level.where("NOT closer").select("doc", "a", "n").unionByName(single.select("doc", "a", "n"))
     return found.select("doc", F.col("a").alias("start"), (F.col("a") + F.col("n") - 1 + length).alias("end"))

@@ -67,10 +67,10 @@ def byte_runs(docs: DataFrame, length: int) -> DataFrame:
             for group in segments(np.diff(places), length):
                 units = mixed(np.concatenate([data[places[t] + a : places[t] + b] for t, a, b in group]).astype(np.uint64) + np.uint64(1))
                 sizes = np.array([b - a for _, a, b in group])
-                stretch, a, n, x, g, c1, c2 = runs(units, None, sizes, length, GRAM)
+                stretch, a, n, x, g, c = runs(units, None, sizes, length, GRAM)
                 text = np.array([t for t, _, _ in group])[stretch]
                 a = a + np.array([s for _, s, _ in group])[stretch]
-                yield batch_of(dict(g=g, c1=c1, c2=c2, doc=ids[text], a=a, n=n, x=x), RUN_SCHEMA)
+                yield batch_of(dict(g=g, c=c, doc=ids[text], a=a, n=n, x=x), RUN_SCHEMA)
 
     return docs.mapInArrow(run, RUN)
 
@@ -215,8 +215,8 @@ def _split_runs(texts_: DataFrame, length: int) -> DataFrame:
             g = first.of(shared, shared - SPLIT + 1 + length) ^ mixed(block.astype(np.uint64))
             begin = starts[owner] + offset
             shape = mixed(((shared - begin) << 20 | count).astype(np.uint64))
-            end = begin + count - 1 + length
-            columns = dict(g=g, c1=first.of(begin, end) + shape, c2=second.of(begin, end) ^ shape, doc=doc[owner], a=a[owner] + offset, n=count, x=offset)
+            content = second.of(begin, begin + count - 1 + length) ^ shape
+            columns = dict(g=g, c=content, doc=doc[owner], a=a[owner] + offset, n=count, x=offset)
             yield batch_of(columns, RUN_SCHEMA)
 
     return texts_.mapInArrow(run, RUN)
@@ -238,9 +238,9 @@ def _windows(texts_: DataFrame, closer: DataFrame, length: int) -> DataFrame:
             row, offset = np.repeat(row, count), np.repeat(at, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
             begin = (np.cumsum(sizes) - sizes)[row] + offset
             units = mixed(data.astype(np.uint64) + np.uint64(1))
-            c1, c2 = (Rolling(units, i).of(begin, begin + length) for i in range(2))
+            g, c = (Rolling(units, i).of(begin, begin + length) for i in range(2))
             one = np.ones(len(row))
-            yield batch_of(dict(g=c1, c1=c1, c2=c2, doc=doc[row], a=a[row] + offset, n=one, x=one), RUN_SCHEMA)
+            yield batch_of(dict(g=g, c=c, doc=doc[row], a=a[row] + offset, n=one, x=one), RUN_SCHEMA)
 
     return texts_.select("doc", "a", "bytes").join(wanted, ["doc", "a"]).mapInArrow(run, RUN)
 
@@ -254,7 +254,7 @@ def repeated(docs: DataFrame, length: int, rule: str) -> DataFrame:
 
     Earlier means in a document of smaller id, or before in the same one. Spans may overlap.
     """
-    level = stored(resolve(byte_runs(docs, length), rule), "byte-runs")
+    level = stored(resolve(byte_runs(docs, length), rule).drop("c"), "byte-runs")
     closer = level.where("closer").select("g", "doc", "a", "n", "x")
     near = stored(run_bytes(docs, closer, length), "run-bytes")
     hot = stored(near.groupBy("g").count().where(F.col("count") > HOT).select("g"), "hot")
