@@ -17,6 +17,9 @@ from brisa.schemas import KEY, MODEL_FEATURES, REQUIRED_NON_NULL, TARGET, TIME
 BATCH_START = "2024-01-15 00:00:00"
 STORED_END = "2024-01-20 00:00:00"
 
+# Chunks of a day: the recorded month would lie in a single one of the default length.
+SPLIT = {"chunk_hours": 24}
+
 
 # --- Projections, casts ---------------------------------------------------
 
@@ -210,7 +213,7 @@ def _(spark, folder):
 
 @query("aqi_change_rate", f"{S.W} SELECT series_id, datetime, aqi, aqi_change_rate FROM w")
 def _(spark, folder):
-    return windows.aqi_change_rate(readings(spark, folder).select(KEY, TIME, TARGET))
+    return windows.aqi_change_rate(readings(spark, folder).select(KEY, TIME, TARGET), **SPLIT)
 
 
 @query(
@@ -220,7 +223,7 @@ def _(spark, folder):
 )
 def _(spark, folder):
     sizes = {"rolling_aqi_3h": 3, "rolling_aqi_6h": 6, "rolling_aqi_24h": 24}
-    return windows.rolling_means(readings(spark, folder).select(KEY, TIME, TARGET), sizes).drop(TARGET)
+    return windows.rolling_means(readings(spark, folder).select(KEY, TIME, TARGET), sizes, **SPLIT).drop(TARGET)
 
 
 _SPREAD = f"""SELECT series_id, datetime,
@@ -230,7 +233,7 @@ _SPREAD = f"""SELECT series_id, datetime,
 
 @query("rolling_std_24", f"{S.R} SELECT series_id, datetime, rolling_std_24 FROM ({_SPREAD})")
 def _(spark, folder):
-    spread = windows.rolling_spread(readings(spark, folder).select(KEY, TIME, TARGET))
+    spread = windows.rolling_spread(readings(spark, folder).select(KEY, TIME, TARGET), **SPLIT)
     return spread.select(KEY, TIME, "rolling_std_24")
 
 
@@ -253,7 +256,7 @@ def _(spark, folder):
     categories = readings(spark, folder).select(
         KEY, TIME, health_category(to_published(F.col(TARGET))).alias("aqi_category")
     )
-    return windows.with_next(categories, {"next_category": "aqi_category"}).where("next_category IS NOT NULL")
+    return windows.with_next(categories, {"next_category": "aqi_category"}, **SPLIT).where("next_category IS NOT NULL")
 
 
 _TIME_MEANS = ", ".join(
@@ -266,12 +269,12 @@ _TIME_MEANS = ", ".join(
 @query("rolling_mean_time_range", f"{S.R} SELECT series_id, datetime, {_TIME_MEANS} FROM r")
 def _(spark, folder):
     hours = {f"mean_{n}h": n for n in (3, 6, 24)}
-    return windows.rolling_means_by_time(readings(spark, folder).select(KEY, TIME, TARGET), hours).drop(TARGET)
+    return windows.rolling_means_by_time(readings(spark, folder).select(KEY, TIME, TARGET), hours, **SPLIT).drop(TARGET)
 
 
 @query("features_full", f"{S.FT} SELECT {S.FEATURE_COLUMNS} FROM f")
 def features_full(spark, folder):
-    return features.compute_features(readings(spark, folder))
+    return features.compute_features(readings(spark, folder), **SPLIT)
 
 
 @query(
@@ -281,7 +284,7 @@ def features_full(spark, folder):
 def _(spark, folder):
     every = readings(spark, folder)
     cut = F.lit(STORED_END).cast("timestamp")
-    return features.incremental_features(every.where(F.col(TIME) < cut), every.where(F.col(TIME) >= cut))
+    return features.incremental_features(every.where(F.col(TIME) < cut), every.where(F.col(TIME) >= cut), **SPLIT)
 
 
 @query(
@@ -297,7 +300,7 @@ def _(spark, folder):
 def _(spark, folder):
     sizes = {"rolling_aqi_3h": 3, "rolling_aqi_6h": 6, "rolling_aqi_24h": 24}
     long = event_series(spark, folder)
-    return windows.rolling_means(long, sizes, tie_breakers=("event_id",), rows_per_chunk=100_000).select("event_id", *sizes)
+    return windows.rolling_means(long, sizes, tie_breakers=("event_id",), rows_per_chunk=1_000).select("event_id", *sizes)
 
 
 # --- New rows -------------------------------------------------------------

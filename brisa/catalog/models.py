@@ -20,8 +20,7 @@ from brisa.schemas import KEY, MODEL_FEATURES, TARGET, TIME
 from brisa.session import new_dir
 from brisa.sources import store
 
-# Smaller ensembles than the defaults; every row trains.
-SIZES = training.ModelSettings(forest_trees=20, boosting_rounds=20)
+SIZES = training.ModelSettings()
 
 
 # --- Scaling and splits ---------------------------------------------------

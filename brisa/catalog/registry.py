@@ -39,9 +39,25 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-def once(spark: SparkSession, folder: str, name: str, build: Callable[[], object]):
-    """Something written or fitted once per session and input, and used by several queries."""
+def input_files(spark: SparkSession, folder: str, table: str) -> tuple:
+    """Names, sizes and times of a table's files: what a stored result was made from."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{table}.parquet")
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return tuple(sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in files.listStatus(path)))
+
+
+def once(spark: SparkSession, folder: str, name: str, build: Callable[[], object], table: str = "events"):
+    """Something written or fitted from a table and used by several queries.
+
+    It is made anew when the files of the table have changed; only the last one of a folder is kept.
+    """
     key = (spark.sparkContext.applicationId, folder, name)
-    if key not in _STORED:
-        _STORED[key] = build()
-    return _STORED[key]
+    files = input_files(spark, folder, table)
+    if _STORED.get(key, (None,))[0] != files:
+        _STORED[key] = (files, build())
+    return _STORED[key][1]
+
+
+def forget() -> None:
+    """Let go of everything stored, so that the next query makes it anew."""
+    _STORED.clear()

@@ -14,10 +14,14 @@ from brisa.plans.ingest import current_features
 from brisa.plans.readings import readings, table
 from brisa.schemas import KEY, READINGS_SCHEMA, TIME
 from brisa.session import new_dir
-from brisa.sources.payload import parse_payloads, payload_explode
+from brisa.sources.payload import parse_payloads
 from brisa.streaming import jobs
 
 
+#: Payloads in a file of the source that the ingestion stream reads.
+FILE_ROWS = 10_000
+
+
 def _finish(running: StreamingQuery) -> None:
     running.awaitTermination()
 
@@ -38,20 +42,23 @@ def _ingested(spark: SparkSession, path: str) -> DataFrame:
 def stream_ingest(spark, folder):
     """Payload files, two per micro-batch, in any order of time."""
     path = new_dir(spark, "ingest")
-    payload_texts(spark, folder).repartition(4).write.option("compression", "none").text(f"{path}/payloads")
+    texts = payload_texts(spark, folder).write.option("compression", "none").option("maxRecordsPerFile", FILE_ROWS)
+    texts.text(f"{path}/payloads")
     stream = jobs.stream_files(
         spark, f"{path}/payloads", spark.read.text(f"{path}/payloads").schema, "text", files_per_batch=2
     )
-    _finish(jobs.stream_ingest(payload_explode(parse_payloads(stream)), path))
+    _finish(jobs.stream_ingest_payloads(parse_payloads(stream), path))
     return _ingested(spark, path)
 
 
 @query("stream_rolling_features", f"{S.FT} SELECT {S.FEATURE_COLUMNS} FROM f")
 def _(spark, folder):
-    """Reading files written by time, one per micro-batch."""
+    """Reading files, one per micro-batch, the later hours of the month before the earlier ones."""
     path = new_dir(spark, "rolling")
     typed = readings(spark, folder).select([F.col(f.name).cast(f.dataType) for f in READINGS_SCHEMA.fields])
-    typed.repartitionByRange(3, TIME).write.parquet(f"{path}/source")
+    late = F.col(TIME) < F.lit("2024-01-16").cast("timestamp")
+    for part in (~late, late):
+        typed.where(part).write.mode("append").parquet(f"{path}/source")
     stream = jobs.stream_files(spark, f"{path}/source", READINGS_SCHEMA, "parquet", files_per_batch=1)
     _finish(jobs.stream_ingest(stream, path))
     return _ingested(spark, path)
@@ -86,12 +93,9 @@ def _(spark, folder):
 @query(
     "stream_hourly_avg",
     f"""SELECT user_id AS series_id, date_trunc('hour', ts) AS datetime, {S.r6("avg(value)")} AS mean,
-          count(value) AS count FROM events
-        WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR
-        GROUP BY 1, 2""",
+          count(value) AS count FROM events GROUP BY 1, 2""",
 )
 def _(spark, folder):
-    """Hours that the watermark has closed; the last ones are still open."""
     path = new_dir(spark, "hourly")
     _finish(jobs.stream_hourly_avg(event_stream(spark, folder), path, "value"))
-    return spark.read.parquet(f"{path}/rows")
+    return jobs.hourly_means(spark, path)

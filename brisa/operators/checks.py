@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from brisa.functions.numeric import without_nan
 from brisa.schemas import REQUIRED_COLUMNS, TARGET
 
 # Fixed values: (rule, column, low, high, severity).
@@ -45,16 +46,17 @@ def required_columns_check(df: DataFrame, required: list[str] = REQUIRED_COLUMNS
 
 
 def integer_type_check(df: DataFrame, columns: tuple[str, ...] = (TARGET, "no")) -> DataFrame:
-    """Whether each column has an integer type, with the number of values it holds."""
-    counts = df.agg(*[F.count(c).alias(c) for c in columns])
+    """Whether each column is there with an integer type, and the number of values it holds."""
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    counts = df.agg(*[(F.count(c) if c in kinds else F.lit(0).cast("bigint")).alias(c) for c in columns])
     return counts.select(
         F.inline(
             F.array(
                 *[
                     F.struct(
                         F.lit(c).alias("column"),
-                        F.lit(df.schema[c].dataType.simpleString()).alias("type"),
-                        F.lit(isinstance(df.schema[c].dataType, T.IntegralType)).alias("passed"),
+                        F.lit(kinds[c].simpleString() if c in kinds else "absent").alias("type"),
+                        F.lit(isinstance(kinds.get(c), T.IntegralType)).alias("passed"),
                         F.col(c).alias("values"),
                     )
                     for c in columns
@@ -65,10 +67,19 @@ def integer_type_check(df: DataFrame, columns: tuple[str, ...] = (TARGET, "no"))
 
 
 def range_check(df: DataFrame, rules: list[tuple] = RANGE_RULES) -> DataFrame:
-    """Violations per rule, all rules in one pass. A null violates nothing."""
-    counted = df.agg(
-        *[F.count_if((F.col(c) < low) | (F.col(c) > high)).alias(rule) for rule, c, low, high, _ in rules]
-    )
+    """Violations per rule, all rules in one pass. A missing value, null or NaN, violates nothing.
+
+    The rule of an absent column, or of one that holds no numbers, has failed and has no count.
+    """
+    numbers = {f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)}
+
+    def violations(column: str, low: float, high: float) -> Column:
+        if column not in numbers:
+            return F.lit(None).cast("bigint")
+        value = without_nan(F.col(column).cast("double"))
+        return F.count_if((value < low) | (value > high))
+
+    counted = df.agg(F.count(F.lit(1)).alias("_rows"), *[violations(c, low, high).alias(rule) for rule, c, low, high, _ in rules])
     return counted.select(
         F.inline(
             F.array(
@@ -78,7 +89,7 @@ def range_check(df: DataFrame, rules: list[tuple] = RANGE_RULES) -> DataFrame:
                         F.lit(c).alias("column"),
                         F.lit(severity).alias("severity"),
                         F.col(rule).alias("violations"),
-                        (F.col(rule) == 0).alias("passed"),
+                        F.coalesce(F.col(rule) == 0, F.lit(False)).alias("passed"),
                     )
                     for rule, c, _, _, severity in rules
                 ]
@@ -92,7 +103,7 @@ def in_range(rules: list[tuple] = RANGE_RULES, severity: str = "reject") -> Colu
     keep = F.lit(True)
     for _, column, low, high, level in rules:
         if level == severity:
-            keep = keep & F.coalesce(F.col(column).between(low, high), F.lit(True))
+            keep = keep & F.coalesce(F.col(column).between(low, high) | F.isnan(F.col(column).cast("double")), F.lit(True))
     return keep
 
 
@@ -156,7 +167,14 @@ def _unexpected(expectation: dict) -> Column:
 def expectation_run(df: DataFrame, suite: dict) -> DataFrame:
     """Run a suite over a table: every expectation is one aggregate of the same pass."""
     expectations = suite["expectations"]
-    counted = df.agg(*[_unexpected(e).alias(f"u{i}") for i, e in enumerate(expectations)])
+
+    def counts(expectation: dict) -> Column:
+        # An expectation about an absent column has no count and has failed.
+        column = expectation.get("kwargs", {}).get("column")
+        absent = column is not None and column not in df.columns
+        return F.lit(None).cast("bigint") if absent else _unexpected(expectation)
+
+    counted = df.agg(F.count(F.lit(1)), *[counts(e).alias(f"u{i}") for i, e in enumerate(expectations)])
     return counted.select(
         F.inline(
             F.array(
@@ -167,7 +185,7 @@ def expectation_run(df: DataFrame, suite: dict) -> DataFrame:
                         F.lit(e["expectation_type"]).alias("expectation_type"),
                         F.lit(e.get("kwargs", {}).get("column", "N/A")).alias("column"),
                         F.col(f"u{i}").alias("unexpected"),
-                        (F.col(f"u{i}") == 0).alias("passed"),
+                        F.coalesce(F.col(f"u{i}") == 0, F.lit(False)).alias("passed"),
                     )
                     for i, e in enumerate(expectations)
                 ]

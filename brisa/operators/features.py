@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brisa.functions.calendar import calendar_fields, hour_floor
+from brisa.functions.numeric import without_nan
 from brisa.operators.shape import last_n_rows
 from brisa.operators.windows import change_rate, with_row_windows
 from brisa.schemas import (
@@ -72,7 +73,7 @@ def drop_incomplete(df: DataFrame, required: list[str] = REQUIRED_NON_NULL) -> D
 
 
 def lag_and_rolling(window: WindowSpec, value: str = TARGET) -> dict[str, Column]:
-    means = {name: F.avg(value).over(window.rowsBetween(1 - n, 0)) for name, n in ROLLING.items()}
+    means = {name: F.avg(without_nan(F.col(value))).over(window.rowsBetween(1 - n, 0)) for name, n in ROLLING.items()}
     return {"aqi_change_rate": change_rate(F.col(value), window), **means}
 
 

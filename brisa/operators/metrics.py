@@ -30,10 +30,17 @@ def regression_metrics(
     )
 
 
+def series_number() -> Column:
+    """The series id as a number; an id that is none counts by its hash."""
+    return F.coalesce(F.expr(f"try_cast(`{KEY}` AS bigint)"), F.xxhash64(KEY))
+
+
 def split_bucket(seed: int = 42) -> Column:
     """0 to 99, from the key alone, so the split does not depend on partitioning."""
-    series, hour = F.col(KEY).cast("bigint"), epoch_hour(F.col(TIME))
-    return F.pmod(series * 7919 + hour * 104729 + seed, F.lit(100))
+    # Each term is reduced first, so no id is too large.
+    hundred = F.lit(100)
+    hour = F.pmod(epoch_hour(F.col(TIME)), hundred) * (104729 % 100)
+    return F.pmod(F.pmod(series_number(), hundred) * (7919 % 100) + hour + seed, hundred)
 
 
 def train_val_split(df: DataFrame, train_percent: int = 80, seed: int = 42) -> DataFrame:
@@ -47,10 +54,10 @@ def temporal_split(df: DataFrame, train_share: float = 0.8) -> DataFrame:
     The percentile runs over counts per hour, and there are only so many hours
     in the recorded span, so it stays small however many rows there are.
     """
-    hour = F.unix_timestamp(TIME).alias("second")
-    counts = df.groupBy(hour).agg(F.count(F.lit(1)).alias("n"))
-    cut = counts.agg(F.percentile("second", F.lit(train_share), F.col("n")).alias("cut")).scalar()
-    return df.withColumn("is_train", F.unix_timestamp(TIME) <= cut)
+    hour = epoch_hour(F.col(TIME))
+    counts = df.groupBy(hour.alias("hour")).agg(F.count(F.lit(1)).alias("n"))
+    cut = counts.agg(F.percentile("hour", F.lit(train_share), F.col("n")).alias("cut")).scalar()
+    return df.withColumn("is_train", hour <= cut)
 
 
 def spread(value: Column) -> Column:

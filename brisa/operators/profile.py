@@ -190,11 +190,11 @@ def season_profile(df: DataFrame, value: str = TARGET) -> DataFrame:
     )
 
 
-def gap_report(df: DataFrame) -> DataFrame:
+def gap_report(df: DataFrame, **split) -> DataFrame:
     """Missing hours between the first and the last hour of each series."""
     hour = F.expr("INTERVAL 1 HOUR")
     return (
-        with_previous(df.select(KEY, TIME), {"_previous": TIME})
+        with_previous(df.select(KEY, TIME), {"_previous": TIME}, **split)
         .where(F.col(TIME) > F.col("_previous") + hour)
         .select(
             KEY, F.explode(F.sequence(F.col("_previous") + hour, F.col(TIME) - hour, hour)).alias("missing_hour")
@@ -214,11 +214,11 @@ def category_distribution(df: DataFrame, aqi: Column | None = None) -> DataFrame
     )
 
 
-def transition_matrix(df: DataFrame) -> DataFrame:
+def transition_matrix(df: DataFrame, **split) -> DataFrame:
     """Counts of category (rows) followed by category (columns) within a series, zero-filled."""
     categories = df.select(KEY, TIME, health_category(to_published(F.col(TARGET))).alias("next"))
     pairs = (
-        with_previous(categories, {"category": "next"})
+        with_previous(categories, {"category": "next"}, **split)
         .where(F.col("category").isNotNull())
         .groupBy("category")
         .pivot("next", HEALTH_CATEGORIES)
@@ -231,11 +231,11 @@ def transition_matrix(df: DataFrame) -> DataFrame:
     )
 
 
-def transition_percent(df: DataFrame) -> DataFrame:
+def transition_percent(df: DataFrame, **split) -> DataFrame:
     """Row-wise percentages of the transition matrix; a row without transitions is null."""
     slugs = list(CATEGORY_COLUMNS.values())
     total = sum((F.col(s) for s in slugs[1:]), F.col(slugs[0]))
-    return transition_matrix(df).select(
+    return transition_matrix(df, **split).select(
         "position", "category", *[(F.try_divide(F.col(s), total) * 100).alias(s) for s in slugs]
     )
 

@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from brisa.functions.numeric import without_nan
 from brisa.schemas import KEY, TARGET, TIME
 
 CHUNK = "_chunk"
@@ -141,7 +142,8 @@ def with_time_windows(
 
 
 def change_rate(value: Column, window: WindowSpec) -> Column:
-    """Difference to the previous row; 0 for the first row or a missing value."""
+    """Difference to the previous row; 0 for the first row or a missing value, null or NaN."""
+    value = without_nan(value)
     return F.coalesce(value - F.lag(value).over(window), F.lit(0.0))
 
 
@@ -155,7 +157,7 @@ def rolling_means(df: DataFrame, sizes: dict[str, int], value: str = TARGET, **s
     """Trailing means over numbers of rows; a short start is averaged as it is."""
     return with_row_windows(
         df,
-        lambda w: {name: F.avg(value).over(w.rowsBetween(1 - n, 0)) for name, n in sizes.items()},
+        lambda w: {name: F.avg(without_nan(F.col(value))).over(w.rowsBetween(1 - n, 0)) for name, n in sizes.items()},
         [value],
         max(sizes.values()) - 1,
         **split,
@@ -181,7 +183,7 @@ def rolling_means_by_time(df: DataFrame, hours: dict[str, int], value: str = TAR
     return with_time_windows(
         df,
         lambda w: {
-            name: F.avg(value).over(w.rangeBetween(1 - n * 3600, 0)) for name, n in hours.items()
+            name: F.avg(without_nan(F.col(value))).over(w.rangeBetween(1 - n * 3600, 0)) for name, n in hours.items()
         },
         max(hours.values()) * 3600,
         **split,

@@ -1,7 +1,12 @@
-"""The ingestion job: payloads to the feature table, as a batch."""
+"""The ingestion job: payloads to the feature table, as a batch.
+
+Tables under a job's folder: ``readings`` and ``features`` by day, and what was not taken in: ``rejected``
+readings and ``payload_errors``.
+"""
 
 from __future__ import annotations
 
+import time
 from datetime import date, timedelta
 
 from pyspark.sql import DataFrame
@@ -11,24 +16,44 @@ from brisa.operators.checks import in_range
 from brisa.operators.features import (
     LOOKBACK_ROWS,
     affected_features,
-    drop_incomplete,
     floor_to_hour,
     rows_for_new,
 )
 from brisa.operators.shape import last_n_rows
 from brisa.operators.upsert import dedup, not_stored
 from brisa.schemas import KEY, READINGS_SCHEMA, TIME
+from brisa.sources.payload import payload_errors
 from brisa.sources.store import DATE, append_rows, read_table
 
 REVISION = "revision"
 LOOKBACK_DAYS = 7
 
 
+def typed_readings(raw: DataFrame) -> DataFrame:
+    """Readings on full hours, with ``reason`` for those that cannot be taken in.
+
+    Incomplete ones are taken in: they have their place in the windows, and only their features are left out.
+    NaN is a missing value.
+    """
+    missing = {
+        f.name: F.when(~F.isnan(f.name), F.col(f.name))
+        for f in raw.schema.fields
+        if f.dataType.typeName() in ("double", "float")
+    }
+    known = raw.withColumns(missing) if missing else raw
+    typed = floor_to_hour(known.select([F.col(f.name).cast(f.dataType) for f in READINGS_SCHEMA.fields]))
+    reason = F.when(F.col(KEY).isNull() | F.col(TIME).isNull(), "no key").when(~in_range(), "out of range")
+    return typed.withColumn("reason", reason)
+
+
 def clean_readings(raw: DataFrame) -> DataFrame:
-    """Readings on full hours that are complete and pass the rejecting checks, once per key."""
-    typed = raw.select([F.col(f.name).cast(f.dataType) for f in READINGS_SCHEMA.fields])
-    good = drop_incomplete(floor_to_hour(typed)).where(in_range())
-    return dedup(good)
+    """Readings on full hours that pass the rejecting checks, once per key."""
+    return dedup(typed_readings(raw).where("reason IS NULL").drop("reason"))
+
+
+def rejected_readings(raw: DataFrame) -> DataFrame:
+    """The readings that are not taken in, with the reason."""
+    return typed_readings(raw).where("reason IS NOT NULL")
 
 
 def needed_history(stored: DataFrame, fresh: DataFrame, first_day: date) -> DataFrame:
@@ -48,13 +73,21 @@ def needed_history(stored: DataFrame, fresh: DataFrame, first_day: date) -> Data
     return recent.unionByName(last_n_rows(earlier.join(short, KEY, "left_semi"), LOOKBACK_ROWS))
 
 
-def ingest_batch(raw: DataFrame, path: str, revision: int) -> None:
+def keep_errors(payloads: DataFrame, path: str) -> None:
+    """Store payloads that report an error."""
+    payload_errors(payloads).write.mode("append").parquet(f"{path}/payload_errors")
+
+
+def ingest_batch(raw: DataFrame, path: str, revision: int | None = None) -> None:
     """Add a batch of raw readings to the tables under ``path``.
 
     Features are written first and readings last: if the job dies in between, a
     repeat finds the readings missing and writes the same features again, which
-    ``current_features`` sees as the same revision of the same key.
+    ``current_features`` sees as one of the revisions of the same key. The revision is the time of
+    writing, so later ones win also after a new start or a backfill.
     """
+    revision = time.time_ns() // 1000 if revision is None else revision
+    rejected_readings(raw).write.mode("append").parquet(f"{path}/rejected")
     clean = clean_readings(raw).persist()
     days = clean.agg(F.min(F.to_date(TIME)).alias("first"), F.max(F.to_date(TIME)).alias("last")).first()
     if days["first"] is not None:

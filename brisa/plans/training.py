@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -21,7 +20,6 @@ from brisa.session import enable_checkpoints
 
 LABEL = "label"
 PREDICTION = "prediction"
-ROWS_PER_PARTITION = 20_000
 
 
 @dataclass(frozen=True)
@@ -38,6 +36,8 @@ class ModelSettings:
     boosting_subsample: float = 0.8
     max_bins: int = 64
     seed: int = 42
+    # Partitions of the training rows; trees depend on this number, not on files or row counts.
+    partitions: int = 8
     # The scaler of the original run had also seen the validation rows.
     scale_on_all_rows: bool = False
 
@@ -116,9 +116,11 @@ def train_models(
         *[spread(F.col(n)).alias(f"{n}_std") for n in names],
     ).first()
     size = train.agg(F.count(LABEL).alias("n"), F.stddev_pop(LABEL).alias("sd")).first()
+    if not size["n"]:
+        raise ValueError("no training rows with a label")
     chosen = regressors(settings, size["sd"], size["n"])
-    # Every tree level is a job, so few small partitions cost more than they give.
-    train = train.coalesce(math.ceil(size["n"] / ROWS_PER_PARTITION)).persist()
+    # Samples of rows are drawn per partition, so the rows of each follow from keys and settings alone.
+    train = train.repartition(settings.partitions, KEY, TIME).sortWithinPartitions(KEY, TIME).persist()
     models = {name: fit_model(train, chosen[name], moments, names) for name in only}
     train.unpersist()
     return models

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -41,13 +42,13 @@ _LOCAL_DIRS: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local master may fall back to a folder of its own; on a cluster a
-    machine-local folder would be lost with its machine, so that is an error.
+    Only a local master, where driver and executor are one process, may fall back to a folder
+    of its own; on a cluster a machine-local folder would be lost with its machine, so that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
     application = spark.sparkContext.applicationId
     if application not in _LOCAL_DIRS:

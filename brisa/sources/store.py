@@ -12,7 +12,6 @@ from brisa.operators.upsert import dedup_upsert
 from brisa.schemas import FEATURES_SCHEMA, KEY, TARGET, TIME
 
 DATE = "date"
-MAX_HISTORY_DAYS = 30
 
 
 def _children(spark: SparkSession, path: str) -> list[str]:
@@ -81,9 +80,9 @@ def batch_window(df: DataFrame, end: Column | None = None, hours: int = 24) -> D
 
 
 def history_window(df: DataFrame, days_back: int, end: Column | None = None) -> DataFrame:
-    """The last days before ``end``, 30 at most."""
+    """The last days before ``end``."""
     end = _end(df, end)
-    return between(df, end - F.make_dt_interval(F.lit(min(days_back, MAX_HISTORY_DAYS))), end)
+    return between(df, end - F.make_dt_interval(F.lit(days_back)), end)
 
 
 # --- Training snapshots ---------------------------------------------------
@@ -113,6 +112,7 @@ def read_snapshot(spark: SparkSession, path: str, version: int | None = None, la
 
 
 def write_metrics(metrics: DataFrame, path: str) -> None:
-    """The model comparison as JSON and CSV; it has one row per model."""
+    """The model comparison as JSON and, from that, CSV; it has one row per model."""
     metrics.coalesce(1).write.json(f"{path}/json")
-    metrics.coalesce(1).write.option("header", True).csv(f"{path}/csv")
+    written = metrics.sparkSession.read.schema(metrics.schema).json(f"{path}/json")
+    written.coalesce(1).write.option("header", True).csv(f"{path}/csv")

@@ -1,7 +1,8 @@
 """Streaming ingestion, deduplication, features, alerts and hourly means.
 
 Every job takes a streaming DataFrame and a folder, and returns the running
-query. ``every=None`` processes what is there and stops; otherwise it is the
+query. No job drops a late row: what has to see earlier rows looks them up in a table, and sums of
+micro-batches are added when they are read. ``every=None`` processes what is there and stops; otherwise it is the
 trigger interval, such as "1 hour".
 """
 
@@ -13,11 +14,10 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from pyspark.sql.types import StructType
 
 from brisa.operators.advisory import alert_events
-from brisa.plans.ingest import ingest_batch
+from brisa.plans.ingest import ingest_batch, keep_errors
 from brisa.schemas import KEY, PAYLOAD_SCHEMA, TARGET, TIME
 from brisa.sources.payload import payload_explode
-
-WATERMARK = "1 hour"
+from brisa.sources.store import insert_new
 
 
 def stream_files(
@@ -30,9 +30,8 @@ def stream_files(
 
 
 def stream_payloads(spark: SparkSession, folder: str, files_per_batch: int | None = None) -> DataFrame:
-    """Readings from arriving payload files. A payload that reports an error gives none."""
-    payloads = stream_files(spark, folder, PAYLOAD_SCHEMA, "json", files_per_batch, "*.json*")
-    return payload_explode(payloads)
+    """Arriving payload files."""
+    return stream_files(spark, folder, PAYLOAD_SCHEMA, "json", files_per_batch, "*.json*")
 
 
 def _start(writer: DataStreamWriter, path: str, every: str | None) -> StreamingQuery:
@@ -51,15 +50,27 @@ def stream_ingest(readings: DataFrame, path: str, every: str | None = None) -> S
     Row windows do not exist on streams, so each micro-batch is joined with the
     last stored rows of its series. A repeated micro-batch adds nothing.
     """
-    return _start(
-        readings.writeStream.foreachBatch(lambda batch, number: ingest_batch(batch, path, number)), path, every
-    )
+    return _start(readings.writeStream.foreachBatch(lambda batch, _: ingest_batch(batch, path)), path, every)
+
+
+def stream_ingest_payloads(payloads: DataFrame, path: str, every: str | None = None) -> StreamingQuery:
+    """Payloads into the feature table; those that report an error go to ``payload_errors``."""
+
+    def ingest(batch: DataFrame, _: int) -> None:
+        batch.persist()
+        keep_errors(batch, path)
+        ingest_batch(payload_explode(batch), path)
+        batch.unpersist()
+
+    return _start(payloads.writeStream.foreachBatch(ingest), path, every)
+
 
+def stream_dedup(readings: DataFrame, path: str, every: str | None = None) -> StreamingQuery:
+    """Each (series, hour) once, in ``rows`` by day, however late its copies come.
 
-def stream_dedup(readings: DataFrame, path: str, every: str | None = None, watermark: str = WATERMARK) -> StreamingQuery:
-    """Each (series, hour) once, as long as its copies arrive within the watermark."""
-    unique = readings.withWatermark(TIME, watermark).dropDuplicatesWithinWatermark([KEY, TIME])
-    return _to_parquet(unique, path, every)
+    A micro-batch reads the keys of its own days only, and adds those that are not there.
+    """
+    return _start(readings.writeStream.foreachBatch(lambda batch, _: insert_new(batch, f"{path}/rows")), path, every)
 
 
 def stream_alerts(
@@ -69,17 +80,22 @@ def stream_alerts(
     return _to_parquet(alert_events(readings, aqi, location), path, every)
 
 
-def hourly_avg(readings: DataFrame, value: str, watermark: str = WATERMARK) -> DataFrame:
-    """Mean per series and tumbling hour."""
-    return (
-        readings.withWatermark(TIME, watermark)
-        .groupBy(KEY, F.window(TIME, "1 hour"))
-        .agg(F.avg(value).alias("mean"), F.count(value).alias("count"))
-        .select(KEY, F.col("window.start").alias(TIME), "mean", "count")
-    )
+def stream_hourly_avg(readings: DataFrame, path: str, value: str, every: str | None = None) -> StreamingQuery:
+    """Sums and counts per series and hour of every micro-batch; ``hourly_means`` reads them.
 
+    A repeated micro-batch writes its own folder again.
+    """
 
-def stream_hourly_avg(
-    readings: DataFrame, path: str, value: str, every: str | None = None, watermark: str = WATERMARK
-) -> StreamingQuery:
-    return _to_parquet(hourly_avg(readings, value, watermark), path, every)
+    def add(batch: DataFrame, number: int) -> None:
+        hour = F.date_trunc("hour", TIME).alias(TIME)
+        sums = batch.groupBy(KEY, hour).agg(F.sum(value).alias("sum"), F.count(value).alias("count"))
+        sums.write.mode("overwrite").parquet(f"{path}/sums/batch={number}")
+
+    return _start(readings.writeStream.foreachBatch(add), path, every)
+
+
+def hourly_means(spark: SparkSession, path: str) -> DataFrame:
+    """Mean per series and hour of all rows that have come so far."""
+    sums = spark.read.parquet(f"{path}/sums")
+    added = sums.groupBy(KEY, TIME).agg(F.sum("sum").alias("sum"), F.sum("count").alias("count"))
+    return added.select(KEY, TIME, F.try_divide("sum", "count").alias("mean"), "count")

@@ -56,7 +56,8 @@ def test_windows_of_a_stored_table(spark, make_readings):
     assert store.batch_window(table).count() == 25
     assert store.batch_window(table, F.lit(hours(100)).cast("timestamp"), 3).count() == 4
     assert store.history_window(table, 2).count() == 49
-    assert store.history_window(table, 300).count() == 30 * 24 + 1
+    assert store.history_window(table, 30).count() == 30 * 24 + 1
+    assert store.history_window(table, 300).count() == 40 * 24
     plan = store.batch_window(table, F.lit(hours(100)).cast("timestamp"))._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(date" in plan and "PushedFilters: [IsNotNull(datetime)" in plan
 
@@ -90,10 +91,9 @@ def test_ingested_batches_equal_one_computation(spark, make_readings, order):
     for revision, number in enumerate(order):
         ingest.ingest_batch(readings.where(part == number), path, revision)
     got = ingest.current_features(spark.read.parquet(f"{path}/features").drop("date"))
-    complete = readings.where(F.col(TARGET).isNotNull())
-    same_rows(got, compute_features(complete).select(got.columns))
+    same_rows(got, compute_features(readings).select(got.columns))
     stored = store.read_table(spark, f"{path}/readings", READINGS_SCHEMA)
-    assert stored.count() == complete.count()
+    assert stored.count() == readings.count()
 
 
 def test_repeat_after_a_crash_between_the_two_writes(spark, make_readings, monkeypatch):
@@ -112,7 +112,7 @@ def test_repeat_after_a_crash_between_the_two_writes(spark, make_readings, monke
         ingest.ingest_batch(readings, path, 0)
     ingest.ingest_batch(readings, path, 0)
     got = ingest.current_features(spark.read.parquet(f"{path}/features").drop("date"))
-    want = compute_features(readings.where(F.col(TARGET).isNotNull()))
+    want = compute_features(readings)
     same_rows(got, want.select(got.columns))
 
 
@@ -122,6 +122,22 @@ def test_rejected_readings_are_not_stored(spark, make_readings):
     assert store.read_table(spark, f"{path}/readings", READINGS_SCHEMA).count() == 1
     ingest.ingest_batch(make_readings([(1, 3, 9)]), path, 1)
     assert store.read_table(spark, f"{path}/readings", READINGS_SCHEMA).count() == 1
+    rejected = spark.read.parquet(f"{path}/rejected").collect()
+    assert sorted((r[TARGET], r["reason"]) for r in rejected) == [(v, "out of range") for v in (-1.0, 9.0, 9.0)]
+
+
+def test_incomplete_readings_keep_their_place_in_the_windows(spark, make_readings):
+    readings = make_readings([(1, 0, 4), (1, 1, 0), (1, 2, 2), (1, 3, 4), (1, 4, 1)])
+    gone = F.when(F.col(TIME) != F.lit(hours(1)), F.col("pm2_5"))
+    nan = F.when(F.col(TIME) == F.lit(hours(3)), F.lit(float("nan"))).otherwise(F.col(TARGET))
+    readings = readings.withColumn("pm2_5", gone).withColumn(TARGET, nan)
+    path = new_dir(spark, "ingest")
+    for hour in (3, 0, 4, 1, 2):
+        ingest.ingest_batch(readings.where(F.col(TIME) == F.lit(hours(hour))), path)
+    got = ingest.current_features(spark.read.parquet(f"{path}/features").drop("date"))
+    same_rows(got, compute_features(readings).select(got.columns))
+    rates = {r[TIME]: (r["aqi_change_rate"], r["rolling_aqi_3h"]) for r in got.collect()}
+    assert rates == {hours(0): (0.0, 4.0), hours(2): (2.0, 2.0), hours(4): (0.0, 1.5)}
 
 
 def test_shared_folder_comes_from_the_session(spark):
@@ -137,6 +153,7 @@ def session_stub(master, **conf):
 def test_only_a_local_master_may_make_its_own_folder():
     named = {"spark.checkpoint.dir": "hdfs://store/work/"}
     assert shared_dir(session_stub("yarn", **named)) == "hdfs://store/work"
-    with pytest.raises(ValueError):
-        shared_dir(session_stub("yarn"))
+    for cluster in ("yarn", "local-cluster[2,1,1024]", "spark://local:7077"):
+        with pytest.raises(ValueError):
+            shared_dir(session_stub(cluster))
     assert shared_dir(session_stub("local[2]")) == shared_dir(session_stub("local[2]"))

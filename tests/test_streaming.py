@@ -1,12 +1,13 @@
 """Streams against the same computation on the whole input."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from brisa.operators.features import compute_features
 from brisa.plans.ingest import current_features
 from brisa.schemas import KEY, READINGS_SCHEMA, TARGET, TIME
 from brisa.session import new_dir
-from brisa.sources.payload import to_payloads
+from brisa.sources.payload import parse_payloads, to_payloads
 from brisa.streaming import jobs
 from tests.conftest import same_rows
 from tests.test_windows import ragged
@@ -40,17 +41,35 @@ def test_ingest_in_two_runs(spark, make_readings):
 def test_payload_files(spark, make_readings):
     readings = make_readings([(1, h, h % 5) for h in range(60)])
     folder, path = new_dir(spark, "payloads"), new_dir(spark, "job")
-    to_payloads(readings).repartition(2).write.json(folder)
-    finish(jobs.stream_ingest(jobs.stream_payloads(spark, folder), path))
+    failed = spark.createDataFrame([('{"series_id": 9, "cod": "401", "message": "Invalid key"}',)], "value string")
+    to_payloads(readings).unionByName(parse_payloads(failed)).repartition(2).write.json(folder)
+    finish(jobs.stream_ingest_payloads(jobs.stream_payloads(spark, folder), path))
+    errors = spark.read.parquet(f"{path}/payload_errors").collect()
+    assert [(r["cod"], r["message"]) for r in errors] == [("401", "Invalid key")]
     got = current_features(spark.read.parquet(f"{path}/features").drop("date"))
     same_rows(got, compute_features(readings).select(got.columns))
 
 
-def test_dedup(spark, make_readings):
-    readings = make_readings([(1, h, 1) for h in range(30)])
-    folder, path = source(spark, readings.unionByName(readings), 2), new_dir(spark, "job")
-    finish(jobs.stream_dedup(jobs.stream_files(spark, folder, READINGS_SCHEMA, "parquet"), path))
-    same_rows(spark.read.parquet(f"{path}/rows"), readings)
+def late_files(spark, df):
+    """Files of a day each, the last days first."""
+    path = new_dir(spark, "source")
+    typed = df.select([F.col(f.name).cast(f.dataType) for f in READINGS_SCHEMA.fields])
+    for day in range(3, -1, -1):
+        typed.where(F.floor(F.unix_timestamp(TIME) / 86400) % 4 == day).coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+@pytest.mark.parametrize("files", [1, 2, None])
+def test_late_rows_are_kept(spark, make_readings, files):
+    readings = make_readings([(s, h, h % 5) for s in (1, 2) for h in range(40)] + [(1, 80, 2), (2, 70, 1)])
+    folder = late_files(spark, readings.unionByName(readings))
+    stream = lambda: jobs.stream_files(spark, folder, READINGS_SCHEMA, "parquet", files)
+    path = new_dir(spark, "job")
+    finish(jobs.stream_dedup(stream(), f"{path}/dedup"))
+    same_rows(spark.read.parquet(f"{path}/dedup/rows").drop("date"), readings)
+    finish(jobs.stream_hourly_avg(stream(), f"{path}/means", TARGET))
+    means = {(r[KEY], r[TIME]): (r["mean"], r["count"]) for r in jobs.hourly_means(spark, f"{path}/means").collect()}
+    assert means == {(r[KEY], r[TIME]): (r[TARGET], 2) for r in readings.collect()}
 
 
 def test_alerts(spark, make_readings):
@@ -59,12 +78,3 @@ def test_alerts(spark, make_readings):
     finish(jobs.stream_alerts(stream, path, F.lit("here")))
     levels = {r["level"]: r["count"] for r in spark.read.parquet(f"{path}/rows").groupBy("level").count().collect()}
     assert levels == {"moderate": 4, "unhealthy_sensitive": 4, "unhealthy": 4, "hazardous": 4}
-
-
-def test_hourly_means_of_closed_hours(spark, make_readings):
-    folder, path = source(spark, make_readings([(1, h, h % 5) for h in range(10)]), 1), new_dir(spark, "job")
-    stream = jobs.stream_files(spark, folder, READINGS_SCHEMA, "parquet")
-    finish(jobs.stream_hourly_avg(stream, path, TARGET))
-    rows = spark.read.parquet(f"{path}/rows").orderBy(TIME).collect()
-    # The watermark stands an hour before the newest reading, at hour 8.
-    assert [r["mean"] for r in rows] == [float(h % 5) for h in range(8)]
