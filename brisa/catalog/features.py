@@ -12,7 +12,7 @@ from brisa.functions.numeric import to_published, to_stored
 from brisa.operators import checks, features, windows
 from brisa.operators.upsert import dedup_upsert, new_rows_only
 from brisa.plans.readings import event_series, events, readings, table
-from brisa.schemas import KEY, MODEL_FEATURES, REQUIRED_NON_NULL, TARGET, TIME
+from brisa.schemas import KEY, MODEL_FEATURES, REQUIRED_COLUMNS, REQUIRED_NON_NULL, TARGET, TIME
 
 BATCH_START = "2024-01-15 00:00:00"
 STORED_END = "2024-01-20 00:00:00"
@@ -112,12 +112,25 @@ def _(spark, folder):
 # --- Checks ---------------------------------------------------------------
 
 
-@query("required_columns_check")
+@query(
+    "required_columns_check",
+    S.R
+    + S.union_all(f"SELECT '{c}' AS \"check\", count({c}) >= 0 AS passed FROM r" for c in REQUIRED_COLUMNS)
+    + " UNION ALL SELECT 'not_empty', count(*) > 0 FROM r",
+)
 def _(spark, folder):
     return checks.required_columns_check(readings(spark, folder))
 
 
-@query("integer_type_check")
+@query(
+    "integer_type_check",
+    S.FT
+    + S.union_all(
+        f"""SELECT '{c}' AS "column", lower(any_value(typeof({c}))) AS type, any_value(typeof({c})) = 'BIGINT' AS passed,
+            count({c}) AS "values" FROM f"""
+        for c in (TARGET, "no")
+    ),
+)
 def _(spark, folder):
     return checks.integer_type_check(features.compute_features(readings(spark, folder)))
 

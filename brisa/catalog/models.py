@@ -154,6 +154,90 @@ def _(spark, folder):
     return training.registered_metrics(comparison(spark, folder))
 
 
+# --- The same figures for three fixed rules in the models' place ----------
+
+RULES = {"shrunk": "0.9 * aqi + 0.2", "mixed": "0.5 * aqi + 0.01 * o3", "scaled": "pm2_5 / 30.0"}
+
+
+def _rule_sql() -> str:
+    def row(name: str, rule: str) -> str:
+        part = f"SELECT aqi AS y, {rule}::DOUBLE AS p FROM s WHERE is_train"
+        figures = {
+            "mae": "avg(abs(y - p))", "rmse": "sqrt(avg((y - p) * (y - p)))",
+            "r2": "1 - avg((y - p) * (y - p)) / nullif(var_pop(y), 0)",
+        }
+        columns = ", ".join(
+            f"(SELECT {figure} FROM ({part} = {train})) AS {prefix}_{metric}"
+            for metric, figure in figures.items()
+            for prefix, train in (("train", "true"), ("val", "false"))
+        )
+        return f"SELECT '{name}' AS model, {columns}"
+
+    split = "(series_id * 7919 + (epoch(datetime) // 3600)::BIGINT * 104729 + 42) % 100 < 80 AS is_train"
+    rows = " UNION ALL ".join(row(name, rule) for name, rule in RULES.items())
+    return f"{S.R}, s AS (SELECT *, {split} FROM r), c AS ({rows}), b AS (SELECT * FROM c ORDER BY val_r2 DESC LIMIT 1)"
+
+
+_RULES = _rule_sql()
+_FIGURES = ["train_mae", "val_mae", "train_rmse", "val_rmse", "train_r2", "val_r2"]
+_ROUNDED = "model, " + ", ".join(f"{S.r6(c)} AS {c}" for c in _FIGURES)
+
+
+def rule_comparison(spark: SparkSession, folder: str) -> DataFrame:
+    rows = metrics.train_val_split(readings(spark, folder)).withColumn(training.LABEL, F.col(TARGET))
+    return training.compare_predictions(
+        {name: rows.withColumn(training.PREDICTION, F.expr(rule).cast("double")) for name, rule in RULES.items()}
+    )
+
+
+@query("rule_comparison", f"{_RULES} SELECT {_ROUNDED} FROM c")
+def _(spark, folder):
+    return rule_comparison(spark, folder)
+
+
+@query("rule_metrics_sink", f"{_RULES} SELECT {_ROUNDED} FROM c")
+def _(spark, folder):
+    path = new_dir(spark, "metrics")
+    rows = rule_comparison(spark, folder)
+    store.write_metrics(rows, path)
+    return spark.read.schema(rows.schema).option("header", True).csv(f"{path}/csv")
+
+
+@query("best_rule", f"{_RULES} SELECT {_ROUNDED} FROM b")
+def _(spark, folder):
+    return training.best_model(rule_comparison(spark, folder))
+
+
+@query(
+    "rule_overfit_gap",
+    f"""{_RULES} SELECT model, {S.r6("train_r2")} AS train_r2, {S.r6("val_r2")} AS val_r2,
+        {S.r6("train_r2 - val_r2")} AS gap FROM c""",
+)
+def _(spark, folder):
+    return training.overfit_gap(rule_comparison(spark, folder))
+
+
+@query(
+    "rule_error_reduction",
+    f"""{_RULES} SELECT b.model AS winner, c.model AS other,
+          {S.r6("100 * (1 - b.val_rmse / c.val_rmse)")} AS rmse_reduction,
+          {S.r6("100 * (1 - b.val_mae / c.val_mae)")} AS mae_reduction,
+          {S.r6("(b.val_r2 - c.val_r2) * 100")} AS r2_lead,
+          {S.r6("100 * (1 - b.val_rmse / (SELECT avg(val_rmse) FROM c))")} AS rmse_below_mean
+        FROM c, b WHERE c.model <> b.model""",
+)
+def _(spark, folder):
+    return training.error_reduction(rule_comparison(spark, folder))
+
+
+@query(
+    "rule_registered_metrics",
+    f"{_RULES} SELECT model, {S.r6('val_r2')} AS r2, {S.r6('val_rmse')} AS rmse, {S.r6('val_mae')} AS mae FROM b",
+)
+def _(spark, folder):
+    return training.registered_metrics(rule_comparison(spark, folder))
+
+
 # --- Explanations ---------------------------------------------------------
 
 

@@ -60,7 +60,7 @@ WIDE = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 @query("describe_wide", _describe_sql("lineitem", WIDE))
 def _(spark, folder):
     """By the method for large inputs, whatever the size."""
-    return profile.describe(table(spark, folder, "lineitem"), WIDE, small=False)
+    return profile.describe(table(spark, folder, "lineitem"), WIDE)
 
 
 @query(
@@ -87,7 +87,18 @@ def _(spark, folder):
     return profile.date_range(readings(spark, folder))
 
 
-@query("schema_report")
+_KINDS = {KEY: "bigint", TIME: "timestamp", TARGET: "double", "no": "bigint"}
+
+
+@query(
+    "schema_report",
+    S.R
+    + S.union_all(
+        f"""SELECT {i} AS position, '{c}' AS "column", '{_KINDS.get(c, "double")}' AS type, count({c}) AS non_null,
+            {str(c == TIME).lower()} AS is_time FROM r"""
+        for i, c in enumerate([KEY, TIME, TARGET, "co", "no", "no2", "o3", "so2", "pm2_5", "pm10", "nh3"])
+    ),
+)
 def _(spark, folder):
     return profile.schema_report(readings(spark, folder))
 
@@ -357,7 +368,7 @@ def boxplot_stats(spark, folder):
 )
 def _(spark, folder):
     by_month = order_series(spark, folder).withColumn("month", F.month(TIME))
-    return profile.boxplot_stats(by_month, "month", TARGET, small=False)
+    return profile.boxplot_stats(by_month, "month", TARGET)
 
 
 @query(

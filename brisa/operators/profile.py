@@ -10,8 +10,8 @@ from pyspark.sql import types as T
 
 from brisa.functions.calendar import DAY_NAMES, day_name, season
 from brisa.functions.categories import HEALTH_CATEGORIES, health_category
-from brisa.functions.numeric import safe_correlation, to_published, varies
-from brisa.operators.quantiles import is_small, quartiles
+from brisa.functions.numeric import safe_correlation, to_published, varies, without_nan
+from brisa.operators.quantiles import quartiles
 from brisa.operators.shape import melt
 from brisa.operators.windows import with_previous
 from brisa.schemas import CORRELATED, KEY, PROFILE_POLLUTANTS, SHARE_POLLUTANTS, TARGET, TIME
@@ -51,11 +51,10 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
 
 
-def describe(df: DataFrame, columns: list[str] | None = None, small: bool | None = None) -> DataFrame:
-    """Count, mean, sample deviation, extremes and exact quartiles of each column."""
+def describe(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Count, mean, sample deviation, extremes and exact quartiles of each column, without nulls and NaN."""
     columns = columns or numeric_columns(df)
-    long = melt(df, columns, "column", "value")
-    small = is_small(long) if small is None else small
+    long = melt(df, columns, "column", "value").withColumn("value", without_nan(F.col("value").cast("double")))
     moments = [
         F.count("value").alias("count"),
         F.avg("value").alias("mean"),
@@ -63,13 +62,7 @@ def describe(df: DataFrame, columns: list[str] | None = None, small: bool | None
         F.min("value").alias("min"),
         F.max("value").alias("max"),
     ]
-    if small:
-        quarters = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q")
-        described = long.groupBy("column").agg(*moments, quarters)
-        return described.selectExpr("* EXCEPT (_q)", "_q[0] AS q25", "_q[1] AS q50", "_q[2] AS q75")
-    # One row per column name on both sides.
-    quarters = F.broadcast(quartiles(long, ["column"], "value", small))
-    return long.groupBy("column").agg(*moments).join(quarters, "column", "left")
+    return long.groupBy("column").agg(*moments).join(quartiles(long, ["column"], "value"), "column", "left")
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
@@ -369,17 +362,15 @@ def kde_curve(df: DataFrame, value: str = TARGET, points: int = 200) -> DataFram
     )
 
 
-def boxplot_stats(df: DataFrame, group: str, value: str, small: bool | None = None) -> DataFrame:
-    """Exact quartiles, whiskers at 1.5 times their distance, and outliers per group.
-
-    ``group`` must come from a fixed small set; one row per group is broadcast.
-    """
-    data = df.select(group, value).where(F.col(value).isNotNull() & F.col(group).isNotNull())
-    box = quartiles(data, [group], value, small)
+def boxplot_stats(df: DataFrame, group: str, value: str) -> DataFrame:
+    """Exact quartiles, whiskers at 1.5 times their distance, and outliers per group, without nulls and NaN."""
+    known = without_nan(F.col(value).cast("double"))
+    data = df.select(group, known.alias(value)).where(F.col(value).isNotNull() & F.col(group).isNotNull())
+    box = quartiles(data, [group], value)
     reach = (F.col("q75") - F.col("q25")) * 1.5
     inside = F.col(value).between(F.col("q25") - reach, F.col("q75") + reach)
     return (
-        data.join(F.broadcast(box), group)
+        data.join(box, group)
         .groupBy(group, "q25", "q50", "q75")
         .agg(
             F.count(value).alias("count"),

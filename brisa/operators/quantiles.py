@@ -1,12 +1,9 @@
 """Exact quantiles, also of data that no single task could hold.
 
-The built-in exact percentile buffers all distinct values of a group in one
-task, so it serves only inputs that Catalyst estimates to be small. Beyond that,
-a small sketch brackets each quantile, the bracket is cut into bins, and only
-the distinct values of the bin that holds the wanted rank are ordered: a few
-scans, of which all but the first two keep under a hundredth of the rows and
-shuffle only counts. A bracket that misses its rank is widened to the whole
-range, so the result is exact whatever the sketch's error is.
+Values are counted, and the distinct ones range-partitioned by group and value: one shuffle, after which
+every partition holds a stretch of the order. The numbers of rows per partition and group tell in which
+partitions the wanted ranks lie, and only there values are looked up. The work and the way are the same for
+every size and every distribution; a value that fills half the rows is one row.
 """
 
 from __future__ import annotations
@@ -14,166 +11,70 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-ACCURACY = 1000
-BINS = 4096
-SMALL_BYTES = 32 * 1024 * 1024
+from brisa.functions.numeric import without_nan
+from brisa.session import new_dir
 
 
-def is_small(df: DataFrame) -> bool:
-    """Catalyst's estimate of the size, without a job. Distinct values need their bytes in it."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(size)) <= SMALL_BYTES
-
-
-def exact_quantiles(
-    df: DataFrame, groups: list[str], value: str, probabilities: list[float], small: bool | None = None
-) -> DataFrame:
+def exact_quantiles(df: DataFrame, groups: list[str], value: str, probabilities: list[float]) -> DataFrame:
     """(groups, probability, quantile) with linear interpolation between neighbours.
 
-    ``groups`` must come from a fixed small set, such as column names, months or
-    weekdays: one row per group is broadcast. Nulls and rows with a null group
-    are left out. ``small`` overrides the choice of method.
+    Nulls, NaN and rows with a null group are left out; infinite values stand at the ends of the order, and
+    between a finite and an infinite neighbour the quantile is infinite.
     """
-    data = df.select(*groups, F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL AND NOT isnan(_v)")
-    if is_small(data) if small is None else small:
-        return _in_one_task(data, groups, probabilities)
-    brackets = _brackets(data, groups, probabilities)
-    bins = _bins_holding_ranks(data, brackets, groups, probabilities)
-    return _values_at_ranks(data, bins, groups, probabilities)
-
-
-def _in_one_task(data: DataFrame, groups: list[str], probabilities: list[float]) -> DataFrame:
-    percentages = F.array(*[F.lit(float(p)) for p in probabilities])
-    return (
-        data.dropna(subset=groups)
-        .groupBy(*groups)
-        .agg(F.percentile("_v", percentages).alias("_q"))
-        .select(*groups, F.explode(F.arrays_zip(percentages.alias("probability"), F.col("_q").alias("quantile"))).alias("_z"))
-        .select(*groups, "_z.probability", "_z.quantile")
+    spark = df.sparkSession
+    data = df.select(*groups, without_nan(F.col(value).cast("double")).alias("_v")).dropna()
+    counted = data.groupBy(*groups, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = [*groups, "_v"]
+    path = new_dir(spark, "quantiles")
+    # Written once, so both readings below see the same partitions.
+    ordered = counted.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    ordered.withColumn("_part", F.spark_partition_id()).write.parquet(path)
+    rows = spark.read.schema(counted.withColumn("_part", F.lit(0)).schema).parquet(path)
+    # A row per partition and group of it.
+    before = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*groups)
+    starts = (
+        rows.groupBy(*groups, "_part")
+        .agg(F.sum("_n").alias("_size"))
+        .withColumn("_start", F.coalesce(F.sum("_size").over(before), F.lit(0)))
+        .withColumn("_all", F.sum("_size").over(whole))
     )
-
-
-_IN_BRACKET = "_v BETWEEN {0}_low AND {0}_high"
-_BIN = f"int(least(floor(coalesce(try_divide(_v - _low, _high - _low), 0D) * {BINS}), {BINS - 1}))"
-
-
-def _near(data: DataFrame, targets: DataFrame, groups: list[str], probabilities: list[float]) -> DataFrame:
-    """Each value once per bracket it lies in, with that bracket's fields and the bin.
-
-    The brackets of a group are columns of one broadcast row, so the test that
-    drops nearly all values is plain generated code.
-    """
-    fields = F.struct(*[c for c in targets.columns if c not in groups])
-    wide = targets.groupBy(*groups).agg(
-        *[F.max(F.when(F.col("probability") == p, fields)).alias(f"_t{i}") for i, p in enumerate(probabilities)]
+    marks = ", ".join(
+        f"named_struct('probability', {float(p)!r}D, '_place', (_all - 1) * {float(p)!r}D)" for p in probabilities
     )
-    names = [f"_t{i}" for i in range(len(probabilities))]
-    return (
-        data.join(F.broadcast(wide), groups)
-        .where(" OR ".join(_IN_BRACKET.format(f"{n}.") for n in names))
-        .selectExpr(*groups, "_v", f"inline(array({', '.join(names)}))")
-        .where(_IN_BRACKET.format(""))
-        .withColumn("_bin", F.expr(_BIN))
+    wanted = (
+        starts.selectExpr(*groups, "_part", "_start", "_size", f"inline(array({marks}))")
+        .withColumn("_rank", F.floor("_place"))
+        .where("_start <= _rank + 1 AND _rank < _start + _size")
     )
-
-
-def _brackets(data: DataFrame, groups: list[str], probabilities: list[float]) -> DataFrame:
-    """Per group and probability: wanted rank, interpolation part, bracket, rows below it, next value above it."""
-    slack = 2.0 / ACCURACY
-    marks = [m for p in probabilities for m in (max(0.0, p - slack), min(1.0, p + slack))]
-    sketched = data.groupBy(*groups).agg(
-        F.count("_v").alias("_n"),
-        F.min("_v").alias("_min"),
-        F.max("_v").alias("_max"),
-        F.percentile_approx("_v", marks, ACCURACY).alias("_marks"),
-    )
-    # In a small group a mark may be a rank off, so there the bracket is the whole range.
-    guess = []
-    for i in range(len(probabilities)):
-        guess += [
-            f"IF(_n > {ACCURACY}, _marks[{2 * i}], _min) AS _low{i}",
-            f"IF(_n > {ACCURACY}, _marks[{2 * i + 1}], _max) AS _high{i}",
-        ]
-    guessed = sketched.selectExpr(*groups, "_n", "_min", "_max", *guess)
-    counts = []
-    for i in range(len(probabilities)):
-        counts += [
-            F.expr(f"count_if(_v < _low{i})").alias(f"_below{i}"),
-            F.expr(f"count_if(_v <= _high{i})").alias(f"_through{i}"),
-            F.expr(f"min(CASE WHEN _v > _high{i} THEN _v END)").alias(f"_above{i}"),
-        ]
-    fixed = [c for c in guessed.columns if c not in groups]
-    counted = data.join(F.broadcast(guessed), groups).groupBy(*groups, *fixed).agg(*counts)
-    rows = ", ".join(
-        f"named_struct('probability', {float(p)!r}D, '_rank', bigint(floor((_n - 1) * {float(p)!r}D)),"
-        f" '_low', _low{i}, '_high', _high{i}, '_below', _below{i}, '_through', _through{i}, '_above', _above{i})"
-        for i, p in enumerate(probabilities)
+    # Within a partition the values of a group are a bounded stretch.
+    so_far = Window.partitionBy(*groups, "_part").orderBy("_v")
+    placed = rows.join(wanted.select(*groups, "_part").distinct(), [*groups, "_part"], "left_semi").withColumn(
+        "_until", F.sum("_n").over(so_far)
     )
-    found = counted.selectExpr(*groups, "_n", "_min", "_max", f"inline(array({rows}))")
-    hit = "_below <= _rank AND _rank < _through"
-    return found.selectExpr(
-        *groups,
-        "probability",
-        "_rank",
-        "(_n - 1) * probability - _rank AS _part",
-        f"IF({hit}, _low, _min) AS _low",
-        f"IF({hit}, _high, _max) AS _high",
-        f"IF({hit}, _below, 0L) AS _below",
-        f"IF({hit}, _above, NULL) AS _above",
-    )
-
-
-def _bins_holding_ranks(
-    data: DataFrame, brackets: DataFrame, groups: list[str], probabilities: list[float]
-) -> DataFrame:
-    """Per bracket the bin with the wanted rank and the next non-empty one, with the rows below them."""
-    fields = [c for c in brackets.columns if c not in groups]
-    # At most BINS rows per group and probability reach this window.
-    by_bin = Window.partitionBy(*groups, "probability").orderBy("_bin")
-    return (
-        _near(data, brackets, groups, probabilities)
-        .groupBy(*groups, *fields, "_bin")
-        .count()
-        .withColumn("_start", F.col("_below") + F.sum("count").over(by_bin) - F.col("count"))
-        .where("_start <= _rank + 1 AND _rank < _start + count")
-        .groupBy(*groups, *fields)
-        .agg(
-            F.min(F.struct("_bin", "_start")).alias("_one"),
-            F.max(F.struct("_bin", "_start")).alias("_two"),
-        )
-    )
-
-
-def _values_at_ranks(
-    data: DataFrame, bins: DataFrame, groups: list[str], probabilities: list[float]
-) -> DataFrame:
-    in_bin = Window.partitionBy(*groups, "probability", "_bin").orderBy("_v")
-    at = "_first <= _rank AND _rank < _first + count"
-    following = "_first <= _rank + 1 AND _rank + 1 < _first + count"
-    return (
-        _near(data, bins, groups, probabilities)
-        .where("_bin = _one._bin OR _bin = _two._bin")
-        .withColumn("_start", F.expr("IF(_bin = _one._bin, _one._start, _two._start)"))
-        .groupBy(*groups, "probability", "_rank", "_part", "_above", "_bin", "_start", "_v")
-        .count()
-        .withColumn("_first", F.col("_start") + F.sum("count").over(in_bin) - F.col("count"))
+    at = "_first <= _rank AND _rank < _first + _n"
+    following = "_first <= _rank + 1 AND _rank + 1 < _first + _n"
+    found = (
+        placed.join(wanted, [*groups, "_part"])
+        .withColumn("_first", F.expr("_start + _until - _n"))
         .where(f"({at}) OR ({following})")
-        .groupBy(*groups, "probability", "_part", "_above")
+        .groupBy(*groups, "probability")
         .agg(
             F.expr(f"max(CASE WHEN {at} THEN _v END)").alias("_at"),
             F.expr(f"max(CASE WHEN {following} THEN _v END)").alias("_next"),
-        )
-        .selectExpr(
-            *groups, "probability", "_at + (coalesce(_next, _above, _at) - _at) * _part AS quantile"
+            F.max(F.expr("_place - _rank")).alias("_share"),
         )
     )
+    even = "_share = 0 OR _next IS NULL OR _at = _next"
+    return found.selectExpr(*groups, "probability", f"IF({even}, _at, _at + (_next - _at) * _share) AS quantile")
 
 
-def quartiles(df: DataFrame, groups: list[str], value: str, small: bool | None = None) -> DataFrame:
+def quartiles(df: DataFrame, groups: list[str], value: str) -> DataFrame:
     """(groups, q25, q50, q75)."""
     names = {0.25: "q25", 0.5: "q50", 0.75: "q75"}
     return (
-        exact_quantiles(df, groups, value, list(names), small)
+        exact_quantiles(df, groups, value, list(names))
         .groupBy(*groups)
         .agg(*[F.max(F.when(F.col("probability") == p, F.col("quantile"))).alias(n) for p, n in names.items()])
     )

@@ -128,9 +128,14 @@ def train_models(
 
 def model_comparison(models: dict[str, PipelineModel], data: DataFrame) -> DataFrame:
     """One row per model: MAE, RMSE and R² on training and validation rows."""
+    return compare_predictions({name: model.transform(data) for name, model in models.items()})
+
+
+def compare_predictions(predictions: dict[str, DataFrame]) -> DataFrame:
+    """The same for predictions made elsewhere: per model, rows with label, prediction and ``is_train``."""
     rows = None
-    for name, model in models.items():
-        scored = regression_metrics(model.transform(data), LABEL, PREDICTION, [F.col("is_train")])
+    for name, predicted in predictions.items():
+        scored = regression_metrics(predicted, LABEL, PREDICTION, [F.col("is_train")])
         pick = lambda metric, train: F.max(F.when(F.col("is_train") == F.lit(train), F.col(metric)))
         row = scored.agg(
             *[
