@@ -27,6 +27,9 @@ ROWS = 1 << 18
 #: Odd multipliers of the two rolling hashes (64-bit arithmetic).
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
+#: In place of ``x``: this run is known to be repeated.
+KNOWN = 0xFFFF
+
 RUN = "g bigint, c bigint, doc bigint, a bigint, n int, x int"
 
 
@@ -97,6 +100,20 @@ def runs(units: np.ndarray, order: np.ndarray, sizes: np.ndarray, length: int, g
     return owner[a], a - starts[owner[a]], n, p - a, grams[p], content
 
 
+def known_within(g, c, text, a, keep: int) -> np.ndarray:
+    """Which runs come after the first ``keep`` of equal content in their text: these are repeated, whatever other texts hold.
+
+    A text that repeats one short pattern has such a run at every place. They need not meet others at their anchor.
+    """
+    order = np.lexsort((a, c, g, text))
+    same = (np.diff(text[order]) == 0) & (np.diff(g[order]) == 0) & (np.diff(c[order]) == 0)
+    start = np.concatenate([[0], np.flatnonzero(~same) + 1])
+    place = np.arange(len(order)) - np.repeat(start, np.diff(np.append(start, len(order))))
+    out = np.zeros(len(order), bool)
+    out[order] = place >= keep
+    return out
+
+
 def batch_of(columns: dict[str, np.ndarray], schema: pa.Schema) -> pa.RecordBatch:
     arrays = []
     for field in schema:
@@ -109,7 +126,7 @@ def batch_of(columns: dict[str, np.ndarray], schema: pa.Schema) -> pa.RecordBatc
 RUN_SCHEMA = pa.schema([(n, pa.int64()) for n in ("g", "c", "doc", "a")] + [("n", pa.int32()), ("x", pa.int32())])
 
 
-def settled(g, c, doc, rule: str, forced: bool, carried):
+def settled(g, c, doc, known, rule: str, forced: bool, carried):
     """Which of the sorted runs hold windows that are repeated, and which must be looked at closer.
 
     ``carried`` is the first (doc, a) of the first class here if that began earlier. ``forced``
@@ -132,8 +149,8 @@ def settled(g, c, doc, rule: str, forced: bool, carried):
     else:
         repeated = size[class_] > 1
     classes = np.bincount(group[first])
-    closer = ((classes[group] > 1) | forced) & (is_first | ~repeated)
-    return repeated, closer, class_, first_doc
+    closer = ((classes[group] > 1) | forced) & (is_first | ~repeated) & ~known
+    return repeated | known, closer
 
 
 def resolve(found: DataFrame, rule: str) -> DataFrame:
@@ -150,7 +167,7 @@ def resolve(found: DataFrame, rule: str) -> DataFrame:
         held, count, carried, mid_group = [], 0, None, False
 
         def give(rows, forced):
-            repeated, closer, *_ = settled(rows["g"], rows["c"], rows["doc"], rule, forced, carried)
+            repeated, closer = settled(rows["g"], rows["c"], rows["doc"], rows["x"] == KNOWN, rule, forced, carried)
             for mark, at in ((False, np.flatnonzero(repeated)), (True, np.flatnonzero(closer))):
                 if len(at):
                     columns = {k: rows[k][at] for k in names} | {"closer": np.full(len(at), mark)}

@@ -26,12 +26,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brisa.llm.anchors import (
+    KNOWN,
     RUN,
     RUN_SCHEMA,
     SEGMENT,
     Rolling,
     batch_of,
     by_document,
+    known_within,
     merged,
     resolve,
     runs,
@@ -59,7 +61,7 @@ def keyed(docs: DataFrame) -> DataFrame:
     )
 
 
-def byte_runs(docs: DataFrame, length: int) -> DataFrame:
+def byte_runs(docs: DataFrame, length: int, rule: str) -> DataFrame:
     def run(batches):
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
@@ -70,7 +72,9 @@ def byte_runs(docs: DataFrame, length: int) -> DataFrame:
                 stretch, a, n, x, g, c = runs(units, None, sizes, length, GRAM)
                 text = np.array([t for t, _, _ in group])[stretch]
                 a = a + np.array([s for _, s, _ in group])[stretch]
-                yield batch_of(dict(g=g, c=c, doc=ids[text], a=a, n=n, x=x), RUN_SCHEMA)
+                known = known_within(g, c, text, a, 1 if rule == "first" else 2)
+                g = np.where(known, mixed(ids[text].astype(np.uint64) + mixed(a.astype(np.uint64))), g)
+                yield batch_of(dict(g=g, c=c, doc=ids[text], a=a, n=n, x=np.where(known, KNOWN, x)), RUN_SCHEMA)
 
     return docs.mapInArrow(run, RUN)
 
@@ -254,7 +258,7 @@ def repeated(docs: DataFrame, length: int, rule: str) -> DataFrame:
 
     Earlier means in a document of smaller id, or before in the same one. Spans may overlap.
     """
-    level = stored(resolve(byte_runs(docs, length), rule).drop("c"), "byte-runs")
+    level = stored(resolve(byte_runs(docs, length, rule), rule).drop("c"), "byte-runs")
     closer = level.where("closer").select("g", "doc", "a", "n", "x")
     near = stored(run_bytes(docs, closer, length), "run-bytes")
     hot = stored(near.groupBy("g").count().where(F.col("count") > HOT).select("g"), "hot")
