@@ -9,15 +9,20 @@ import uuid
 from pyspark.sql import SparkSession
 
 
-def local_session(cores: int = 8, shuffle_partitions: int | None = None, app: str = "brisa") -> SparkSession:
+def local_session(
+    cores: int = 8, shuffle_partitions: int | None = None, app: str = "brisa", shared: str | None = None
+) -> SparkSession:
     """Session for tests and benches on one machine; a cluster brings its own.
 
+    ``shared`` is the folder for stored tables and checkpoints, a new one by default.
+
     Looking up the Python call site of every column expression takes longer than
     planning a small query, so that debugging aid is off.
     """
     return (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
+        .config("spark.checkpoint.dir", shared or tempfile.mkdtemp(prefix="run-", dir="/tmp"))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cores))
         .config("spark.sql.adaptive.enabled", "true")

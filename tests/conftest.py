@@ -8,7 +8,7 @@ from brisa.session import local_session, prepare
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    session = prepare(local_session(cores=8, shuffle_partitions=4, app="brisa-tests"))
+    session = prepare(local_session(8, 4, "brisa-tests", str(tmp_path_factory.mktemp("shared"))))
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
