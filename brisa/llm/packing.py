@@ -107,7 +107,8 @@ def slots(planned: list[tuple[int, tuple[int, ...]]]) -> list[tuple[int, int, in
 def pack(cut: DataFrame, capacity: int) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to pieces (doc_id, piece, start, length, ids_crc32).
 
-    The plan's rows are bounded by the capacity, not by the pieces: they fit a broadcast.
+    The plan's rows are bounded by the capacity. Its stretches of ranks are cut into steps, a row for
+    some thousand pieces, so the join has small groups; Spark chooses how to join.
     """
     spark = cut.sparkSession
     cut = stored(cut, "pieces")
