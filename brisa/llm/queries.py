@@ -44,7 +44,7 @@ def op9(spark, folder):
 def vocabulary() -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 @query("op8_best_fit_packing")

@@ -3,6 +3,9 @@
 The vocabulary's pattern looks ahead only to group white space. A text without two white-space
 characters side by side is cut the same way by the pattern without that part, which needs no
 backtracking and takes little over half the time; other texts take the whole pattern.
+
+A vocabulary is named by its tokenizer's .json, whose added tokens are taken out of any text before the rest is
+encoded, or by a .tiktoken rank file, which has none. The ranks of a .json stand in the rank file beside it.
 """
 
 from __future__ import annotations
@@ -30,18 +33,26 @@ def kept_by_worker(name: str, build):
 
 def _encoders(path: str):
     import base64
+    import json
+    from functools import partial
 
     import tiktoken
     from public_tokenizers import PATTERN
 
+    added = {}
+    if path.endswith(".json"):
+        with open(path, encoding="utf-8") as file:
+            tokens = json.load(file)["added_tokens"]
+        # Added tokens that also take the white space around them, or stand between words only, are cut otherwise.
+        assert not any(t[k] for t in tokens for k in ("single_word", "lstrip", "rstrip", "normalized"))
+        added = {t["content"]: t["id"] for t in tokens}
+        path = path.removesuffix("json") + "tiktoken"
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     plain = PATTERN.replace(LOOK_AHEAD, "")
     assert plain != PATTERN
-    return [
-        tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        for pattern in (plain, PATTERN)
-    ]
+    own = [tiktoken.Encoding("own", pat_str=p, mergeable_ranks=ranks, special_tokens=added) for p in (plain, PATTERN)]
+    return [partial(e.encode, allowed_special="all") if added else e.encode_ordinary for e in own]
 
 
 def encoders(path: str):

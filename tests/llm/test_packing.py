@@ -7,6 +7,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from brisa.llm import packing
+from brisa.llm.queries import vocabulary
 from brisa.llm.ranks import ranked
 from brisa.llm.tokens import token_ids
 
@@ -28,6 +29,36 @@ def test_ids_equal_the_tokenizer(tokenizer, given):
         assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text[:40])
 
 
+@pytest.fixture(scope="module")
+def loaded():
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+END = "<|endoftext|>"
+HOLDING = [
+    END, f"a {END} b", f"a{END}b", f"a  {END}  b", f"{END}{END}", f"\n\n{END}\n", f"don{END}'t", f"<{END}>", END[:-1] + " " + END,
+    f"1{END}２ 漢{END}字", END.upper(), "x <|endoftext |> y", f"a  b {END} c", f" {END} ",
+]
+
+
+def test_added_tokens_are_those_of_the_tokenizer_as_loaded(loaded, given):
+    texts = HOLDING + [t or "" for _, t, _ in given] + ["a  b", "a\n b", "x \u3000\u3000y", "'ve 're'll"]
+    assert loaded.encode(f"a {END} b", add_special_tokens=False).ids == [64, 220, 50256, 275]
+    for text, ids in zip(texts, token_ids(pa.array(texts), vocabulary())):
+        assert ids.tolist() == loaded.encode(text, add_special_tokens=False).ids, repr(text[:40])
+
+
+def test_pieces_of_texts_with_added_tokens(frame, loaded):
+    texts = [f"{t} " * 40 for t in HOLDING]
+    rows = packing.packed(frame(list(enumerate(texts))), vocabulary(), 64, 2).collect()
+    want = []
+    for i, text in enumerate(texts):
+        ids = np.array(loaded.encode(text, add_special_tokens=False).ids + [2], "<u4")
+        at = [0, *range(len(ids) % 64 or 64, len(ids) + 1, 64)]
+        want += [(i, a, b - a, zlib.crc32(ids[a:b].tobytes())) for a, b in zip(at, at[1:])]
+    assert sorted((r["doc_id"], r["start"], r["length"], r["ids_crc32"]) for r in rows) == want
+
+
 def test_odd_rows(odd, given, tokenizer):
     rows = packing.packed(odd, PATH, 64, 2).collect()
     want = []

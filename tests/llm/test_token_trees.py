@@ -2,8 +2,10 @@ import random
 
 import public_tokenizers
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from brisa.llm import token_trees as tt
+from brisa.llm.queries import vocabulary
 from brisa.llm.tokens import encoders
 from tests.llm.conftest import prose
 
@@ -36,6 +38,23 @@ def test_counts_follow_many_edits(monkeypatch):
             assert all(chars[i] == chars[2 * i] + chars[2 * i + 1] for i in range(1, width))
 
 
+def test_counts_follow_edits_of_added_tokens(monkeypatch):
+    """Edits that make, break and move the literal of an added token, with leaves cut close to it."""
+    monkeypatch.setattr(tt, "LEAF", 12)
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    r = random.Random(5)
+    parts = ["word", " ", "  ", "\n", "<|endoftext|>", "<|endof", "text|>", "é", " the", "x", "|>"]
+    for seed in range(20):
+        text = "".join(r.choice(parts) for _ in range(120))
+        chars, tokens = tt.build(text, vocabulary())
+        assert tokens[1] == len(tokenizer.encode(text, add_special_tokens=False).ids)
+        for _ in range(25):
+            start, removed = r.randrange(len(text) + 1), r.choice([0, 1, 3, 40])
+            inserted = "".join(r.choice(parts) for _ in range(r.choice([0, 1, 3])))
+            text, _ = tt.edit(text, chars, tokens, start, removed, inserted, vocabulary())
+            assert tokens[1] == len(tokenizer.encode(text, add_special_tokens=False).ids), (seed, start, removed, inserted)
+
+
 def test_only_a_stretch_is_encoded():
     text = prose(1, 5000)
     chars, tokens = tt.build(text, PATH)
