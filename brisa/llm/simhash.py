@@ -123,15 +123,19 @@ def _bucket_pass(keys: DataFrame, distance: int, last: bool) -> DataFrame:
 
     def run(batches):
         held: list[tuple] = []
+        # The bucket that goes on at the end of what was read and is known to be too large.
+        over = None
+
+        def too_large(members):
+            # Members of a large bucket come once per bucket; equal rows go in the next step.
+            return pa.record_batch([pa.array(members.view(np.int64)), pa.nulls(len(members), pa.int64())], ["a", "b"])
 
         def give(rows):
             a, b, large = _bucket_links(*rows, distance, last)
-            a, b, large = (x.view(np.int64) for x in (a, b, large))
             if len(large):
-                # Members of a large bucket come once per bucket; equal rows go in the next step.
-                yield pa.record_batch([pa.array(large), pa.nulls(len(large), pa.int64())], ["a", "b"])
+                yield too_large(large)
             if len(a):
-                yield pa.record_batch([pa.array(a), pa.array(b)], ["a", "b"])
+                yield pa.record_batch([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
         count = 0
         for batch in batches:
@@ -139,6 +143,14 @@ def _bucket_pass(keys: DataFrame, distance: int, last: bool) -> DataFrame:
                 continue
             rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
             rows[2] = rows[2].view(np.uint64)
+            if over is not None:
+                other = np.flatnonzero((rows[0] != over[0]) | (rows[1] != over[1]))
+                cut = int(other[0]) if len(other) else len(rows[0])
+                if cut:
+                    yield too_large(rows[2][:cut])
+                if not len(other):
+                    continue
+                rows, over = [x[cut:] for x in rows], None
             held.append(tuple(rows))
             count += len(rows[0])
             if count >= ROWS:
@@ -149,6 +161,10 @@ def _bucket_pass(keys: DataFrame, distance: int, last: bool) -> DataFrame:
                     yield from give((choice[:cut], bits[:cut], prints[:cut]))
                 held = [(choice[cut:], bits[cut:], prints[cut:])]
                 count = len(choice) - cut
+                if count > BUCKET and not last:
+                    # Its members go on as they are read, so a task never holds them all.
+                    yield too_large(prints[cut:])
+                    over, held, count = (choice[-1], bits[-1]), [], 0
         if held:
             yield from give(tuple(np.concatenate(x) for x in zip(*held)))
 

@@ -1,6 +1,7 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -81,6 +82,49 @@ def test_links_join_all_that_are_near(spark, monkeypatch, bucket):
         assert root.get(p, p) == min(members)
 
 
+class Captured:
+    """In place of the keys: takes the function that a task would run."""
+
+    def __init__(self, spark):
+        self.sparkSession = spark
+
+    def repartition(self, *_):
+        return self
+
+    sortWithinPartitions = repartition
+
+    def mapInArrow(self, run, _):  # noqa: N802
+        return run
+
+
+@pytest.mark.parametrize("step", [7, 64])
+def test_a_task_sends_large_buckets_on_as_it_reads_them(spark, monkeypatch, step):
+    monkeypatch.setattr(simhash, "BUCKET", 16)
+    monkeypatch.setattr(simhash, "ROWS", 64)
+    r = np.random.default_rng(2)
+    keys = []
+    for bits, size in enumerate([3, 16, 17, 5000, 2, 90, 64, 700, 1]):
+        keys += [(bits // 4, bits, int(p)) for p in np.sort(r.integers(0, 1 << 62, size))]
+    taken, given, most = 0, 0, 0
+
+    def batches():
+        nonlocal taken
+        for i in range(0, len(keys), step):
+            taken += len(keys[i : i + step])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*keys[i : i + step])], ["choice", "bits", "fingerprint"])
+
+    large = []
+    for batch in simhash._bucket_pass(Captured(spark), 4, False)(batches()):
+        members = batch.filter(batch.column("b").is_null()).column("a").to_pylist()
+        large += members
+        given += len(members)
+        # All but few of the rows here are in large buckets; what was read and not yet given is held.
+        most = max(most, taken - given)
+    sizes = {k: sum(x[:2] == k for x in keys) for k in {x[:2] for x in keys}}
+    assert large == [p for c, b, p in keys if sizes[c, b] > 16]
+    assert most < 300
+
+
 def test_components_of_a_chain_and_a_star(spark):
     chain = [(i, i + 1) for i in range(50)] + [(100, 100 + i) for i in range(1, 60)] + [(7, 7), (None, 3)]
     found = components(spark.createDataFrame(chain, "a bigint, b bigint").withColumn("root", F.lit(1)).select("a", "b"))
