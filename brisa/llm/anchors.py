@@ -223,9 +223,9 @@ def resolve(found: DataFrame, rule: str) -> DataFrame:
     return dealt.mapInArrow(run, RUN + ", closer boolean")
 
 
-def by_document(spans: DataFrame) -> DataFrame:
+def by_document(spans: DataFrame, fields: tuple[str, ...] = ("start", "end")) -> DataFrame:
     """(doc, spans) with all (start, end) of a document; as many as it has windows at most."""
-    return spans.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    return spans.groupBy("doc").agg(F.collect_list(F.struct(*fields)).alias("spans"))
 
 
 def merged(start: np.ndarray, end: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

@@ -291,10 +291,18 @@ def _whole_characters(text: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[n
     return a[a < b], b[a < b]
 
 
+def _bytes_of_words(text: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spans of words as spans of bytes, from the first one's first byte to the last one's last."""
+    inner = np.concatenate([[False], (text != 32) & ((text < 9) | (text > 13)), [False]])
+    edge = np.diff(inner.astype(np.int8))
+    first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    return first[start], last[np.minimum(end, len(last)) - 1]
+
+
 def cut(text: Column, spans: Column, characters: bool = False) -> Column:
     """Struct of n_bytes, n_removed, n_spans and the kept bytes of a text without its spans (start, end).
 
-    With ``characters`` a character that a span holds in part stays, so what is kept is text again.
+    Spans with the field ``words`` set count words, not bytes. With ``characters`` a character that a span holds in part stays, so what is kept is text again.
     """
 
     @F.arrow_udf(CUT)
@@ -303,11 +311,17 @@ def cut(text: Column, spans: Column, characters: bool = False) -> Column:
         lists = spans.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
         fields = spans.flatten()
         start, end = (fields.field(i).to_numpy(zero_copy_only=False) for i in range(2))
+        words = fields.field(2).to_numpy(zero_copy_only=False) if fields.type.num_fields > 2 else np.zeros(len(start), bool)
         ends = np.cumsum(lists)
         rows = []
         for i in range(len(column)):
             text = data[places[i] : places[i + 1]]
-            a, b = merged(start[ends[i] - lists[i] : ends[i]], end[ends[i] - lists[i] : ends[i]], len(text))
+            own = slice(ends[i] - lists[i], ends[i])
+            a, b, w = start[own], end[own], words[own].astype(bool)
+            if w.any():
+                x, y = _bytes_of_words(text, a[w], b[w])
+                a, b = np.concatenate([a[~w], x]), np.concatenate([b[~w], y])
+            a, b = merged(a, b, len(text))
             a, b = a[a < b], b[a < b]
             if characters and len(a):
                 a, b = _whole_characters(text, a, b)
@@ -322,13 +336,22 @@ def cut(text: Column, spans: Column, characters: bool = False) -> Column:
     return run(F.coalesce(text, F.lit("")), spans)
 
 
-def without_repeats(docs: DataFrame, length: int = 400, rule: str = "first", characters: bool = False) -> DataFrame:
+def without_repeats(
+    docs: DataFrame, length: int = 400, rule: str = "first", characters: bool = False, words: int | None = None
+) -> DataFrame:
     """The documents with a struct ``cut_``: n_bytes, n_removed, n_spans (maximal removed runs), kept (bytes).
 
     ``rule`` "first" keeps the first place of a repeated stretch, "other" none. All stretches are
-    judged on the input.
+    judged on the input. With ``words``, so many words that a document of smaller id holds in a row go too, however few
+    bytes they have.
     """
-    spans = by_document(repeated(keyed(docs), length, rule)).withColumnsRenamed({"doc": "spans_of_", "spans": "spans_"})
+    spans, fields = repeated(keyed(docs), length, rule), ("start", "end")
+    if words is not None:
+        from brisa.llm import debruijn
+
+        both = [spans.withColumn("words", F.lit(False)), debruijn.repeated(keyed(docs), words).withColumn("words", F.lit(True))]
+        spans, fields = both[0].unionByName(both[1]), (*fields, "words")
+    spans = by_document(spans, fields).withColumnsRenamed({"doc": "spans_of_", "spans": "spans_"})
     same = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)) == F.col("spans_of_")
     found = docs.join(spans, same, "left").withColumn("cut_", cut(F.col("text"), F.col("spans_"), characters))
     return found.drop("spans_of_", "spans_")

@@ -46,12 +46,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the stretches of 400 bytes or more that occur earlier; ``n_chars`` follows the text.
+    """Documents without the stretches of 400 bytes or more that occur earlier, nor the passages of over 50 words, of
+    whatever length, that a document of smaller id holds; ``n_chars`` follows the text.
 
-    Only whole characters go. A text that is all repeats stays as an empty one; a null text stays null.
+    Both are judged on the input, whose first places stay. Only whole characters go. A text that is all repeats stays as an empty one; a null text stays null.
     """
     small_batches(prepare(spark))
-    cut = suffix.without_repeats(docs, length=400, rule="first", characters=True)
+    cut = suffix.without_repeats(docs, length=400, rule="first", characters=True, words=51)
     changed = F.col("cut_.n_removed") > 0
     text = F.when(changed, F.decode("cut_.kept", "UTF-8")).otherwise(F.col("text"))
     cut = cut.withColumn("text", text)

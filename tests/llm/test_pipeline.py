@@ -2,6 +2,7 @@ import pytest
 
 import corpus_pipeline
 from brisa.llm.queries import ORACLES, QUERIES
+from tests.llm.conftest import prose
 from tests.llm.test_simhash import groups, mark
 from tests.oracle import connect, differences
 from tests.test_oracle import FOLDER
@@ -43,6 +44,19 @@ def test_cut_stage_keeps_first_places(spark, folder, odd):
     assert all(r["n_chars"] == len(r["text"]) for r in rows.values() if r["text"])
 
 
+def test_cut_stage_takes_passages_of_over_50_words(spark, folder, frame):
+    """51 shared words of about 6 letters, of one letter, and with other white space go from later documents; 50 stay."""
+    medium, short, fifty = prose(80, 51), " ".join(chr(97 + i * i * 5 % 26) for i in range(51)), prose(81, 50)
+    assert all(len(t) < 400 for t in (medium, short, fifty)) and len(short) == 101
+    shared = [medium, short, fifty, medium.replace(" ", "\n ")]
+    rows = [(0, f"{prose(50, 30)} {medium} {prose(51, 30)} {short} {prose(52, 30)} {fifty} é")]
+    rows += [(i, f"é{prose(60 + i, 30)} é{i} {shared[i - 1]} ü{i} {prose(70 + i, 30)}") for i in range(1, 5)]
+    found = {r["doc_id"]: r for r in corpus_pipeline.cut_repeats(spark, frame(rows), folder).collect()}
+    want = {i: t if i in (0, 3) else t.replace(shared[i - 1], "") for i, t in rows}
+    assert {i: r["text"] for i, r in found.items()} == want
+    assert all(r["n_chars"] == len(r["text"]) for r in found.values())
+
+
 def test_mixing_stage_repeats_documents(spark, folder, odd):
     rows = corpus_pipeline.mix_sources(spark, odd.where("doc_id < 11"), folder).collect()
     assert all(sum(r == q for q in rows) <= 2 for r in rows)
