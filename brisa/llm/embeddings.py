@@ -6,17 +6,20 @@ such a vector can live with centre e only if x lies at most sin(angle) beyond th
 linked pair meets in the home cell of either, and no link is lost. Cells are compared in tiles of homes against
 streams of vectors; a tile gives the number of links of its homes and only as many links as join its components.
 
+Vectors of every size are compared, each with those of its own size: a cell holds vectors of one size, and each size
+of more than a tile has centres of its own. Smaller ones are one cell each.
+
 The centres are fitted on a bounded sample; all vectors are placed and compared. In many dimensions, vectors without
 clusters visit most cells, and the work comes near to that of all pairs.
 
-Vectors that are null or zero, hold null or non-finite components, have no id or another size than most link with
-nothing and stay. Vectors that differ by a positive factor only link with cosine 1.
+Vectors that are null or zero, hold null or non-finite components, or have no id link with nothing and stay. Vectors that differ by a positive factor only link with cosine 1.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,25 +60,40 @@ def centres(sample: np.ndarray, count: int, rounds: int = 8) -> np.ndarray:
     return np.unique(chosen, axis=0)
 
 
-def _placed(vectors: DataFrame, middle: np.ndarray, threshold: float, visits: bool) -> DataFrame:
-    """(cell, home, id, weight, vector): homes, and visits to other cells."""
+def _apart(middle: np.ndarray) -> np.ndarray:
     between = middle[:, None, :] - middle[None, :, :]
     apart = np.sqrt((between**2).sum(axis=2))
     np.fill_diagonal(apart, 1.0)
+    return apart
+
+
+def _by_size(batch: pa.RecordBatch):
+    """Size of vectors, and the rows of a batch that have it."""
+    sizes = pc.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False)
+    found = np.unique(sizes).tolist()
+    for size in found:
+        yield size, batch if len(found) == 1 else batch.take(pa.array(np.flatnonzero(sizes == size)))
+
+
+def _placed(vectors: DataFrame, middle: dict[int, tuple[int, np.ndarray]], threshold: float, visits: bool) -> DataFrame:
+    """(cell, home, id, weight, vector): homes, and visits to other cells of the same size.
+
+    ``middle`` has the first cell and the centres by size; a size that is not in it is one cell, -size.
+    """
+    apart = {size: _apart(own) for size, (_, own) in middle.items()}
     reach = np.sqrt(max(0.0, 1 - threshold * threshold)) + 1e-9
 
     def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for size, batch in (x for batch in batches if batch.num_rows for x in _by_size(batch)):
             raw = _matrix(batch.column(2))
+            first_cell, own = middle.get(size, (-size, None))
             for start in range(0, len(raw), 2048):
                 part = np.ascontiguousarray(raw[start : start + 2048])
-                dots = _units(part) @ middle.T
+                dots = np.zeros((len(part), 1)) if own is None else _units(part) @ own.T
                 home = dots.argmax(axis=1)
                 near = np.zeros(dots.shape, bool)
-                if visits:
-                    near = (dots[np.arange(len(part)), home][:, None] - dots) <= reach * apart[home]
+                if visits and own is not None:
+                    near = (dots[np.arange(len(part)), home][:, None] - dots) <= reach * apart[size][home]
                 near[np.arange(len(part)), home] = True
                 row, cell = np.nonzero(near)
                 ids, weights = (batch.column(i).slice(start, len(part)).to_numpy(zero_copy_only=False) for i in range(2))
@@ -84,7 +102,7 @@ def _placed(vectors: DataFrame, middle: np.ndarray, threshold: float, visits: bo
                     r, c = row[i : i + STREAM], cell[i : i + STREAM]
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array(c.astype(np.int32)),
+                            pa.array((c + first_cell).astype(np.int32)),
                             pa.array(home[r] == c),
                             pa.array(ids[r]),
                             pa.array(weights[r]),
@@ -186,34 +204,39 @@ def near_duplicates(
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every vector.
 
-    ``n_links`` counts the other vectors with a cosine of at least ``threshold``; the component is named by its smallest id,
+    ``n_links`` counts the other vectors of the same size with a cosine of at least ``threshold``; the component is named by its smallest id,
     whose vector is kept. Rows that repeat an id count as vectors of their own.
     """
     spark = rows.sparkSession
     rows = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"))
     finite = F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     usable = F.coalesce(finite & F.exists("vector", lambda v: v != 0) & F.col("id").isNotNull(), F.lit(False))
-    sizes = rows.where(usable).groupBy(F.size("vector").alias("size")).count().orderBy(F.desc("count"), "size").first()
-    size = sizes["size"] if sizes else 0
-    usable = usable & (F.size("vector") == size)
     distinct = stored(rows.where(usable).groupBy("vector").agg(F.min("id").alias("id"), F.count("*").alias("weight")), "vectors")
-    count = distinct.count()
     answer = rows.select("id", F.when(usable, F.col("vector")).alias("vector"))
-    if count == 0:
+    if distinct.isEmpty():
         named = answer.withColumns({"links": F.lit(0).cast("long"), "root": F.col("id")})
     else:
+        size = F.size("vector").alias("size")
+        large = {r["size"]: r["count"] for r in distinct.groupBy(size).count().where(F.col("count") > TILE).collect()}
         # Every vector has as great a chance to be in the sample, whatever its id.
-        picked = distinct.orderBy(F.xxhash64("vector"), "id").limit(SAMPLE).select("vector").collect()
-        cells = int(min(CELLS, max(1, -(-count // TILE)), len(picked)))
-        middle = centres(_units(np.array([r["vector"] for r in picked], np.float64)), cells)
+        picked = distinct.where(size.isin(*large)).orderBy(F.xxhash64("vector"), "id").limit(SAMPLE).select("vector").collect()
+        samples: dict[int, list] = {}
+        for r in picked:
+            samples.setdefault(len(r["vector"]), []).append(r["vector"])
+        middle, first_cell = {}, 0
+        for n, sample in sorted(samples.items()):
+            own = centres(_units(np.array(sample, np.float64)), int(min(CELLS, -(-large[n] // TILE), len(sample))))
+            middle[n] = (first_cell, own)
+            first_cell += len(own)
         kind = "float32" if distinct.schema["vector"].dataType.elementType.typeName() == "float" else "float64"
         vectors = distinct if kind == "float32" else distinct.withColumn("vector", F.col("vector").cast("array<double>"))
-        homes = _placed(vectors, middle, threshold, False).groupBy("cell").count().collect()  # a row per cell
+        homes = _placed(vectors, middle, threshold, False).groupBy("cell").count()
+        homes = homes.where(F.col("count") > TILE).collect()  # a row per cell of several tiles
         tiles = spark.createDataFrame([(r["cell"], -(-r["count"] // TILE)) for r in homes], "_cell int, _tiles int")
         placed = _placed(vectors, middle, threshold, True)
-        dealt = placed.join(F.broadcast(tiles), F.col("cell") == F.col("_cell")).withColumn(
-            "tile", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1))
-        )
+        dealt = placed.join(F.broadcast(tiles), F.col("cell") == F.col("_cell"), "left")
+        dealt = dealt.withColumn("_tiles", F.coalesce("_tiles", F.lit(1)))
+        dealt = dealt.withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)))
         home_here = F.col("home") & (F.pmod(F.xxhash64("id"), F.col("_tiles")) == F.col("tile"))
         # A home is also compared with as one of the stream.
         roles = F.explode(F.when(home_here, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False))))

@@ -46,6 +46,28 @@ def test_links_equal_brute_force(spark, monkeypatch, tile, kind):
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in found)
 
 
+@pytest.mark.parametrize("tile", [2048, 13])
+def test_vectors_of_every_size_link(spark, monkeypatch, tile):
+    """Two sizes with as many vectors, one with few, and copies of one vector; equal-sized ones link, others do not."""
+    monkeypatch.setattr(embeddings, "TILE", tile)
+    monkeypatch.setattr(embeddings, "STREAM", 32)
+    parts = [vectors(1, 20, 16), vectors(2, 20, 8), vectors(3, 2, 5), [[1.0, 2.0]] * 4 + [[2.0, 4.0]], [[1.0] * 16, [1.0] * 8, [3.0]]]
+    rows = [(i * 3, [float(np.float32(x)) for x in v]) for i, v in enumerate(v for part in parts for v in part)]
+    want = []
+    units = [np.array(v) / np.linalg.norm(v) for _, v in rows]
+    near = [{j for j, u in enumerate(units) if j != i and len(u) == len(x) and x @ u >= 0.95} for i, x in enumerate(units)]
+    for i, (id_, _) in enumerate(rows):
+        seen, todo = {i}, [i]
+        while todo:
+            fresh = near[todo.pop()] - seen
+            seen |= fresh
+            todo += fresh
+        want.append((id_, len(near[i]), min(rows[j][0] for j in seen)))
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").repartition(4)
+    found = embeddings.near_duplicates(frame, 0.95).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in found) == want
+
+
 def test_rows_without_id_and_equal_ids(spark):
     v = [1.0, 2.0]
     frame = spark.createDataFrame([(None, v), (5, v), (5, v), (6, [2.0, 4.0])], "vec_id bigint, embedding array<float>")
