@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brisa.llm import debruijn, embeddings, lexical, token_trees, toxicity, warc
+from brisa.llm import alignment, debruijn, embeddings, lexical, style_tree, token_trees, toxicity, warc
 from brisa.llm.common import table
 from brisa.llm.fingerprint import edited_likeness
 from brisa.llm.mixing import mix
@@ -132,6 +132,22 @@ def op6(spark, folder):
     return warc.audit(records.drop("read"), replica.drop("read"))
 
 
+@query("op11_html_extraction")
+def op11(spark, folder):
+    return style_tree.extract(table(spark, folder, "pages"))
+
+
+def piece_vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+@query("op12_token_alignment")
+def op12(spark, folder):
+    return alignment.align(table(spark, folder, "documents"), vocabulary(), piece_vocabulary())
+
+
 SEARCH_SQL = r"""
 WITH held AS (
   SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
