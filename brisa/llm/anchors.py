@@ -8,10 +8,15 @@ document, first window, number of windows) instead of a row per window.
 Two windows can only be equal if their runs have the same anchor gram. Runs of equal content hold equal
 windows throughout. ``resolve`` sorts runs by anchor and content and settles all of the latter kind;
 what shares an anchor only is handed on to be looked at closer.
+
+Rolling hashes only bring rows together: they are polynomials modulo 2^64, for which texts with equal hashes are easy to
+write. What is taken as equal has the same 64 bits of a BLAKE2b digest of its units besides.
 """
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,8 +29,8 @@ from brisa.llm.tokens import kept_by_worker
 SEGMENT = 1 << 20
 #: Rows of sorted runs handled at a time.
 ROWS = 1 << 18
-#: Odd multipliers of the two rolling hashes (64-bit arithmetic).
-BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+#: Odd multiplier of the rolling hash (64-bit arithmetic).
+BASE = 0x9E3779B97F4A7C15
 
 #: In place of ``x``: this run is known to be repeated.
 KNOWN = 0xFFFF
@@ -33,17 +38,17 @@ KNOWN = 0xFFFF
 RUN = "g bigint, c bigint, doc bigint, a bigint, n int, x int"
 
 
-def _powers(base: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(SEGMENT + 2, base, np.uint64), np.full(SEGMENT + 2, pow(base, -1, 1 << 64), np.uint64)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    up, down = np.full(SEGMENT + 2, BASE, np.uint64), np.full(SEGMENT + 2, pow(BASE, -1, 1 << 64), np.uint64)
     up[0] = down[0] = 1
     return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
 
 
 class Rolling:
-    """Hashes of any stretch of a sequence of 64-bit units, by sums weighed with powers."""
+    """Hashes of any stretch of a sequence of 64-bit units, by sums weighed with powers. Equal ones need not have equal units."""
 
-    def __init__(self, units: np.ndarray, which: int):
-        self.up, self.down = kept_by_worker(f"powers {which}", lambda: _powers(BASES[which]))
+    def __init__(self, units: np.ndarray):
+        self.up, self.down = kept_by_worker("powers", _powers)
         self.sums = np.zeros(len(units) + 1, np.uint64)
         np.cumsum(units * self.up[: len(units)], out=self.sums[1:])
 
@@ -51,6 +56,13 @@ class Rolling:
         return mixed((self.sums[end] - self.sums[start]) * self.down[start])
 
 
+def digests(units: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64 bits of a cryptographic hash of each stretch of units."""
+    view, width = memoryview(np.ascontiguousarray(units)).cast("B"), units.itemsize
+    found = [blake2b(view[s:e], digest_size=8).digest() for s, e in zip((start * width).tolist(), (end * width).tolist())]
+    return np.frombuffer(b"".join(found), np.uint64)
+
+
 def segments(sizes: np.ndarray, length: int):
     """Groups of (text, start, end) with at most SEGMENT units, every window in exactly one of them."""
     group, total = [], 0
@@ -66,14 +78,13 @@ def segments(sizes: np.ndarray, length: int):
         yield group
 
 
-def runs(units: np.ndarray, order: np.ndarray, sizes: np.ndarray, length: int, gram: int):
-    """Runs of windows of concatenated stretches: stretch, first window, windows, anchor place, anchor and content hash.
-
-    Contents are only told apart among runs of one anchor, whose hash is a different one, so both make 128 bits.
+def runs(raw: np.ndarray, units: np.ndarray, order: np.ndarray, sizes: np.ndarray, length: int, gram: int):
+    """Runs of windows of concatenated stretches: stretch, first window, windows, anchor place, anchor hash and content digest.
 
-    ``order`` ranks the units' grams by up to 40 bits; with None their hashes do.
+    ``raw`` holds the units as they are compared, ``units`` as they are hashed for anchors. ``order`` ranks the units'
+    grams by up to 40 bits; with None their hashes do.
     """
-    first, second = Rolling(units, 0), Rolling(units, 1)
+    first = Rolling(units)
     total, width = len(units), length - gram + 1
     places = np.arange(total - gram + 1)
     grams = first.of(places, places + gram)
@@ -96,24 +107,37 @@ def runs(units: np.ndarray, order: np.ndarray, sizes: np.ndarray, length: int, g
     a, n = valid[at], np.diff(np.append(at, len(valid)))
     p = chosen[at]
     shape = mixed(((p - a) << 20 | n).astype(np.uint64))
-    content = second.of(a, a + n - 1 + length) ^ shape
+    content = digests(raw, a, a + n - 1 + length) ^ shape
     return owner[a], a - starts[owner[a]], n, p - a, grams[p], content
 
 
-def known_within(g, c, text, a, keep: int) -> np.ndarray:
-    """Which runs come after the first ``keep`` of equal content in their text: these are repeated, whatever other texts hold.
+def known_here(g, c, doc, a, rule: str) -> np.ndarray:
+    """Which runs the others read with them show to be repeated, whatever other texts hold.
 
-    A text that repeats one short pattern has such a run at every place. They need not meet others at their anchor.
+    Of equal runs only the first, with rule "other" the first two, have to meet those of other tasks at their anchor: a
+    short pattern that a text repeats, or a text that many documents hold, comes there once a task.
     """
-    order = np.lexsort((a, c, g, text))
-    same = (np.diff(text[order]) == 0) & (np.diff(g[order]) == 0) & (np.diff(c[order]) == 0)
+    order = np.lexsort((a, doc, c, g))
+    same = (np.diff(g[order]) == 0) & (np.diff(c[order]) == 0)
     start = np.concatenate([[0], np.flatnonzero(~same) + 1])
-    place = np.arange(len(order)) - np.repeat(start, np.diff(np.append(start, len(order))))
+    size = np.diff(np.append(start, len(order)))
+    place = np.arange(len(order)) - np.repeat(start, size)
     out = np.zeros(len(order), bool)
-    out[order] = place >= keep
+    if rule == "document":
+        out[order] = doc[order] > np.repeat(doc[order][start], size)
+    else:
+        out[order] = place >= (1 if rule == "first" else 2)
     return out
 
 
+def spread_known(g, c, doc, a, x, rule: str) -> tuple[np.ndarray, np.ndarray]:
+    """Anchors and ``x`` of runs: known ones are marked, and dealt by their place instead of their anchor."""
+    if not len(g):
+        return g, x
+    known = known_here(g, c, doc, a, rule)
+    return np.where(known, mixed(doc.astype(np.uint64) + mixed(a.astype(np.uint64))), g), np.where(known, KNOWN, x)
+
+
 def batch_of(columns: dict[str, np.ndarray], schema: pa.Schema) -> pa.RecordBatch:
     arrays = []
     for field in schema:

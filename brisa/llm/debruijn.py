@@ -1,11 +1,11 @@
-"""Removing repeated stretches of words over a compacted de Bruijn graph of word windows.
+"""Removing repeated stretches of words, by runs of word windows in place of a compacted de Bruijn graph.
 
-Every window of ``length`` words is an edge from its first to its last ``length - 1`` words. Windows that follow each
-other and share their anchor (the two longest neighbouring words in them, see anchors.py) lie on one path that is compacted
-where it is read; a row stands for that path. Sorting joins equal paths of all documents and settles them; paths that share
-an anchor only may branch, and are taken apart into their edges, which meet once more by content.
+There is no graph: no (k-1)-word nodes, degrees or joins that compact paths (the README says why). Windows of ``length`` words that follow
+each other and share their anchor (the two longest neighbouring words in them, see anchors.py) are one run, which corresponds to
+a path that is compacted where it is read; a row stands for it. Sorting brings equal runs of all documents together and settles them; runs
+that share an anchor only are taken apart into their windows, which meet once more by content.
 What is repeated comes back as source coordinates (document, first word, end), and adjoining
-paths of a document compact into maximal spans, which are cut from the words at these coordinates.
+runs of a document make maximal spans, which are cut from the words at these coordinates.
 
 A window counts as repeated if it also starts in a document of smaller id; the first document keeps it.
 Ids are unique; rows that repeat an id are cut alike, and a null id counts as the smallest. A null text has no
@@ -14,6 +14,8 @@ words. Texts shorter than ``length`` words stay whole.
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -21,26 +23,43 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brisa.llm.anchors import RUN, RUN_SCHEMA, Rolling, batch_of, by_document, merged, resolve, runs, segments
+from brisa.llm.anchors import RUN, RUN_SCHEMA, Rolling, batch_of, by_document, digests, merged, resolve, runs, segments, spread_known
 from brisa.llm.common import mixed, stored
 from brisa.llm.suffix import NULL_ID, keyed
+from brisa.llm.tokens import kept_by_worker
 
 
 #: Words of the anchor gram.
 GRAM = 2
+#: Words whose digests a worker remembers.
+REMEMBERED = 1 << 19
+
+
+def word_digests(words: list[bytes]) -> np.ndarray:
+    """64 bits of a cryptographic hash of each word. Workers remember those of short ones."""
+    known = kept_by_worker("word digests", dict)
+    if len(known) > REMEMBERED:
+        known.clear()
+    found = []
+    for word in words:
+        digest = known.get(word)
+        if digest is None:
+            digest = blake2b(word, digest_size=8).digest()
+            if len(word) < 32:
+                known[word] = digest
+        found.append(digest)
+    return np.frombuffer(b"".join(found), np.uint64)
 
 
 def word_units(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash and number of bytes of every word of a column, and the number of words per text."""
-    from xxhash import xxh64_intdigest
-
+    """Digest and number of bytes of every word of a column, and the number of words per text."""
     lists = pc.ascii_split_whitespace(column.cast(pa.large_string()).fill_null(""))
     counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
     coded = pc.dictionary_encode(lists.flatten())
     codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     sizes = pc.binary_length(coded.dictionary).to_numpy(zero_copy_only=False).astype(np.int64)
     words = coded.dictionary.cast(pa.large_binary()).to_pylist()
-    hashes = np.array([xxh64_intdigest(w) for w in words], np.uint64)
+    hashes = word_digests(words)
     there = sizes[codes] > 0 if len(codes) else np.zeros(0, bool)
     owner = np.repeat(np.arange(len(counts)), counts)[there]
     codes = codes[there]
@@ -67,10 +86,12 @@ def paths(docs: DataFrame, length: int) -> DataFrame:
             for group in segments(counts, length):
                 where = np.concatenate([np.arange(starts[t] + a, starts[t] + b) for t, a, b in group])
                 sizes = np.array([b - a for _, a, b in group])
-                stretch, a, n, x, g, c = runs(hashes[where], rank[where], sizes, length, GRAM)
-                text = np.array([t for t, _, _ in group])[stretch]
+                units = hashes[where]
+                stretch, a, n, x, g, c = runs(units, units, rank[where], sizes, length, GRAM)
+                doc = ids[np.array([t for t, _, _ in group])[stretch]]
                 a = a + np.array([s for _, s, _ in group])[stretch]
-                yield batch_of(dict(g=g, c=c, doc=ids[text], a=a, n=n, x=x), RUN_SCHEMA)
+                g, x = spread_known(g, c, doc, a, x, "document")
+                yield batch_of(dict(g=g, c=c, doc=doc, a=a, n=n, x=x), RUN_SCHEMA)
 
     return docs.mapInArrow(run, RUN)
 
@@ -100,7 +121,7 @@ def edges(docs: DataFrame, closer: DataFrame, length: int) -> DataFrame:
                     if not len(some):
                         continue
                     units = hashes[starts[t] + low : starts[t] + min(counts[t], low + (1 << 19) + length)]
-                    g, c = (Rolling(units, i).of(some - low, some - low + length) for i in range(2))
+                    g, c = Rolling(units).of(some - low, some - low + length), digests(units, some - low, some - low + length)
                     one = np.ones(len(some))
                     yield batch_of(dict(g=g, c=c, doc=np.full(len(some), ids[t]), a=some, n=one, x=one), RUN_SCHEMA)
 

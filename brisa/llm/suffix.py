@@ -26,18 +26,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brisa.llm.anchors import (
-    KNOWN,
     RUN,
     RUN_SCHEMA,
     SEGMENT,
     Rolling,
     batch_of,
     by_document,
-    known_within,
+    digests,
     merged,
     resolve,
     runs,
     segments,
+    spread_known,
 )
 from brisa.llm.common import mixed, partitions, stored, text_bytes
 
@@ -61,20 +61,24 @@ def keyed(docs: DataFrame) -> DataFrame:
     )
 
 
+def spread_bytes(data: np.ndarray) -> np.ndarray:
+    """Bytes as units of a rolling hash."""
+    return mixed(data.astype(np.uint64) + np.uint64(1))
+
+
 def byte_runs(docs: DataFrame, length: int, rule: str) -> DataFrame:
     def run(batches):
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             data, places = text_bytes(batch.column(1))
             for group in segments(np.diff(places), length):
-                units = mixed(np.concatenate([data[places[t] + a : places[t] + b] for t, a, b in group]).astype(np.uint64) + np.uint64(1))
+                raw = np.concatenate([data[places[t] + a : places[t] + b] for t, a, b in group])
                 sizes = np.array([b - a for _, a, b in group])
-                stretch, a, n, x, g, c = runs(units, None, sizes, length, GRAM)
-                text = np.array([t for t, _, _ in group])[stretch]
+                stretch, a, n, x, g, c = runs(raw, spread_bytes(raw), None, sizes, length, GRAM)
+                doc = ids[np.array([t for t, _, _ in group])[stretch]]
                 a = a + np.array([s for _, s, _ in group])[stretch]
-                known = known_within(g, c, text, a, 1 if rule == "first" else 2)
-                g = np.where(known, mixed(ids[text].astype(np.uint64) + mixed(a.astype(np.uint64))), g)
-                yield batch_of(dict(g=g, c=c, doc=ids[text], a=a, n=n, x=np.where(known, KNOWN, x)), RUN_SCHEMA)
+                g, x = spread_known(g, c, doc, a, x, rule)
+                yield batch_of(dict(g=g, c=c, doc=doc, a=a, n=n, x=x), RUN_SCHEMA)
 
     return docs.mapInArrow(run, RUN)
 
@@ -206,8 +210,7 @@ def _split_runs(texts_: DataFrame, length: int) -> DataFrame:
             data, sizes = _joined(batch.column("bytes"))
             doc, a, n, x = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("doc", "a", "n", "x"))
             starts = np.cumsum(sizes) - sizes
-            units = mixed(data.astype(np.uint64) + np.uint64(1))
-            first, second = Rolling(units, 0), Rolling(units, 1)
+            first = Rolling(spread_bytes(data))
             owner = np.repeat(np.arange(len(n)), n)
             offset = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
             block = (x[owner] - offset) // SPLIT
@@ -219,7 +222,7 @@ def _split_runs(texts_: DataFrame, length: int) -> DataFrame:
             g = first.of(shared, shared - SPLIT + 1 + length) ^ mixed(block.astype(np.uint64))
             begin = starts[owner] + offset
             shape = mixed(((shared - begin) << 20 | count).astype(np.uint64))
-            content = second.of(begin, begin + count - 1 + length) ^ shape
+            content = digests(data, begin, begin + count - 1 + length) ^ shape
             columns = dict(g=g, c=content, doc=doc[owner], a=a[owner] + offset, n=count, x=offset)
             yield batch_of(columns, RUN_SCHEMA)
 
@@ -241,8 +244,7 @@ def _windows(texts_: DataFrame, closer: DataFrame, length: int) -> DataFrame:
             at, count = (fields.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(2))
             row, offset = np.repeat(row, count), np.repeat(at, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
             begin = (np.cumsum(sizes) - sizes)[row] + offset
-            units = mixed(data.astype(np.uint64) + np.uint64(1))
-            g, c = (Rolling(units, i).of(begin, begin + length) for i in range(2))
+            g, c = Rolling(spread_bytes(data)).of(begin, begin + length), digests(data, begin, begin + length)
             one = np.ones(len(row))
             yield batch_of(dict(g=g, c=c, doc=doc[row], a=a[row] + offset, n=one, x=one), RUN_SCHEMA)
 
@@ -336,14 +338,14 @@ def cut(text: Column, spans: Column, characters: bool = False) -> Column:
     return run(F.coalesce(text, F.lit("")), spans)
 
 
-def without_repeats(
+def cut_documents(
     docs: DataFrame, length: int = 400, rule: str = "first", characters: bool = False, words: int | None = None
 ) -> DataFrame:
-    """The documents with a struct ``cut_``: n_bytes, n_removed, n_spans (maximal removed runs), kept (bytes).
+    """(row, cut): the documents, each with all its columns in ``row``, and n_bytes, n_removed, n_spans (maximal removed runs), kept (bytes).
 
     ``rule`` "first" keeps the first place of a repeated stretch, "other" none. All stretches are
     judged on the input. With ``words``, so many words that a document of smaller id holds in a row go too, however few
-    bytes they have.
+    bytes they have. Columns besides doc_id and text may have any names.
     """
     spans, fields = repeated(keyed(docs), length, rule), ("start", "end")
     if words is not None:
@@ -351,7 +353,14 @@ def without_repeats(
 
         both = [spans.withColumn("words", F.lit(False)), debruijn.repeated(keyed(docs), words).withColumn("words", F.lit(True))]
         spans, fields = both[0].unionByName(both[1]), (*fields, "words")
-    spans = by_document(spans, fields).withColumnsRenamed({"doc": "spans_of_", "spans": "spans_"})
-    same = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)) == F.col("spans_of_")
-    found = docs.join(spans, same, "left").withColumn("cut_", cut(F.col("text"), F.col("spans_"), characters))
-    return found.drop("spans_of_", "spans_")
+    whole = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.struct("*").alias("row"))
+    found = whole.join(by_document(spans, fields), "doc", "left")
+    return found.select("row", cut(F.col("row.text"), F.col("spans"), characters).alias("cut"))
+
+
+def without_repeats(docs: DataFrame, length: int = 400, rule: str = "first", **how) -> DataFrame:
+    """The same with the documents' columns and the struct ``cut_``, which gets further underscores if they have that column."""
+    name = "cut_"
+    while name in docs.columns:
+        name += "_"
+    return cut_documents(docs, length, rule, **how).select("row.*", F.col("cut").alias(name))

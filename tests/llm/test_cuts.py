@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from brisa.llm import anchors, debruijn, suffix
 from tests.llm.conftest import prose
@@ -127,3 +128,45 @@ def test_suffix_classes_are_those_of_equal_prefixes():
 def test_digest_of_kept_bytes(frame):
     row = suffix.without_repeats(frame([(1, "abc")])).first()["cut_"]
     assert hashlib.sha256(bytes(row["kept"])).hexdigest() == hashlib.sha256(b"abc").hexdigest()
+
+
+def thue_morse(size, even, odd):
+    return "".join(odd if i.bit_count() % 2 else even for i in range(size))
+
+
+def test_texts_that_defeat_rolling_hashes_are_not_repeats(frame):
+    """Two texts without a common 400-byte string whose polynomial hashes modulo 2^64 are equal for any base."""
+    draws = np.random.default_rng(0)
+    draws.integers(99, 122, 64)
+    for middle in (draws.integers(99, 122, 64), np.random.default_rng(0).integers(99, 122, 64), draws.integers(99, 122, 64)):
+        m = bytes(middle.tolist()).decode()
+        texts = [(1, thue_morse(256, "a", "b") + m + thue_morse(256, "b", "a")), (2, thue_morse(256, "b", "a") + m + thue_morse(256, "a", "b"))]
+        assert not {texts[0][1][i : i + 400] for i in range(177)} & {texts[1][1][i : i + 400] for i in range(177)}
+        for rule in ("other", "first"):
+            found = suffix.without_repeats(frame(texts), 400, rule).collect()
+            assert [r["cut_"]["n_removed"] for r in found] == [0, 0]
+
+
+def test_words_that_defeat_rolling_hashes_are_not_repeats(frame):
+    middle = prose(9, 40)
+    texts = [
+        (1, " ".join([*thue_morse(2048, "a", "b"), middle, *thue_morse(2048, "b", "a")])),
+        (2, " ".join([*thue_morse(2048, "b", "a"), middle, *thue_morse(2048, "a", "b")])),
+    ]
+    length = 2100
+    words = [t.split() for _, t in texts]
+    grams = [{tuple(w[i : i + length]) for i in range(len(w) - length + 1)} for w in words]
+    assert not grams[0] & grams[1]
+    assert [r["n_removed"] for r in debruijn.without_repeats(frame(texts), length).collect()] == [0, 0]
+
+
+def test_columns_named_as_inside(odd, given):
+    names = ["spans_", "spans_of_", "cut_", "row", "doc", "start", "end", "words", "closer"]
+    docs = odd.select("doc_id", "text", *[F.lit(n).alias(n) for n in names])
+    found = suffix.without_repeats(docs, 400, "other")
+    assert found.columns == [*docs.columns, "cut__"]
+    rows = found.collect()
+    assert all(r[n] == n for r in rows for n in names)
+    plain = suffix.without_repeats(odd.select("doc_id", "text"), 400, "other").collect()
+    key = lambda r, c: (r["doc_id"] or 0, r["text"] or "", repr(r[c]))
+    assert sorted(key(r, "cut__") for r in rows) == sorted(key(r, "cut_") for r in plain)
