@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from brisa.llm.queries import ORACLES, QUERIES
@@ -27,6 +28,17 @@ def test_stages_take_odd_rows_and_empty_tables(spark, folder, odd, none, name, s
         assert rows > 0 if docs is odd else rows == 0
 
 
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES[:-1])
+def test_stages_keep_columns_named_as_inside(spark, folder, odd, name, stage):
+    names = ["spans_", "spans_of_", "cut_", "cut", "row", "copies_", "copies", "taken_id_", "copy_", "col", "rows_", "least_", "spans"]
+    docs = odd.select(*SAME, *[F.concat(F.lit(n), F.coalesce("text", F.lit(""))).alias(n) for n in names])
+    before = {(r["doc_id"], *(r[n] for n in names)) for r in docs.collect()}
+    out = stage(spark, docs, folder)
+    assert out.columns == docs.columns
+    after = {(r["doc_id"], *(r[n] for n in names)) for r in out.collect()}
+    assert after and after <= before
+
+
 def test_simhash_stage_keeps_one_of_each_group(spark, folder, odd, given):
     kept = corpus_pipeline.drop_near_duplicates(spark, odd, folder).collect()
     named = [(i, t) for i, t, _ in given if i is not None]
@@ -77,4 +89,4 @@ def test_queries_equal_sql(spark, name):
 
 
 def test_every_operator_has_its_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op")) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op")) == list(range(1, 14))
