@@ -52,14 +52,14 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Both are judged on the input, whose first places stay. Only whole characters go. A text that is all repeats stays as an empty one; a null text stays null.
     """
     small_batches(prepare(spark))
-    cut = suffix.without_repeats(docs, length=400, rule="first", characters=True, words=51)
-    changed = F.col("cut_.n_removed") > 0
-    text = F.when(changed, F.decode("cut_.kept", "UTF-8")).otherwise(F.col("text"))
-    cut = cut.withColumn("text", text)
+    cut = suffix.cut_documents(docs, length=400, rule="first", characters=True, words=51)
+    changed, row = F.col("cut.n_removed") > 0, F.col("row")
+    kept = {"text": F.decode("cut.kept", "UTF-8")}
     if "n_chars" in docs.columns:
-        length = F.length("text").cast(docs.schema["n_chars"].dataType)
-        cut = cut.withColumn("n_chars", F.when(changed, length).otherwise(F.col("n_chars")))
-    return cut.select(docs.columns)
+        kept["n_chars"] = F.length(kept["text"]).cast(docs.schema["n_chars"].dataType)
+    return cut.select(
+        [(F.when(changed, kept[c]).otherwise(row[c]) if c in kept else row[c]).alias(c) for c in docs.columns]
+    )
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,9 +69,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     small_batches(prepare(spark))
     mixed = mixing.mix(docs, weights=(3, 1, 2), amount=1.5, most=2.0)
-    taken = mixed.groupBy(F.col("doc_id").alias("taken_id_")).agg(F.max("copies").cast("int").alias("copies_"))
-    found = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("taken_id_"))).where("copies_ > 0")
-    return found.withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("copies_")))).select(docs.columns)
+    taken = mixed.groupBy("doc_id").agg(F.max("copies").cast("int").alias("copies")).where("copies > 0")
+    whole = docs.select(F.struct("*").alias("row"))
+    found = whole.join(taken, F.col("row.doc_id").eqNullSafe(F.col("doc_id")))
+    copies = found.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return copies.select([F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
