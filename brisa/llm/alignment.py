@@ -21,8 +21,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
 from functools import reduce
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -31,19 +31,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brisa.llm.common import partitions, stored
-from brisa.llm.tokens import kept_by_worker
+from brisa.llm.tokens import encoders, kept_by_worker
 
 #: Bytes of a text that one task aligns, and of the ranges that longer texts are cut into.
 LONG, CHUNK = 1 << 15, 1 << 14
 #: Neighbouring fragments that one composition takes.
 FAN = 16
-#: Units a worker remembers, and the bytes of the longest of them.
-REMEMBERED, SHORT = 1 << 18, 48
+#: Units that a worker remembers, ids of A that all of them have at most, and characters of units that are encoded in one text.
+REMEMBERED, HELD, JOINED = 1 << 18, 1 << 21, 1 << 14
+#: Links of a group up to which they are listed one by one, before equal ones are counted.
+LISTED = 1 << 12
 #: Id pairs broadcast at a time.
 SLICE = 1 << 21
 
 #: Fixed value: where units are parted.
 PARTING = re.compile(r"(?<=[^\s▁]) (?=[^\s▁])")
+_SPACED = re.compile(r"\s\s")
+#: White space as Python knows it, and U+2581: a space beside one of these parts nothing.
+_NO_EDGES = [chr(i) for i in range(0x3001) if chr(i).isspace()] + ["▁"]
 
 _NONE = np.zeros(0, np.int64)
 
@@ -82,22 +87,76 @@ def _summed(pairs: list[np.ndarray], times: list[np.ndarray]) -> tuple[np.ndarra
     return distinct, np.bincount(place, times, len(distinct)).astype(np.int64)
 
 
+def _spread(count: np.ndarray) -> np.ndarray:
+    """0 to count - 1 for each count in turn."""
+    return np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+
+
+class Groups(NamedTuple):
+    """Tokens cut at common ends: where groups end among the tokens of A and of B, and the links of each group.
+
+    ``group``, ``pair`` and ``times`` say which id pairs a group links and how often; a pair may be listed several times.
+    """
+
+    a_ends: np.ndarray
+    b_ends: np.ndarray
+    group: np.ndarray
+    pair: np.ndarray
+    times: np.ndarray
+
+
+def grouped(a: np.ndarray, a_ends: np.ndarray, b: np.ndarray, b_ends: np.ndarray) -> Groups:
+    """The groups of token sequences that start together, by the bytes their tokens end at. Tokens after the last common end are in none."""
+    at = np.searchsorted(b_ends, a_ends)
+    common = np.flatnonzero(b_ends[np.minimum(at, len(b_ends) - 1)] == a_ends) if len(b_ends) else np.zeros(0, np.int64)
+    a_cut, b_cut = common + 1, at[common] + 1
+    n_a, n_b = np.diff(a_cut, prepend=0), np.diff(b_cut, prepend=0)
+    # A row for each A token of a group and B token of it; of groups with many, a row for each pair of distinct ids.
+    many = n_a * n_b > LISTED
+    of_a = np.repeat(np.arange(len(n_a)), n_a)
+    here = np.flatnonzero(~many[of_a])
+    width = n_b[of_a[here]]
+    left = np.repeat(here, width)
+    right = np.repeat((b_cut - n_b)[of_a[here]], width) + _spread(width)
+    group, pair = of_a[left], a[left] << 16 | b[right]
+    times = np.ones(len(pair), np.int64)
+    for g in np.flatnonzero(many).tolist():
+        pairs, counts = _links(a[a_cut[g] - n_a[g] : a_cut[g]], b[b_cut[g] - n_b[g] : b_cut[g]])
+        group, pair, times = np.append(group, np.full(len(pairs), g)), np.append(pair, pairs), np.append(times, counts)
+    return Groups(a_cut, b_cut, group, pair, times)
+
+
 def _named(a: list[int], b: list[int]) -> bytes:
-    return b"%s|%s" % (b",".join(b"%d" % i for i in a), b",".join(b"%d" % i for i in b))
+    return b"%b|%b" % (b",".join([b"%d" % i for i in a]), b",".join([b"%d" % i for i in b]))
+
+
+def _names(a: list[int], b: list[int], found: Groups) -> list[bytes]:
+    """The text of every group."""
+    number = kept_by_worker("numbers as text", lambda: [b"%d" % i for i in range(1 << 16)])
+    a_ends, b_ends = found.a_ends.tolist(), found.b_ends.tolist()
+    n_a, n_b = np.diff(found.a_ends, prepend=0), np.diff(found.b_ends, prepend=0)
+    # Most groups have a token of each, which is then their last.
+    out = [b"%b|%b" % (number[a[i - 1]], number[b[k - 1]]) for i, k in zip(a_ends, b_ends)]
+    for g in np.flatnonzero((n_a > 1) | (n_b > 1)).tolist():
+        x, y = a[a_ends[g] - n_a[g] : a_ends[g]], b[b_ends[g] - n_b[g] : b_ends[g]]
+        out[g] = b"%b|%b" % (b",".join([number[i] for i in x]), b",".join([number[i] for i in y]))
+    return out
 
 
 def fragment(a: list[int], a_ends: np.ndarray, b: list[int], b_ends: np.ndarray) -> Fragment:
     """The fragment of tokens in order, with the bytes they end at."""
-    _, at, bt = np.intersect1d(a_ends, b_ends, assume_unique=True, return_indices=True)
-    if not len(at):
+    a, b = list(a), list(b)
+    found = grouped(np.array(a, np.int64), a_ends, np.array(b, np.int64), b_ends)
+    if not len(found.a_ends):
         return Fragment(False, a, b, [], [], 0, b"", _NONE, _NONE)
-    at, bt = (at + 1).tolist(), (bt + 1).tolist()
-    groups = [(a[i:j], b[k:m]) for i, j, k, m in zip(at, at[1:], bt, bt[1:])]
-    links = [_links(*g) for g in groups]
-    named = b";".join(_named(*g) for g in groups)
+    # The first group may have begun before.
+    closed = found.group > 0
+    named = b";".join(_names(a, b, found)[1:])
+    ends = found.a_ends.tolist(), found.b_ends.tolist()
     return Fragment(
-        True, a[: at[0]], b[: bt[0]], a[at[-1] :], b[bt[-1] :], len(groups), named, *_summed([x for x, _ in links], [y for _, y in links])
-    )
+        True, a[: ends[0][0]], b[: ends[1][0]], a[ends[0][-1] :], b[ends[1][-1] :], len(ends[0]) - 1, named,
+        *_summed([found.pair[closed]], [found.times[closed]]),
+    )
 
 
 def compose(x: Fragment, y: Fragment) -> Fragment:
@@ -122,56 +181,123 @@ def composed(fragments: list[Fragment]) -> Fragment:
     return fragments[0] if fragments else EMPTY
 
 
+class Ragged:
+    """Lists of numbers in one array; more are added at the end."""
+
+    def __init__(self, kind=np.uint32):
+        self.flat, self.sizes, self.starts = np.zeros(0, kind), np.zeros(0, np.int32), _NONE
+
+    def add(self, flat: np.ndarray, sizes: np.ndarray) -> None:
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
+        self.flat = np.concatenate([self.flat, flat.astype(self.flat.dtype)])
+        self.sizes = np.concatenate([self.sizes, sizes.astype(np.int32)])
+
+    def of(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of some lists one after the other, and how many each has."""
+        sizes = self.sizes[which].astype(np.int64)
+        return self.flat[np.repeat(self.starts[which], sizes) + _spread(sizes)].astype(np.int64), sizes
+
+
 class Tokenizers:
-    """Both tokenizers, by unit; ``None`` for a unit that the tokens of one do not spell."""
+    """Both tokenizers, and the units they have met, by number: ids of A and B, groups and their text, id pairs linked and how often."""
 
     def __init__(self, a_path: str, b_path: str):
-        import base64
-
         import sentencepiece
-        import tiktoken
-        from public_tokenizers import PATTERN
-
-        with open(a_path.removesuffix("json") + "tiktoken", "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.a = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.a_sizes = np.zeros(max(ranks.values()) + 1, np.int64)
-        for token, id_ in ranks.items():
-            self.a_sizes[id_] = len(token)
+
+        ranks = a_path.removesuffix("json") + "tiktoken"
+        self.plain, self.any = encoders(ranks)
+        self.a_sizes = vocabulary_sizes(ranks)
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.whole = any(re.search("[^▁]▁", p) for p in pieces)
         byte = [self.b.is_byte(i) for i in range(len(pieces))]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if x else p.replace("▁", " ").encode() for p, x in zip(pieces, byte)]
         self.b_sizes = np.array([len(p) for p in self.b_bytes])
-        self.known: dict[str, tuple | None] = {}
+        self.forget()
 
-    def units(self, text: str) -> list[str]:
-        return [text] if self.whole else PARTING.split(text)
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.texts: list[bytes] = []
+        self.spelled, self.n_groups = np.zeros(0, bool), _NONE
+        self.a_ids, self.b_ids, self.pairs, self.times = Ragged(), Ragged(), Ragged(), Ragged(np.int64)
 
-    def encode(self, unit: str) -> tuple[list[int], np.ndarray, list[int], np.ndarray] | None:
-        """Ids of A, the bytes of space + unit they end at, and the same of B."""
-        a, b = self.a.encode_ordinary(" " + unit), self.b.encode(unit)
-        if b"".join([self.b_bytes[i] for i in b]) != b" " + unit.encode():
+    def units(self, text: str) -> list[str]:
+        if self.whole:
+            return [text]
+        # In most texts every space is a place to part.
+        odd = text[0] == " " or text[-1] == " " or any(c + " " in text or " " + c in text for c in _NO_EDGES)
+        return PARTING.split(text) if odd else text.split(" ")
+
+    def _encode(self, text: str, b: list[int]) -> tuple[list[int], list[int]] | None:
+        """Ids of space + text, or None if those of B do not spell it."""
+        spaced = " " + text
+        if b"".join([self.b_bytes[i] for i in b]) != spaced.encode():
             return None
-        return a, np.cumsum(self.a_sizes[a]), b, np.cumsum(self.b_sizes[b])
-
-    def aligned(self, unit: str) -> tuple | None:
-        """(tokens of A, tokens of B, groups, their text, id pairs, their times) of a unit, whose end both tokenizers share."""
-        if unit in self.known:
-            return self.known[unit]
-        tokens = self.encode(unit)
-        if tokens is None:
-            entry = None
-        else:
-            f = fragment(*tokens)
-            f = compose(compose(Fragment(True, [], [], [], [], 0, b"", _NONE, _NONE), f), EMPTY)
-            entry = (len(tokens[0]), len(tokens[2]), f.n_groups, f.groups, f.pairs, f.times)
-        if len(unit) <= SHORT:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            self.known[unit] = entry
-        return entry
+        return (self.any if _SPACED.search(spaced) else self.plain)(spaced), b
+
+    def _add(self, units: list[str]) -> None:
+        """Encode units that are new, many in one text: a space between two of them parts them."""
+        joined = [u for u in units if not self.whole and u.strip() == u and "▁" not in u and u]
+        alone = set(units).difference(joined) if len(joined) < len(units) else set()
+        parts, size = [[]], 0
+        for u in joined:
+            if size > JOINED:
+                parts.append([])
+                size = 0
+            parts[-1].append(u)
+            size += len(u)
+        parts = [p for p in parts if p] + [[u] for u in units if u in alone]
+        found = []
+        for part, b in zip(parts, self.b.encode([" ".join(p) for p in parts])):
+            tokens = self._encode(" ".join(part), b)
+            if tokens is None and len(part) > 1:
+                found += [([u], self._encode(u, x)) for u, x in zip(part, self.b.encode(part))]
+            else:
+                found.append((part, tokens))
+        order = [u for part, _ in found for u in part]
+        spelled = np.array([t is not None for part, t in found for _ in part], bool)
+        sizes = np.array([len(u.encode()) + 1 for u in order], np.int64) * spelled
+        a_flat, b_flat = (list(chain.from_iterable(t[i] for _, t in found if t is not None)) for i in range(2))
+        a, b = np.array(a_flat, np.int64), np.array(b_flat, np.int64)
+        a_ends, b_ends = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
+        groups = grouped(a, a_ends, b, b_ends)
+        names = _names(a_flat, b_flat, groups)
+        # Units end at common ends, so every token and group lies in one.
+        ends = np.cumsum(sizes)
+        counts = lambda at: np.diff(np.searchsorted(at, ends, "right"), prepend=0)
+        n_groups = counts(a_ends[groups.a_ends - 1])
+        unit_of_group = np.repeat(np.arange(len(order)), n_groups)
+        unit = unit_of_group[groups.group]
+        by_unit = np.argsort(unit, kind="stable")
+        n_pairs = np.bincount(unit, minlength=len(order))
+        self.a_ids.add(a, counts(a_ends))
+        self.b_ids.add(b, counts(b_ends))
+        self.pairs.add(groups.pair[by_unit], n_pairs)
+        self.times.add(groups.times[by_unit], n_pairs)
+        self.spelled, self.n_groups = np.concatenate([self.spelled, spelled]), np.concatenate([self.n_groups, n_groups])
+        at = np.cumsum(n_groups).tolist()
+        self.texts += [b";".join(names[i:j]) for i, j in zip([0, *at], at)]
+        self.known.update(zip(order, range(len(self.known), len(self.known) + len(order))))
+
+    def numbers(self, units: list[str]) -> np.ndarray:
+        """The units' numbers, which hold until the next call."""
+        if len(self.known) > REMEMBERED or len(self.a_ids.flat) > HELD:
+            self.forget()
+        new = list(set(units).difference(self.known))
+        if new:
+            self._add(new)
+        return np.fromiter(map(self.known.__getitem__, units), np.int64, len(units))
+
+
+def vocabulary_sizes(path: str) -> np.ndarray:
+    """Bytes of every token of a rank file."""
+    import base64
+
+    with open(path, "rb") as lines:
+        ranks = {int(b): len(base64.b64decode(a)) for a, b in map(bytes.split, lines)}
+    sizes = np.zeros(max(ranks) + 1, np.int64)
+    sizes[list(ranks)] = list(ranks.values())
+    return sizes
 
 
 def tokenizers(paths: tuple[str, str]) -> Tokenizers:
@@ -191,17 +317,37 @@ def _digest(n_a: int, n_b: int, n_groups: int, groups: bytes, pairs: np.ndarray,
     return n_a, n_b, n_groups, int(times.sum()), hashlib.sha256(groups).hexdigest(), pairs.astype(np.uint32).view(np.int32), times
 
 
-def digest(text: str, both: Tokenizers) -> tuple:
-    """What one text has: its units' groups in order, and their links."""
-    units = both.units(text) if text else []
-    found = [both.aligned(u) for u in units]
-    if not found or None in found:
-        return NO_TOKENS
-    often = Counter(units)
-    distinct = [(n, both.aligned(u)) for u, n in often.items()]
-    pairs, times = _summed([e[4] for _, e in distinct], [e[5] * n for n, e in distinct])
-    n_a, n_b, n_groups = (sum(e[i] for e in found) for i in range(3))
-    return _digest(n_a, n_b, n_groups, b";".join([e[3] for e in found]), pairs, times)
+def digests_of(texts: list[str], both: Tokenizers) -> list[tuple]:
+    """What each of some texts has: its units' groups in order, and their links, all texts at once."""
+    units = [both.units(t) if t else [] for t in texts]
+    code = both.numbers(list(chain.from_iterable(units)))
+    n_units = np.array([len(u) for u in units], np.int64)
+    owner = np.repeat(np.arange(len(texts)), n_units)
+    spelled = n_units > 0
+    spelled[owner[~both.spelled[code]]] = False
+    # The distinct units of each text, and the links of each.
+    known = max(len(both.known), 1)
+    taken, often = np.unique(owner * known + code, return_counts=True)
+    pairs, width = both.pairs.of(taken % known)
+    times, _ = both.times.of(taken % known)
+    key = np.repeat(taken // known, width) << 32 | pairs
+    distinct, place = np.unique(key, return_inverse=True)
+    number = np.bincount(place, np.repeat(often, width) * times, len(distinct)).astype(np.int64)
+    bounds = np.searchsorted(distinct, np.arange(len(texts) + 1) << 32).tolist()
+    low = (distinct & 0xFFFFFFFF).astype(np.uint32).view(np.int32)
+    sums = lambda per_unit: np.bincount(owner, per_unit[code], len(texts)).astype(np.int64).tolist()
+    n_a, n_b, n_groups = sums(both.a_ids.sizes), sums(both.b_ids.sizes), sums(both.n_groups)
+    ends, listed = np.cumsum(n_units).tolist(), code.tolist()
+    out = []
+    for i in range(len(texts)):
+        if not spelled[i]:
+            out.append(NO_TOKENS)
+            continue
+        groups = b";".join([both.texts[c] for c in listed[ends[i] - len(units[i]) : ends[i]]])
+        some = slice(bounds[i], bounds[i + 1])
+        links = int(number[some].sum())
+        out.append((n_a[i], n_b[i], n_groups[i], links, hashlib.sha256(groups).hexdigest(), low[some], number[some]))
+    return out
 
 
 def _rows(batch: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
@@ -213,7 +359,7 @@ def _short(docs: DataFrame, paths: tuple[str, str]) -> DataFrame:
     def run(batches):
         both = tokenizers(paths)
         for batch in batches:
-            yield _rows(batch, [digest(t.as_py(), both) for t in batch.column(1)])
+            yield _rows(batch, digests_of(batch.column(1).to_pylist(), both))
 
     return docs.mapInArrow(run, "doc_id bigint, " + DIGEST)
 
@@ -269,19 +415,13 @@ CHUNK_SCHEMA = pa.schema(
 
 def ranged(text: str, begin: int, low: int, high: int, both: Tokenizers) -> tuple[int, int, Fragment] | None:
     """Tokens of A and B that end in (low, high], and their fragment; ``begin`` is where the text's units begin."""
-    a, b, a_ends, b_ends, at = [], [], [_NONE], [_NONE], begin
-    for unit in both.units(text):
-        tokens = both.encode(unit)
-        if tokens is None:
-            return None
-        a += tokens[0]
-        b += tokens[2]
-        a_ends.append(tokens[1] + at)
-        b_ends.append(tokens[3] + at)
-        at += len(unit.encode()) + 1
-    a_ends, b_ends = np.concatenate(a_ends), np.concatenate(b_ends)
-    (i, j), (k, m) = (np.searchsorted(e, [low, high], "right") for e in (a_ends, b_ends))
-    return int(j - i), int(m - k), fragment(a[i:j], a_ends[i:j], b[k:m], b_ends[k:m])
+    code = both.numbers(both.units(text))
+    if not both.spelled[code].all():
+        return None
+    a, b = both.a_ids.of(code)[0], both.b_ids.of(code)[0]
+    a_ends, b_ends = begin + np.cumsum(both.a_sizes[a]), begin + np.cumsum(both.b_sizes[b])
+    (i, j), (k, m) = (np.searchsorted(e, [low, high], "right").tolist() for e in (a_ends, b_ends))
+    return j - i, m - k, fragment(a[i:j].tolist(), a_ends[i:j], b[k:m].tolist(), b_ends[k:m])
 
 
 FRAGMENT = (
@@ -315,44 +455,47 @@ def _fragments(chunks: DataFrame, paths: tuple[str, str]) -> DataFrame:
     return dealt.mapInArrow(run, f"key bigint, doc_id bigint, part int, {FRAGMENT}")
 
 
-def _composed(parts: DataFrame) -> DataFrame:
-    """One level of the tree: ``FAN`` neighbours become one."""
-    fields = ["part", *_FRAGMENT.names]
+def _as_fragment(f: dict) -> Fragment:
+    return Fragment(*(f[n] for n in Fragment._fields[:7]), *(np.array(f[n], np.int64) for n in ("pairs", "times")))
 
-    def run(batches):
+
+def _whole_of(held: list[dict]) -> tuple[int, int, Fragment] | None:
+    """Neighbouring fragments, in any order, as one; None if the tokens of one of them do not spell it."""
+    if not all(f["spelled"] for f in held):
+        return None
+    held = sorted(held, key=lambda f: f["part"])
+    return sum(f["n_a"] for f in held), sum(f["n_b"] for f in held), composed([_as_fragment(f) for f in held])
+
+
+def _composed(parts: DataFrame, last: bool = False) -> DataFrame:
+    """One level of the tree: ``FAN`` neighbours become one. The last level gives the digests of whole texts."""
+    start = Fragment(True, [], [], [], [], 0, b"", _NONE, _NONE)
+
+    def fragments(batches):
         for batch in batches:
-            rows = []
-            for held in batch.column(2).to_pylist():
-                held = sorted(held, key=lambda f: f["part"])
-                some = [Fragment(*(f[n] for n in Fragment._fields[:7]), *(np.array(f[n], np.int64) for n in ("pairs", "times"))) for f in held]
-                whole = composed(some) if all(f["spelled"] for f in held) else None
-                rows.append(_row(None if whole is None else (sum(f["n_a"] for f in held), sum(f["n_b"] for f in held), whole)))
+            rows = [_row(_whole_of(held.as_py())) for held in batch.column(2)]
             columns = [pa.array([r[i] for r in rows], field.type) for i, field in enumerate(_FRAGMENT)]
             part = pa.array(batch.column(1), pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), part, *columns], ["key", "doc_id", "part", *_FRAGMENT.names])
 
-    above = F.floor(F.col("part") / FAN).cast("int").alias("above")
-    grouped = parts.groupBy("key", above).agg(F.collect_list(F.struct(*fields)).alias("held"), F.first("doc_id").alias("doc_id"))
-    return grouped.mapInArrow(run, f"key bigint, doc_id bigint, part int, {FRAGMENT}")
-
-
-def _whole(parts: DataFrame) -> DataFrame:
-    """Digests of texts from their one fragment, whose first group lies in its head."""
-
-    def run(batches):
-        start = Fragment(True, [], [], [], [], 0, b"", _NONE, _NONE)
+    def whole(batches):
         for batch in batches:
             rows = []
-            for f in batch.to_pylist():
-                if not f["spelled"] or not f["closed"]:
+            for held in batch.column(2):
+                found = _whole_of(held.as_py())
+                if found is None or not found[2].closed:
                     rows.append(NO_TOKENS)
                     continue
-                own = Fragment(*(f[n] for n in Fragment._fields[:7]), *(np.array(f[n], np.int64) for n in ("pairs", "times")))
-                own = compose(start, own)
-                rows.append(_digest(f["n_a"], f["n_b"], own.n_groups, own.groups, own.pairs, own.times))
-            yield _rows(batch, rows)
+                # The first group lies in the head.
+                n_a, n_b, own = found[0], found[1], compose(start, found[2])
+                rows.append(_digest(n_a, n_b, own.n_groups, own.groups, own.pairs, own.times))
+            yield _rows(batch.select(["doc_id"]), rows)
 
-    return parts.select("doc_id", *_FRAGMENT.names).mapInArrow(run, "doc_id bigint, " + DIGEST)
+    above = F.floor(F.col("part") / FAN).cast("int").alias("above")
+    grouped = parts.groupBy("key", above).agg(F.collect_list(F.struct("part", *_FRAGMENT.names)).alias("held"), F.first("doc_id").alias("doc_id"))
+    if last:
+        return grouped.mapInArrow(whole, "doc_id bigint, " + DIGEST)
+    return grouped.mapInArrow(fragments, f"key bigint, doc_id bigint, part int, {FRAGMENT}")
 
 
 def digests(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
@@ -367,9 +510,9 @@ def digests(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     if last is None:
         return short
     parts = _fragments(chunks, paths)
-    while last:
+    while last >= FAN:
         parts, last = _composed(parts), last // FAN
-    return short.unionByName(_whole(parts))
+    return short.unionByName(_composed(parts, last=True))
 
 
 def counted(found: DataFrame) -> DataFrame:
