@@ -6,15 +6,17 @@ from pyspark.sql import functions as F
 
 from brisa.catalog import sql as S
 from brisa.catalog.advisories import HEURISTIC_SQL, heuristic
+from brisa.catalog.features import SPLIT
 from brisa.catalog.registry import query
 from brisa.functions.calendar import DAY_NAMES
 from brisa.functions.categories import HEALTH_CATEGORIES
-from brisa.operators import profile
+from brisa.operators import profile, sketches
 from brisa.operators.features import add_calendar
 from brisa.operators.forecast import forecast_kpis
 from brisa.operators.shape import melt
 from brisa.plans.readings import dense_readings, order_series, readings, table
 from brisa.schemas import CORRELATED, KEY, PROFILE_POLLUTANTS, SHARE_POLLUTANTS, TARGET, TIME
+from brisa.session import new_dir
 
 LINEITEM = [
     "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
@@ -196,7 +198,7 @@ def _(spark, folder):
         LEFT JOIN r ON r.series_id = s.series_id AND r.datetime = missing_hour WHERE r.series_id IS NULL""",
 )
 def _(spark, folder):
-    return profile.gap_report(readings(spark, folder))
+    return profile.gap_report(readings(spark, folder), **SPLIT)
 
 
 # --- Categories -----------------------------------------------------------
@@ -224,7 +226,7 @@ _TRANSITIONS = f"""{S.DENSE}, c AS (SELECT series_id, datetime, {S.health("aqi +
 
 @query("transition_matrix", f"{_TRANSITIONS} SELECT * FROM m")
 def transition_matrix(spark, folder):
-    return profile.transition_matrix(dense_readings(spark, folder))
+    return profile.transition_matrix(dense_readings(spark, folder), **SPLIT)
 
 
 _TOTAL = " + ".join(profile.CATEGORY_COLUMNS.values())
@@ -237,7 +239,7 @@ _TOTAL = " + ".join(profile.CATEGORY_COLUMNS.values())
     } FROM m""",
 )
 def _(spark, folder):
-    return profile.transition_percent(dense_readings(spark, folder))
+    return profile.transition_percent(dense_readings(spark, folder), **SPLIT)
 
 
 # --- Relations between columns -------------------------------------------
@@ -380,6 +382,27 @@ def _(spark, folder):
     return profile.boxplot_stats(by_day, "day_name", TARGET)
 
 
+RANKS = [0.01, 0.25, 0.5, 0.75, 0.99]
+
+
+@query(
+    "approximate_quantiles",
+    f"""{S.R}, l AS ({_long(PROFILE_POLLUTANTS)})
+        SELECT "column", p AS probability, true AS within_bound
+        FROM (SELECT DISTINCT "column" FROM l), (SELECT unnest({RANKS})::DOUBLE AS p)""",
+)
+def _(spark, folder):
+    """Quantiles from sketches stored by day in two batches: whether the exact rank of each is within the bound."""
+    path = new_dir(spark, "sketches")
+    every = readings(spark, folder)
+    for number, part in enumerate((F.dayofmonth(TIME) % 2 == 0, F.dayofmonth(TIME) % 2 == 1)):
+        sketches.keep_sketches(every.where(part), PROFILE_POLLUTANTS, path, number)
+    found = sketches.stored_quantiles(spark, path, RANKS)
+    errors = sketches.rank_errors(every, found, PROFILE_POLLUTANTS)
+    # Twice the bound of 99 % confidence: no sketch is beyond that.
+    return errors.select("column", "probability", (F.col("error") <= 2 * sketches.rank_bound()).alias("within_bound"))
+
+
 _MEANS = S.union_all(f"SELECT '{p}' AS pollutant, avg({p}) AS mean FROM r" for p in SHARE_POLLUTANTS)
 
 

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from brisa.operators import profile, quantiles, shape
+from brisa.operators import profile, quantiles, shape, sketches
 from brisa.schemas import PROFILE_POLLUTANTS
 
 
@@ -141,3 +141,87 @@ def test_melt_keeps_nulls(make_readings):
     long = shape.melt(df)
     assert long.count() == len(PROFILE_POLLUTANTS)
     assert long.where("value IS NULL").count() == 1
+
+
+def test_density_equals_the_sum_over_all_values(spark):
+    assert profile.kde_curve(spark.createDataFrame([(v,) for v in shapes()["tiny"]], "v double"), "v").count() == 0
+    for name in ("uniform", "ties", "heavy", "outliers"):
+        values = np.array([v for v in shapes()[name] if abs(v) < 1e6])
+        df = spark.createDataFrame([(float(v),) for v in values], "v double").repartition(5)
+        h = values.std(ddof=1) * len(values) ** -0.2
+        grid = np.linspace(values.min(), values.max(), 200)
+        want = np.exp(-0.5 * ((grid[:, None] - values) / h) ** 2).sum(1) / (len(values) * h * math.sqrt(2 * math.pi))
+        rows = sorted(profile.kde_curve(df, "v").collect())
+        assert [r["point"] for r in rows] == list(range(200))
+        assert np.abs(np.array([r["density"] for r in rows]) - want).max() < 1e-9 * want.max(), name
+
+
+def test_density_rows_do_not_grow_with_distinct_values(spark):
+    df = spark.range(200_000).select((F.col("id") * 0.37 % 1000).alias("v"))
+    plan = profile.kde_curve(df, "v")
+    assert plan.count() == 200
+    lines = plan._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    spread, cells = (next(i for i, line in enumerate(lines) if word in line) for word in ("Generate explode(sequence", "Aggregate [cell"))
+    assert spread < cells
+
+
+def test_correlations_equal_numpy(spark):
+    """Missing values in any combination, large means, many columns."""
+    r = np.random.default_rng(3)
+    data = r.normal(size=(400, 14)) @ r.normal(size=(14, 14)) + 1e7 * r.normal(size=14)
+    rows = [tuple(None if r.random() < 0.15 else float(v) for v in row) for row in data]
+    names = [f"c{i}" for i in range(14)]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} double" for n in names)).repartition(5)
+    found = {(x["column_a"], x["column_b"]): x["correlation"] for x in profile.correlation_matrix(df, names).collect()}
+    assert len(found) == 14 * 14
+    table = np.array([[np.nan if v is None else v for v in row] for row in rows])
+    for i, a in enumerate(names):
+        for j, b in enumerate(names):
+            both = ~np.isnan(table[:, i]) & ~np.isnan(table[:, j])
+            assert found[a, b] == pytest.approx(np.corrcoef(table[both, i], table[both, j])[0, 1], abs=1e-7)
+
+
+def test_correlation_of_columns_that_are_never_there_together(spark):
+    df = spark.createDataFrame([(1.0, None), (2.0, None), (None, 3.0), (None, 5.0)], "a double, b double")
+    found = {(x["column_a"], x["column_b"]): x["correlation"] for x in profile.correlation_matrix(df, ["a", "b"]).collect()}
+    assert found == {("a", "a"): pytest.approx(1), ("b", "b"): pytest.approx(1), ("a", "b"): None, ("b", "a"): None}
+
+
+@pytest.mark.parametrize("size", [64, 2048])
+def test_ranks_of_sketched_quantiles(spark, size):
+    data = shapes()
+    rows = [(name, v) for name, vs in data.items() for v in vs] + [("ties", None), ("ties", math.nan), (None, 1.0)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(9)
+    probabilities = [0.01, 0.25, 0.5, 0.9]
+    got = {(r["g"], r["probability"]): r["quantile"] for r in sketches.approximate_quantiles(df, ["g"], "v", probabilities, size).collect()}
+    assert len(got) == len(data) * len(probabilities)
+    for (name, p), quantile in got.items():
+        values = np.array(data[name])
+        below, until = (values < quantile).mean(), (values <= quantile).mean()
+        assert max(0, below - p, p - until) <= 2 * sketches.rank_bound(size) + 1 / len(values), (name, p)
+
+
+def test_stored_sketches_merge_by_day(spark, make_readings):
+    from brisa.session import new_dir
+
+    path = new_dir(spark, "sketches")
+    df = make_readings([(s, h, (h * s) % 5) for s in range(1, 4) for h in range(200)])
+    late = F.hour("datetime") < 6
+    for number, part in enumerate((~late, late, late)):
+        # The third is the second one again, under its number.
+        sketches.keep_sketches(df.where(part), ["pm10", "co"], path, min(number, 1))
+    found = sketches.stored_quantiles(spark, path, [0.1, 0.5, 0.9])
+    assert found.count() == 6
+    assert all(r["error"] <= 2 * sketches.rank_bound() for r in sketches.rank_errors(df, found, ["pm10", "co"]).collect())
+    first = sketches.stored_quantiles(spark, path, [0.0, 1.0], F.col("date") == "2024-01-01").where("column = 'co'")
+    day = [r["co"] for r in df.where("datetime < '2024-01-02'").collect()]
+    assert sorted(r["quantile"] for r in first.collect()) == [min(day), max(day)]
+
+
+def test_approximate_profiles(spark):
+    values = shapes()["uniform"]
+    df = spark.createDataFrame([("a", v) for v in values], "g string, v double")
+    row = profile.describe(df, ["v"], approximate=True).first()
+    assert row["count"] == len(values) and row["q50"] == pytest.approx(np.median(values), abs=0.01)
+    box = profile.boxplot_stats(df, "g", "v", approximate=True).first()
+    assert box["count"] == len(values) and box["q25"] == pytest.approx(np.quantile(values, 0.25), abs=0.01)
