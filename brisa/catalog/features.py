@@ -285,6 +285,24 @@ def _(spark, folder):
     return windows.rolling_means_by_time(readings(spark, folder).select(KEY, TIME, TARGET), hours, **SPLIT).drop(TARGET)
 
 
+@query(
+    "rolling_mean_time_range_dense",
+    "SELECT event_id, "
+    + ", ".join(
+        f"""round(avg(round(value * 100)) OVER (PARTITION BY event_type ORDER BY floor(epoch(ts))::BIGINT
+            RANGE BETWEEN {n * 3600 - 1} PRECEDING AND CURRENT ROW), 6) AS mean_{n}h"""
+        for n in (3, 6, 24)
+    )
+    + " FROM events",
+)
+def _(spark, folder):
+    """Few series with many rows an hour: windows run over the seconds that have rows. Values in hundredths, whose sums are exact."""
+    hours = {f"mean_{n}h": n for n in (3, 6, 24)}
+    value = F.round(F.col("value") * 100).alias("value")
+    rows = events(spark, folder).select(F.col("event_type").alias(KEY), F.col("ts").alias(TIME), "event_id", value)
+    return windows.rolling_means_by_time(rows, hours, "value", many_per_second=True, **SPLIT).select("event_id", *hours)
+
+
 @query("features_full", f"{S.FT} SELECT {S.FEATURE_COLUMNS} FROM f")
 def features_full(spark, folder):
     return features.compute_features(readings(spark, folder), **SPLIT)

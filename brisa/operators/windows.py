@@ -12,9 +12,11 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from brisa.functions.numeric import without_nan
 from brisa.schemas import KEY, TARGET, TIME
+from brisa.session import new_dir
 
 CHUNK = "_chunk"
 COPY = "_is_copy"
@@ -25,20 +27,54 @@ def _chunk_of(time: str, chunk_hours: int) -> Column:
     return F.floor(F.unix_timestamp(F.col(time).cast("timestamp")) / (chunk_hours * 3600)).cast("bigint")
 
 
-def _with_balanced_chunks(
-    df: DataFrame, keys: tuple[str, ...], time: str, rows_per_chunk: int, unit_seconds: int = 60
-) -> DataFrame:
-    """Chunks of about equally many rows, cut between minutes.
+def _ranked(df: DataFrame, keys: tuple[str, ...], order: list[str]) -> DataFrame:
+    """Add ``_rank``, each row's place from 0 in its series, without gathering a series.
 
-    Counts per minute are combined map-side and numbered along each series; a
-    series has at most half a million of them per year, however many rows it has.
+    Rows are range-partitioned by series and order, ties by all their columns, and written once, so that both readings below see the same places. A
+    partition holds about as many rows as any other, however many of them share a series, an hour or a moment. Places within
+    partitions, and a table with a row per partition and series, give the ranks.
     """
-    unit = F.floor(F.unix_timestamp(F.col(time).cast("timestamp")) / unit_seconds)
-    rows = df.withColumn("_unit", unit)
-    counts = rows.groupBy(*keys, "_unit").agg(F.count(F.lit(1)).alias("_n"))
-    so_far = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_unit")) - F.col("_n")
-    chunks = counts.select(*keys, "_unit", F.floor(so_far / rows_per_chunk).alias(CHUNK))
-    return rows.join(chunks, [*keys, "_unit"]).drop("_unit").select(*df.columns, CHUNK)
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tie = F.xxhash64(*[f.name for f in df.schema.fields if not isinstance(f.dataType, MapType)]).alias("_tie")
+    placed = df.select("*", tie).repartitionByRange(parts, *keys, *order, "_tie").sortWithinPartitions(*keys, *order, "_tie")
+    placed = placed.drop("_tie").withColumn("_at", F.monotonically_increasing_id())
+    path = new_dir(spark, "ranked")
+    placed.write.parquet(path)
+    rows = spark.read.schema(placed.schema).parquet(path).withColumn("_part", F.shiftright("_at", 33))
+    starts = rows.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_part").alias("_p")).agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first")
+    )
+    before = Window.partitionBy(*[f"_k_{k}" for k in keys]).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = starts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    same = F.col("_part") == F.col("_p")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return rows.join(starts, same).select(*df.columns, (F.col("_at") - F.col("_first") + F.col("_before")).alias("_rank"))
+
+
+def _with_balanced_chunks(
+    df: DataFrame, keys: tuple[str, ...], time: str, rows_per_chunk: int, tie_breakers: tuple[str, ...] = ()
+) -> DataFrame:
+    """Chunks of ``rows_per_chunk`` rows of a series, wherever they lie in time."""
+    ranked = _ranked(df, keys, [time, *tie_breakers])
+    return ranked.withColumn(CHUNK, F.floor(F.col("_rank") / rows_per_chunk))
+
+
+def _with_rank_windows(
+    df: DataFrame, build: Callable[[WindowSpec], dict[str, Column]], lookback: int, keys: tuple[str, ...], time: str,
+    tie_breakers: tuple[str, ...], rows_per_chunk: int, backwards: bool,
+) -> DataFrame:
+    """Row windows over chunks of equally many rows. Which chunks look back at a row follows from its rank, so copies are made map-side."""
+    rows = _with_balanced_chunks(df, keys, time, rows_per_chunk, tie_breakers)
+    rank, own = F.col("_rank"), F.col(CHUNK)
+    if backwards:
+        low, high = F.greatest(F.floor((rank - lookback) / rows_per_chunk), F.lit(0)), own
+    else:
+        low, high = own, F.floor((rank + lookback) / rows_per_chunk)
+    copied = rows.withColumn("_own", own).withColumn(CHUNK, F.explode(F.sequence(low, high)))
+    window = Window.partitionBy(*keys, CHUNK).orderBy(rank.desc() if backwards else rank.asc())
+    return copied.withColumns(build(window)).where(F.col(CHUNK) == F.col("_own")).drop(CHUNK, "_own", "_rank")
 
 
 def with_row_windows(
@@ -62,13 +98,12 @@ def with_row_windows(
 
     Chunks are ``chunk_hours`` long, which suits one row per hour and costs no
     join. Where a series may hold any number of rows per hour, ``rows_per_chunk``
-    makes chunks of that many rows instead, for one more shuffle.
+    makes chunks of that many rows instead; for that the ranked rows are written once.
     """
+    if rows_per_chunk is not None:
+        return _with_rank_windows(df, build, lookback, keys, time, tie_breakers, rows_per_chunk, backwards)
     order_columns = [time, *tie_breakers]
-    if rows_per_chunk is None:
-        rows = df.withColumn(CHUNK, _chunk_of(time, chunk_hours))
-    else:
-        rows = _with_balanced_chunks(df, keys, time, rows_per_chunk)
+    rows = df.withColumn(CHUNK, _chunk_of(time, chunk_hours))
     rows = rows.withColumn(CHUNK, F.col(CHUNK) * (-1 if backwards else 1)).withColumn(COPY, F.lit(False))
 
     def ordered(descending: bool) -> list[Column]:
@@ -178,16 +213,34 @@ def rolling_spread(df: DataFrame, rows: int = 24, value: str = TARGET, **split)
     return with_row_windows(df, build, [value], rows - 1, **split)
 
 
-def rolling_means_by_time(df: DataFrame, hours: dict[str, int], value: str = TARGET, **split) -> DataFrame:
-    """Trailing means over true hours, so a gap shortens the window instead of stretching it."""
-    return with_time_windows(
-        df,
-        lambda w: {
-            name: F.avg(without_nan(F.col(value))).over(w.rangeBetween(1 - n * 3600, 0)) for name, n in hours.items()
-        },
-        max(hours.values()) * 3600,
-        **split,
-    )
+def rolling_means_by_time(
+    df: DataFrame, hours: dict[str, int], value: str = TARGET, many_per_second: bool = False, **split
+) -> DataFrame:
+    """Trailing means over true hours, so a gap shortens the window instead of stretching it.
+
+    With ``many_per_second`` rows of one second are first added up, map-side, and the windows run over seconds, of which a chunk has
+    a bounded number however many rows it holds; each row then takes the means of its second.
+    """
+    if not many_per_second:
+        return with_time_windows(
+            df,
+            lambda w: {
+                name: F.avg(without_nan(F.col(value))).over(w.rangeBetween(1 - n * 3600, 0)) for name, n in hours.items()
+            },
+            max(hours.values()) * 3600,
+            **split,
+        )
+    keys, time = split.get("keys", (KEY,)), split.get("time", TIME)
+    second = F.timestamp_seconds(F.unix_timestamp(F.col(time).cast("timestamp"))).alias("_second")
+    known = without_nan(F.col(value).cast("double"))
+    sums = df.groupBy(*keys, second).agg(F.sum(known).alias("_sum"), F.count(known).alias("_count"))
+
+    def build(w: WindowSpec) -> dict[str, Column]:
+        frames = {name: w.rangeBetween(1 - n * 3600, 0) for name, n in hours.items()}
+        return {name: F.try_divide(F.sum("_sum").over(frame), F.sum("_count").over(frame)) for name, frame in frames.items()}
+
+    means = with_time_windows(sums, build, max(hours.values()) * 3600, **{**split, "time": "_second"})
+    return df.withColumn("_second", second).join(means.select(*keys, "_second", *hours), [*keys, "_second"]).select(*df.columns, *hours)
 
 
 def with_previous(df: DataFrame, columns: dict[str, str], **split) -> DataFrame:

@@ -58,6 +58,36 @@ def test_balanced_chunks_hold_about_as_many_rows_as_asked(spark):
     assert max(r["count"] for r in sizes) < 500 + 2 * 60 / 7
 
 
+def test_a_hot_minute_is_split(spark):
+    """A hundred thousand rows in one minute of one series, half of them at one moment, spread evenly over chunks and tasks."""
+    moment = F.when(F.col("id") % 2 == 0, F.lit(30_000_000)).otherwise(F.col("id") * 600)
+    rows = spark.range(100_000).select(
+        F.lit(1).alias(KEY), F.timestamp_micros(F.unix_micros(F.lit(START).cast("timestamp")) + moment).alias(TIME),
+        F.col("id").alias("event_id"), (F.col("id") % 11).cast("double").alias(TARGET),
+    )
+    for ties in ((), ("event_id",)):
+        chunked = windows._with_balanced_chunks(rows, (KEY,), TIME, 1000, ties)
+        sizes = [r["count"] for r in chunked.groupBy(windows.CHUNK).count().collect()]
+        assert len(sizes) == 100 and set(sizes) == {1000}
+        assert chunked.select("_rank").distinct().count() == 100_000
+    split = windows.rolling_means(rows, {"m": 24}, tie_breakers=("event_id",), rows_per_chunk=1000)
+    window = Window.partitionBy(KEY).orderBy(TIME, "event_id").rowsBetween(-23, 0)
+    same_rows(split.select("event_id", "m"), rows.withColumn("m", F.avg(TARGET).over(window)).select("event_id", "m"))
+
+
+@pytest.mark.parametrize("chunk_hours", [24, 31])
+def test_time_windows_over_seconds_equal_plain_windows(spark, chunk_hours):
+    rows = [(i % 3 if i % 7 else None, START + datetime.timedelta(seconds=i * i % 7919, microseconds=i % 5), i, None if i % 9 == 0 else float(i % 11)) for i in range(3000)]
+    rows += [(1, hours(50 * i), 5000 + i, float("nan") if i % 4 == 0 else 2.0) for i in range(20)]
+    df = spark.createDataFrame(rows, f"{KEY} bigint, {TIME} timestamp, event_id bigint, {TARGET} double").where(F.col(KEY).isNotNull())
+    sizes = {"m1": 1, "m24": 24}
+    seconds = Window.partitionBy(KEY).orderBy(F.unix_timestamp(TIME))
+    known = F.when(~F.isnan(TARGET), F.col(TARGET))
+    want = df.withColumns({n: F.avg(known).over(seconds.rangeBetween(1 - h * 3600, 0)) for n, h in sizes.items()})
+    got = windows.rolling_means_by_time(df, sizes, many_per_second=True, chunk_hours=chunk_hours)
+    same_rows(got.select("event_id", *sizes), want.select("event_id", *sizes))
+
+
 @pytest.mark.parametrize("chunk_hours", [1, 7, 24 * 90])
 def test_next_equals_lead(make_readings, chunk_hours):
     df = make_readings(ragged()).select(KEY, TIME, TARGET)
