@@ -142,37 +142,78 @@ def suite_frame(spark: SparkSession, suite: dict) -> DataFrame:
     return spark.createDataFrame([(json.dumps(suite),)], "value string")
 
 
-def _unexpected(expectation: dict) -> Column:
-    kind, kwargs = expectation["expectation_type"], expectation.get("kwargs", {})
+def _literal(value, kind: T.DataType) -> Column:
+    """A bound or member of a set in the type of the column it is compared with; null if it is none."""
+    value = F.lit(value if isinstance(value, (int, float, str)) and not isinstance(value, bool) else str(value))
+    return value.try_cast("double" if isinstance(kind, T.NumericType) else kind)
+
+
+def _comparable(column: str, kind: T.DataType, bounds: list) -> tuple[Column, T.DataType]:
+    """A column as it is compared with the given values. A text is compared with numbers as the number it holds."""
+    value = F.col(f"`{column}`")
+    if isinstance(kind, T.StringType) and any(isinstance(b, (int, float)) for b in bounds):
+        kind, value = T.DoubleType(), F.coalesce(value.try_cast("double"), F.when(value.isNotNull(), float("inf")))
+        return value, kind
+    if isinstance(kind, T.NumericType):
+        return without_nan(value.cast("double")), T.DoubleType()
+    return value, kind
+
+
+def _unexpected(expectation: dict, kinds: dict[str, T.DataType]) -> Column | None:
+    """The number of rows, or for a whole table 0 or 1, that an expectation does not hold for; None if that cannot be told.
+
+    NaN is a missing value. A text that is no number lies in no range of numbers and in no set of them.
+    """
+    kind, kwargs = expectation.get("expectation_type"), expectation.get("kwargs") or {}
+    low, high = kwargs.get("min_value"), kwargs.get("max_value")
     if kind == "expect_table_row_count_to_be_between":
-        low, high = kwargs.get("min_value", 0), kwargs.get("max_value")
         rows = F.count(F.lit(1))
-        bad = rows < low if high is None else (rows < low) | (rows > high)
-        return bad.cast("bigint")
-    value = F.col(kwargs["column"])
+        least = F.coalesce(F.lit(low).try_cast("bigint"), F.lit(0))
+        bad = rows < least
+        return (bad if high is None else bad | (rows > F.lit(high).try_cast("bigint"))).cast("bigint")
+    type_ = kinds.get(kwargs.get("column"))
+    if type_ is None:
+        return None
+    column = kwargs["column"]
     if kind == "expect_column_values_to_not_be_null":
-        return F.count_if(value.isNull())
+        value = F.col(f"`{column}`")
+        return F.count_if((without_nan(value) if isinstance(type_, (T.DoubleType, T.FloatType)) else value).isNull())
+    if not isinstance(type_, (T.NumericType, T.StringType, T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return None
     if kind == "expect_column_values_to_be_between":
+        bounds = [b for b in (low, high) if b is not None]
+        value, type_ = _comparable(column, type_, bounds)
         bad = F.lit(False)
-        if kwargs.get("min_value") is not None:
-            bad = bad | (value < kwargs["min_value"])
-        if kwargs.get("max_value") is not None:
-            bad = bad | (value > kwargs["max_value"])
-        return F.count_if(bad)
-    if kind == "expect_column_values_to_be_in_set":
-        return F.count_if(value.isNotNull() & ~value.isin(kwargs["value_set"]))
-    raise ValueError(f"unknown expectation type {kind}")
+        if low is not None:
+            bad = bad | (value < _literal(low, type_))
+        if high is not None:
+            bad = bad | (value > _literal(high, type_))
+        # A bound that is none of the column's type leaves no count.
+        readable = [_literal(b, type_).isNotNull() for b in bounds]
+        found = F.count_if(bad)
+        for known in readable:
+            found = F.when(known, found)
+        return found
+    if kind == "expect_column_values_to_be_in_set" and isinstance(kwargs.get("value_set"), list):
+        value, type_ = _comparable(column, type_, kwargs["value_set"])
+        inside = F.lit(False)
+        for member in kwargs["value_set"]:
+            inside = inside | F.coalesce(value == _literal(member, type_), F.lit(False))
+        return F.count_if(value.isNotNull() & ~inside)
+    return None
 
 
 def expectation_run(df: DataFrame, suite: dict) -> DataFrame:
-    """Run a suite over a table: every expectation is one aggregate of the same pass."""
+    """Run a suite over a table: every expectation is one aggregate of the same pass.
+
+    An expectation of an unknown type, about an absent column, or that cannot be tested on its column has no count and has failed.
+    """
     expectations = suite["expectations"]
+    kinds = {f.name: f.dataType for f in df.schema.fields}
 
     def counts(expectation: dict) -> Column:
-        # An expectation about an absent column has no count and has failed.
-        column = expectation.get("kwargs", {}).get("column")
-        absent = column is not None and column not in df.columns
-        return F.lit(None).cast("bigint") if absent else _unexpected(expectation)
+        found = _unexpected(expectation, kinds)
+        return F.lit(None).cast("bigint") if found is None else found
 
     counted = df.agg(F.count(F.lit(1)), *[counts(e).alias(f"u{i}") for i, e in enumerate(expectations)])
     return counted.select(
@@ -182,8 +223,8 @@ def expectation_run(df: DataFrame, suite: dict) -> DataFrame:
                     F.struct(
                         F.lit(suite["expectation_suite_name"]).alias("suite_name"),
                         F.lit(i + 1).alias("position"),
-                        F.lit(e["expectation_type"]).alias("expectation_type"),
-                        F.lit(e.get("kwargs", {}).get("column", "N/A")).alias("column"),
+                        F.lit(e.get("expectation_type")).cast("string").alias("expectation_type"),
+                        F.lit((e.get("kwargs") or {}).get("column", "N/A")).alias("column"),
                         F.col(f"u{i}").alias("unexpected"),
                         F.coalesce(F.col(f"u{i}") == 0, F.lit(False)).alias("passed"),
                     )

@@ -1,5 +1,6 @@
 """Checks answer for any frame; splits take any id; stored results follow their input."""
 
+import datetime
 import math
 
 import pytest
@@ -47,6 +48,36 @@ def test_expectation_about_an_absent_column(spark):
     assert [(r["unexpected"], r["passed"]) for r in rows] == [(None, False), (0, True)]
 
 
+def test_expectations_answer_for_any_column_and_rule(spark):
+    df = spark.createDataFrame(
+        [(1.0, "7", "a", datetime.date(2024, 1, 1), [1]), (math.nan, "x", "b", datetime.date(2024, 5, 1), [2]), (900.0, None, None, None, None)],
+        "n double, t string, s string, d date, l array<int>",
+    )
+    between, one_of, present = (f"expect_column_values_to_{w}" for w in ("be_between", "be_in_set", "not_be_null"))
+    rules = [
+        (between, {"column": "n", "min_value": 0, "max_value": 500}, 1),
+        (between, {"column": "n", "min_value": "0"}, 0),
+        (between, {"column": "t", "min_value": 0, "max_value": 5}, 2),
+        (between, {"column": "s", "max_value": "a"}, 1),
+        (between, {"column": "d", "min_value": "2024-02-01"}, 1),
+        (between, {"column": "d", "min_value": "no date"}, None),
+        (between, {"column": "l", "min_value": 0}, None),
+        (one_of, {"column": "n", "value_set": [1, 2.5, "z"]}, 1),
+        (one_of, {"column": "t", "value_set": [7]}, 1),
+        (one_of, {"column": "s", "value_set": ["a", None]}, 1),
+        (one_of, {"column": "s"}, None),
+        (present, {"column": "n"}, 1),
+        (present, {"column": "l"}, 1),
+        (present, {}, None),
+        ("expect_column_values_to_rhyme", {"column": "s"}, None),
+        ("expect_table_row_count_to_be_between", {"min_value": "2", "max_value": 2}, 1),
+    ]
+    suite = {"expectation_suite_name": "s", "expectations": [{"expectation_type": k, "kwargs": a} for k, a, _ in rules] + [{}]}
+    found = checks.expectation_run(df, suite).orderBy("position").collect()
+    assert [r["unexpected"] for r in found] == [n for *_, n in rules] + [None]
+    assert [r["passed"] for r in found] == [n == 0 for *_, n in rules] + [False]
+
+
 @pytest.mark.parametrize("ids", [[2**60, 2**63 - 1, -(2**63), 5], ["click", "view", "", "7"]])
 def test_any_series_can_be_split(spark, ids):
     kind = "string" if isinstance(ids[0], str) else "bigint"
