@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
+from pyspark.ml.linalg import DenseVector
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -126,6 +127,51 @@ def train_models(
     return models
 
 
+class MarginalModel:
+    """Every input's own ridge fit, averaged: what the fitted models offer to predictions and explanations, in closed form.
+
+    The weight of a scaled input z is sum(z y) / (n + alpha) over the training rows, divided by the number of inputs.
+    """
+
+    def __init__(self, coefficients: list[float], intercept: float, moments: dict, names: list[str]):
+        self.coefficients, self.intercept, self.names = DenseVector(coefficients), intercept, names
+        self.stages = [_scaling_stage(moments, names), self]
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        terms = [f"{float(w)!r}D * `{scaled(n)}`" for w, n in zip(self.coefficients, self.names)]
+        return self.stages[0].transform(df).withColumn(PREDICTION, F.expr(" + ".join([f"{self.intercept!r}D", *terms])))
+
+
+def fit_marginal(data: DataFrame, alpha: float = 1.0, names: list[str] = MODEL_FEATURES) -> MarginalModel:
+    """One aggregate over the training rows; the driver sees three numbers per input."""
+    train = data.where(F.col("is_train") & F.col(LABEL).isNotNull())
+    row = train.agg(
+        F.count(LABEL).alias("n"),
+        F.avg(LABEL).alias("mean"),
+        *[F.avg(n).alias(f"{n}_mean") for n in names],
+        *[spread(F.col(n)).alias(f"{n}_std") for n in names],
+        *[F.covar_pop(F.col(n), F.col(LABEL)).alias(f"{n}_cov") for n in names],
+    ).first()
+    if not row["n"]:
+        raise ValueError("no training rows with a label")
+    scale = row["n"] / (row["n"] + alpha) / len(names)
+    return MarginalModel([row[f"{n}_cov"] / row[f"{n}_std"] * scale for n in names], row["mean"], row.asDict(), names)
+
+
+def ridge_gradient(model: PipelineModel, data: DataFrame, alpha: float = 1.0, names: list[str] = MODEL_FEATURES) -> DataFrame:
+    """(feature, gradient): the normal equations of a ridge fit, per training row; all 0 at the fitted weights."""
+    last = model.stages[-1]
+    scored = model.transform(data.where("is_train"))
+    error = F.col(LABEL) - F.col(PREDICTION)
+    n = F.count(LABEL)
+    parts = [
+        F.struct(F.lit(name).alias("feature"), ((F.sum(F.col(scaled(name)) * error) - alpha * float(w)) / n).alias("gradient"))
+        for name, w in zip(names, last.coefficients)
+    ]
+    parts.append(F.struct(F.lit("intercept").alias("feature"), (F.sum(error) / n).alias("gradient")))
+    return scored.agg(F.array(*parts).alias("parts")).select(F.inline("parts"))
+
+
 def model_comparison(models: dict[str, PipelineModel], data: DataFrame) -> DataFrame:
     """One row per model: MAE, RMSE and R² on training and validation rows."""
     return compare_predictions({name: model.transform(data) for name, model in models.items()})

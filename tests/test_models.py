@@ -10,7 +10,7 @@ from brisa.operators import metrics
 from brisa.operators.features import compute_features
 from brisa.operators.forecast import forecast_heuristic, forecast_kpis
 from brisa.operators.shape import latest_row
-from brisa.plans import explain, training
+from brisa.plans import attribution, explain, training
 from brisa.schemas import KEY, MODEL_FEATURES, TARGET, TIME
 
 SMALL = training.ModelSettings(forest_trees=5, forest_depth=6, boosting_rounds=5, boosting_rate=0.3)
@@ -241,3 +241,75 @@ def test_heuristic_forecast(make_readings):
     kpis = {r[KEY]: r for r in forecast_kpis(rows).collect()}
     assert (kpis[1]["trend"], kpis[1]["peak_day"]) == ("Improving", "Sun")
     assert (kpis[2]["trend"], kpis[2]["peak_day"]) == ("Worsening", "Sat")
+
+
+def shapley(nodes, x, features):
+    """By definition: over all sets of inputs, mean predictions with only those known."""
+    import itertools
+    import math
+
+    table = {(n["tree"], n["node"]): n for n in nodes}
+
+    def mean(tree, node, known):
+        n = table[tree, node]
+        if n["left"] < 0:
+            return n["value"]
+        if n["feature"] in known:
+            return mean(tree, n["left"] if x[n["feature"]] <= n["threshold"] else n["right"], known)
+        parts = [(table[tree, c]["rows"], mean(tree, c, known)) for c in (n["left"], n["right"])]
+        return sum(w * v for w, v in parts) / n["rows"]
+
+    worth = {
+        s: sum(mean(t, 0, s) for t in sorted({t for t, _ in table}))
+        for k in range(features + 1)
+        for s in itertools.combinations(range(features), k)
+    }
+    out = []
+    for i in range(features):
+        total = 0.0
+        for s in worth:
+            if i not in s:
+                share = math.factorial(len(s)) * math.factorial(features - len(s) - 1) / math.factorial(features)
+                total += share * (worth[tuple(sorted((*s, i)))] - worth[s])
+        out.append(total)
+    return out, worth[()]
+
+
+@pytest.mark.parametrize("tabulated", [8, 1])
+@pytest.mark.parametrize("kind", ["gradient_boosting", "random_forest"])
+def test_tree_contributions_are_shapley_values(spark, data, kind, tabulated, monkeypatch):
+    monkeypatch.setattr(attribution, "TABULATED", tabulated)
+    names = ["co", "hour", "rolling_aqi_3h", "pm10"]
+    fitted = training.train_models(data, SMALL, only=(kind,), names=names)[kind]
+    nodes = attribution.node_table(fitted, spark).collect()
+    groups, mean = attribution.leaves_of(nodes)
+    rows = fitted.transform(data).select(*[training.scaled(n) for n in names], "prediction").limit(40).collect()
+    x = np.array([row[:-1] for row in rows])
+    found = attribution.Scorer(groups, len(names)).of(x)
+    for row, one in zip(rows, found):
+        want, base = shapley(nodes, row[:-1], len(names))
+        assert base == pytest.approx(mean, abs=1e-9)
+        assert one == pytest.approx(want, abs=1e-9)
+        assert mean + one.sum() == pytest.approx(row["prediction"], abs=1e-9)
+
+
+@pytest.mark.parametrize("kind", ["gradient_boosting", "random_forest"])
+def test_tree_contributions_add_up_to_the_prediction(data, models, kind):
+    rows, mean = attribution.tree_contributions(models[kind], data)
+    sums = rows.groupBy(KEY, TIME).agg((F.sum("contribution") + mean).alias("whole"), F.count("*").alias("n"))
+    both = sums.join(models[kind].transform(data).select(KEY, TIME, "prediction"), [KEY, TIME]).collect()
+    assert len(both) == data.count()
+    assert all(r["n"] == len(MODEL_FEATURES) and r["whole"] == pytest.approx(r["prediction"], abs=1e-9) for r in both)
+
+
+def test_marginal_model_and_normal_equations(data, models):
+    x, y, train = arrays(data)
+    z = (x - x[train].mean(0)) / np.where(np.ptp(x[train], 0) > 0, x[train].std(0), 1.0)
+    n = train.sum()
+    w = z[train].T @ (y[train] - y[train].mean()) / (n + 1) / x.shape[1]
+    fitted = training.fit_marginal(data)
+    assert fitted.coefficients.toArray() == pytest.approx(w, abs=1e-9)
+    gradient = {r["feature"]: r["gradient"] for r in training.ridge_gradient(models["ridge"], data).collect()}
+    assert set(gradient) == {*MODEL_FEATURES, "intercept"} and all(abs(v) < 1e-9 for v in gradient.values())
+    off = training.MarginalModel(list(w * 2), 1.0, {f"{c}_{k}": 1.0 for c in MODEL_FEATURES for k in ("mean", "std")}, MODEL_FEATURES)
+    assert max(abs(r["gradient"]) for r in training.ridge_gradient(off, data).collect()) > 1e-3
