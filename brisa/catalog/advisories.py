@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from brisa.catalog import sql as S
 from brisa.catalog.registry import query
+from brisa.catalog.sources import newest_features
 from brisa.functions import categories as C
 from brisa.operators import advisory
 from brisa.operators.forecast import forecast_heuristic
@@ -164,4 +165,4 @@ def _(spark, folder):
         SELECT *, age_seconds > 10800 AS stale FROM a""",
 )
 def _(spark, folder):
-    return advisory.staleness_check(readings(spark, folder))
+    return advisory.staleness_check(newest_features(spark, folder))

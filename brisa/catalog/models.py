@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from brisa.catalog import sql as S
 from brisa.catalog.advisories import HEURISTIC_SQL, heuristic
 from brisa.catalog.registry import once, query
-from brisa.catalog.sources import feature_table
+from brisa.catalog.sources import feature_table, newest_features
 from brisa.functions import categories as C
 from brisa.functions.calendar import weekend_flag
 from brisa.operators import metrics
 from brisa.operators.forecast import prediction_monitor
 from brisa.operators.windows import rolling_means
-from brisa.plans import explain, training
+from brisa.plans import attribution, explain, training
 from brisa.plans.readings import readings
 from brisa.schemas import KEY, MODEL_FEATURES, TARGET, TIME
 from brisa.session import new_dir
@@ -254,7 +254,7 @@ def _(spark, folder):
 @query("feature_impact")
 def _(spark, folder):
     importances = explain.feature_importance(best(spark, folder), training_data(spark, folder))
-    return explain.feature_impact(feature_table(spark, folder), importances)
+    return explain.feature_impact(newest_features(spark, folder), importances)
 
 
 @query("linear_contributions")
@@ -268,22 +268,158 @@ def _(spark, folder):
     return explain.permutation_importance(best(spark, folder), training_data(spark, folder))
 
 
+@query("tree_contributions")
+def _(spark, folder):
+    """Mean absolute Shapley value of every input in the boosted model."""
+    boosted = model(spark, folder, "gradient_boosting")
+    rows, _ = attribution.tree_contributions(boosted, training_data(spark, folder))
+    return explain.mean_contributions(rows)
+
+
+@query("ridge_normal_equations", S.union_all(f"SELECT '{c}' AS feature, 0.0::DOUBLE AS gradient" for c in [*MODEL_FEATURES, "intercept"]))
+def _(spark, folder):
+    """The fitted ridge solves its normal equations over all training rows, to four digits: some inputs nearly repeat others."""
+    gradient = training.ridge_gradient(model(spark, folder, "ridge"), training_data(spark, folder), SIZES.ridge_alpha)
+    return gradient.withColumn("gradient", F.round("gradient", 4))
+
+
 # --- Predictions ----------------------------------------------------------
 
 
 @query("batch_predict")
 def _(spark, folder):
-    return training.batch_predict(best(spark, folder), feature_table(spark, folder))
+    return training.batch_predict(best(spark, folder), newest_features(spark, folder))
 
 
 @query("forecast_3_days")
 def forecast_3_days(spark, folder):
-    return training.forecast_3_days(best(spark, folder), feature_table(spark, folder))
+    return training.forecast_3_days(best(spark, folder), newest_features(spark, folder))
 
 
 @query("forecast_api_variant")
 def _(spark, folder):
-    return training.forecast_api_variant(best(spark, folder), feature_table(spark, folder))
+    return training.forecast_api_variant(best(spark, folder), newest_features(spark, folder))
+
+
+# --- The same with a model in closed form, which SQL can express ------------
+
+
+def marginal(spark: SparkSession, folder: str) -> training.MarginalModel:
+    return once(spark, folder, "marginal", lambda: training.fit_marginal(training_data(spark, folder)))
+
+
+_SPLIT = "(series_id * 7919 + (epoch(datetime) // 3600)::BIGINT * 104729 + 42) % 100 < 80"
+_LIMITS = {c: f"CASE WHEN min({c}) < max({c}) THEN stddev_pop({c}) ELSE 1.0 END" for c in MODEL_FEATURES}
+_MARGINAL = f"""{S.FT}, x AS (SELECT series_id, datetime, aqi::DOUBLE AS label, {_SPLIT} AS is_train,
+    {", ".join(f"coalesce({c}, 0)::DOUBLE AS {c}" for c in MODEL_FEATURES)} FROM f),
+  m AS (SELECT avg(label) AS b, {", ".join(f"avg({c}) AS m_{c}, {_LIMITS[c]} AS d_{c}" for c in MODEL_FEATURES)},
+    {", ".join(f"covar_pop({c}, label) / ({_LIMITS[c]}) * count(*) / (count(*) + 1) / {len(MODEL_FEATURES)} AS w_{c}" for c in MODEL_FEATURES)}
+    FROM x WHERE is_train),
+  i AS ({S.union_all(f"SELECT '{c}' AS feature, abs(w_{c}) AS importance FROM m" for c in MODEL_FEATURES)}),
+  k AS (SELECT *, importance / sum(importance) OVER () * 100 AS importance_percent,
+    CAST(row_number() OVER (ORDER BY importance DESC, feature) AS INTEGER) AS rank FROM i),
+  l AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY datetime DESC) = 1)"""
+_IMPORTANCE = f"SELECT feature, {S.r6('importance')} AS importance, {S.r6('importance_percent')} AS importance_percent, rank FROM k"
+
+
+def _scored(inputs: dict[str, str] | None = None) -> str:
+    """SQL of the model's prediction, with some inputs replaced."""
+    inputs = inputs or {}
+    return "(b + " + " + ".join(f"w_{c} * ({inputs.get(c, c)} - m_{c}) / d_{c}" for c in MODEL_FEATURES) + ")"
+
+
+@query("marginal_importance", f"{_MARGINAL} {_IMPORTANCE}")
+def _(spark, folder):
+    return explain.feature_importance(marginal(spark, folder), training_data(spark, folder))
+
+
+@query("marginal_top_features", f"{_MARGINAL} {_IMPORTANCE} WHERE rank <= 10")
+def _(spark, folder):
+    return explain.top_features(explain.feature_importance(marginal(spark, folder), training_data(spark, folder)))
+
+
+@query(
+    "marginal_impact",
+    f"""{_MARGINAL}, v AS ({S.union_all(f"SELECT series_id, '{c}' AS feature, {c} AS current_value FROM l" for c in MODEL_FEATURES)})
+        SELECT series_id, feature, {S.r6("current_value")} AS current_value, CASE WHEN rank <= 5 THEN 'High' ELSE 'Medium' END AS impact
+        FROM v JOIN k USING (feature)""",
+)
+def _(spark, folder):
+    importances = explain.feature_importance(marginal(spark, folder), training_data(spark, folder))
+    return explain.feature_impact(newest_features(spark, folder), importances)
+
+
+@query(
+    "marginal_contributions",
+    f"""{_MARGINAL}, a AS (SELECT {", ".join(f"avg({c}) AS a_{c}" for c in MODEL_FEATURES)} FROM x)
+        {S.union_all(f"SELECT '{c}' AS feature, {S.r6(f'avg(abs(w_{c} * ({c} - a_{c}) / d_{c}))')} AS mean_abs_contribution FROM x, m, a" for c in MODEL_FEATURES)}""",
+)
+def _(spark, folder):
+    return explain.mean_contributions(explain.linear_contributions(marginal(spark, folder), training_data(spark, folder)))
+
+
+_PRIME = 2147483647
+_ORDER = f"""((((7 + (series_id % {_PRIME}) * 7919 + ((epoch(datetime) // 3600)::BIGINT % {_PRIME}) * 104729) % {_PRIME})::HUGEINT
+    * 1103515245 + 12345) % {_PRIME})::BIGINT"""
+_R2 = "1 - avg((label - p) * (label - p)) / nullif(var_pop(label), 0)"
+
+
+@query(
+    "marginal_permutation",
+    f"""{_MARGINAL}, o AS (SELECT *, {_ORDER} AS o FROM x),
+        u AS (SELECT *, o % greatest(ceil((SELECT count(*) FROM x) / {explain.ROWS_PER_BUCKET}), 1)::BIGINT AS u FROM o),
+        s AS (SELECT *, {", ".join(
+            f"coalesce(lag({c}) OVER z, last({c}) OVER (z ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS o_{c}" for c in MODEL_FEATURES
+        )} FROM u WINDOW z AS (PARTITION BY u ORDER BY o, series_id, datetime)),
+        n AS (SELECT {_R2} AS r2 FROM (SELECT label, {_scored()} AS p FROM x, m))
+        {S.union_all(f"""SELECT '{c}' AS feature, {S.r6("any_value(n.r2)")} AS baseline_r2, {S.r6(f"any_value(n.r2) - ({_R2})")} AS r2_loss
+          FROM (SELECT label, {_scored({c: f"o_{c}"})} AS p FROM s, m), n""" for c in MODEL_FEATURES)}""",
+)
+def _(spark, folder):
+    return explain.permutation_importance(marginal(spark, folder), training_data(spark, folder))
+
+
+@query(
+    "marginal_predict",
+    f"""{_MARGINAL}, p AS (SELECT series_id, datetime, {_scored()} + 1 AS value FROM l, m)
+        SELECT series_id, datetime, {S.r6("round(value, 2)")} AS prediction, {S.fields("value", C.STATUS)} FROM p""",
+)
+def _(spark, folder):
+    return training.batch_predict(marginal(spark, folder), newest_features(spark, folder))
+
+
+def _forecast_sql(columns: str) -> str:
+    """Three days in turn: calendar of the day at noon, and the last prediction in place of the means."""
+    steps, before = [], None
+    for step in (1, 2, 3):
+        day = f"(CAST(datetime AS DATE) + {step})"
+        inputs = {
+            "hour": "12", "day": f"day({day})", "day_of_week": f"(isodow({day}) - 1)", "month": f"month({day})",
+            "is_weekend": f"(isodow({day}) >= 6)::INTEGER",
+        }
+        if before:
+            inputs |= dict.fromkeys(("rolling_aqi_3h", "rolling_aqi_6h", "rolling_aqi_24h"), before)
+            inputs["aqi_change_rate"] = f"({before} - label)"
+        source = f"p{step - 1}" if before else "l, m"
+        steps.append(f"p{step} AS (SELECT *, {_scored(inputs)} AS v{step} FROM {source})")
+        before = f"v{step}"
+    rows = S.union_all(f"SELECT series_id, {i} AS step, CAST(datetime AS DATE) + {i} AS d, v{i} AS v, v{i} + 1 AS value FROM p3" for i in (1, 2, 3))
+    return f"{_MARGINAL}, {', '.join(steps)}, r3 AS ({rows}) SELECT series_id, step, strftime(d, '%Y-%m-%d') AS date, {columns} FROM r3"
+
+
+@query("marginal_forecast", _forecast_sql(f"{S.r6('round(v, 2)')} AS predicted_aqi"))
+def _(spark, folder):
+    return training.forecast_3_days(marginal(spark, folder), newest_features(spark, folder))
+
+
+@query(
+    "marginal_forecast_api",
+    _forecast_sql(
+        f"dayname(d) AS day, {S.r6('round(value, 2)')} AS prediction, {S.fields('value', C.STATUS, [n for n in C.STATUS[0] if n != 'recommendations'])}"
+    ),
+)
+def _(spark, folder):
+    return training.forecast_api_variant(marginal(spark, folder), newest_features(spark, folder))
 
 
 @query(

@@ -76,15 +76,28 @@ def _(spark, folder):
     return files.read_csv(spark, path, FEATURES_SCHEMA)
 
 
-def feature_table(spark: SparkSession, folder: str) -> DataFrame:
-    """The features of all readings, stored by day."""
+def _feature_path(spark: SparkSession, folder: str) -> str:
+    """The features of all readings, stored by day, with their newest rows beside them."""
 
     def write() -> str:
         path = new_dir(spark, "features")
-        store.append_rows(_typed(compute_features(readings(spark, folder)), FEATURES_SCHEMA), path)
+        features = _typed(compute_features(readings(spark, folder)), FEATURES_SCHEMA).persist()
+        store.append_rows(features, path)
+        store.keep_newest(features, path)
+        features.unpersist()
         return path
 
-    return store.read_table(spark, once(spark, folder, "features", write))
+    return once(spark, folder, "features", write)
+
+
+def feature_table(spark: SparkSession, folder: str) -> DataFrame:
+    """The features of all readings, stored by day."""
+    return store.read_table(spark, _feature_path(spark, folder))
+
+
+def newest_features(spark: SparkSession, folder: str) -> DataFrame:
+    """The newest features of every series, kept by the job that stores features; no history is read."""
+    return store.newest_rows(spark, _feature_path(spark, folder))
 
 
 @query(

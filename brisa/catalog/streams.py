@@ -5,17 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructField, StructType
 
 from brisa.catalog import sql as S
 from brisa.catalog.advisories import alert_message_sql
 from brisa.catalog.registry import query
 from brisa.catalog.sources import payload_texts
-from brisa.plans.ingest import current_features
-from brisa.plans.readings import readings, table
+from brisa.plans.ingest import current_features, ingest_batch
+from brisa.plans.readings import events, readings, table
 from brisa.schemas import KEY, READINGS_SCHEMA, TIME
 from brisa.session import new_dir
 from brisa.sources.payload import parse_payloads
-from brisa.streaming import jobs
+from brisa.sources.store import newest_rows
+from brisa.streaming import jobs, keyed
 
 
 #: Payloads in a file of the source that the ingestion stream reads.
@@ -64,6 +66,67 @@ def _(spark, folder):
     return _ingested(spark, path)
 
 
+@query(
+    "newest_rows",
+    f"""{S.FT} SELECT {S.FEATURE_COLUMNS} FROM f QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY datetime DESC) = 1""",
+)
+def _(spark, folder):
+    """The table of newest rows after batches whose hours do not follow each other, one of them repeated."""
+    path = new_dir(spark, "newest")
+    every = readings(spark, folder)
+    third = F.dayofmonth(TIME) % 3
+    for number, part in enumerate((2, 0, 1, 1)):
+        ingest_batch(every.where(third == part), path, number)
+    return newest_rows(spark, f"{path}/features")
+
+
+def _out_of_order(spark: SparkSession, source: DataFrame, path: str) -> StructType:
+    """Files of a source, most days of the month before earlier ones, and then the row that ends it."""
+    schema = StructType([StructField(f.name, f.dataType) for f in source.schema.fields])
+    for low, high in ((20, 31), (8, 14), (15, 19), (1, 7)):
+        source.where(F.dayofmonth(TIME).between(low, high)).coalesce(1).write.mode("append").parquet(path)
+    keyed.end_marker(spark, path, schema)
+    return schema
+
+
+@query("stream_rolling_state", f"{S.FT} SELECT {S.FEATURE_COLUMNS} FROM f")
+def _(spark, folder):
+    """Reading files, one per micro-batch, many of them later than the watermark, against state that holds few rows."""
+    path = new_dir(spark, "rolling_state")
+    typed = readings(spark, folder).select([F.col(f.name).cast(f.dataType) for f in READINGS_SCHEMA.fields])
+    schema = _out_of_order(spark, typed, f"{path}/source")
+    stream = jobs.stream_files(spark, f"{path}/source", schema, "parquet", files_per_batch=1)
+    _finish(keyed.rolling_by_state(stream, path, "2 days"))
+    return keyed.rolling_features(spark, path)
+
+
+def _late_events(spark: SparkSession, folder: str, path: str) -> DataFrame:
+    source = events(spark, folder).select(F.col("user_id").alias(KEY), F.col("ts").alias(TIME), "event_id", "value")
+    schema = _out_of_order(spark, source, f"{path}/source")
+    return jobs.stream_files(spark, f"{path}/source", schema, "parquet", files_per_batch=1)
+
+
+@query("stream_dedup_state", "SELECT DISTINCT user_id AS series_id, date_trunc('hour', ts) AS datetime FROM events")
+def _(spark, folder):
+    """Keys of open hours in the state store; what the watermark has passed is told apart when the result is read."""
+    path = new_dir(spark, "dedup_state")
+    hourly = _late_events(spark, folder, path).select(KEY, F.date_trunc("hour", TIME).alias(TIME))
+    _finish(keyed.dedup_by_state(hourly, path, "2 days"))
+    return keyed.deduplicated(spark, path)
+
+
+@query(
+    "stream_hourly_state",
+    f"""SELECT user_id AS series_id, date_trunc('hour', ts) AS datetime, {S.r6("avg(value)")} AS mean,
+          count(value) AS count FROM events GROUP BY 1, 2""",
+)
+def _(spark, folder):
+    """Sums of open hours in the state store, put out when the watermark has passed them; late rows are added when read."""
+    path = new_dir(spark, "hourly_state")
+    _finish(keyed.hourly_by_state(_late_events(spark, folder, path), path, "value", "2 days"))
+    return keyed.closed_hourly_means(spark, path)
+
+
 @query("stream_dedup", "SELECT DISTINCT user_id AS series_id, date_trunc('hour', ts) AS datetime FROM events")
 def _(spark, folder):
     path = new_dir(spark, "dedup")

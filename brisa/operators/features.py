@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brisa.functions.calendar import calendar_fields, hour_floor
 from brisa.functions.numeric import without_nan
-from brisa.operators.shape import last_n_rows
 from brisa.operators.windows import change_rate, with_row_windows
 from brisa.schemas import (
     FEATURE_TYPES,
@@ -21,6 +20,7 @@ from brisa.schemas import (
 )
 
 
+DAY = "_day"
 # How many earlier rows the features of a row depend on.
 LOOKBACK_ROWS = max(ROLLING.values()) - 1
 
@@ -77,15 +77,18 @@ def lag_and_rolling(window: WindowSpec, value: str = TARGET) -> dict[str, Column
     return {"aqi_change_rate": change_rate(F.col(value), window), **means}
 
 
+def finished(windowed: DataFrame, label_type: str = "bigint") -> DataFrame:
+    """Complete rows with calendar and id, in the feature table's types."""
+    return coerce_types(add_event_id(add_calendar(drop_incomplete(windowed))), label_type)
+
+
 def compute_features(df: DataFrame, label_type: str = "bigint", **split) -> DataFrame:
     """All features of readings that are unique per (series, hour).
 
     Windows see the target as it was read; it is typed only afterwards, and
     incomplete rows leave after they have taken their place in the windows.
     """
-    windowed = with_row_windows(df, lag_and_rolling, [TARGET], LOOKBACK_ROWS, **split)
-    complete = drop_incomplete(windowed)
-    return coerce_types(add_event_id(add_calendar(complete)), label_type)
+    return finished(with_row_windows(df, lag_and_rolling, [TARGET], LOOKBACK_ROWS, **split), label_type)
 
 
 def drop_non_features(df: DataFrame, label: str = TARGET) -> DataFrame:
@@ -109,31 +112,54 @@ def split_label(df: DataFrame, label: str = TARGET) -> tuple[DataFrame, DataFram
     return df.drop(label), df.select(KEY, TIME, F.col(label))
 
 
+def neighbour_days(stored: DataFrame, touched: DataFrame, lookback: int = LOOKBACK_ROWS) -> DataFrame:
+    """(series, day) of the stored rows among the ``lookback`` rows before or after each touched day, and of that day.
+
+    Both arguments hold a series and a time; stored rows are counted map-side, and a series has a row per day here. A day is taken if fewer than
+    ``lookback`` stored rows lie between it and the nearest touched day on either side.
+    """
+    day = F.to_date(TIME).alias(DAY)
+    marks = stored.select(KEY, day, F.lit(1).alias("_n"), F.lit(0).alias("_new")).unionByName(
+        touched.select(KEY, day, F.lit(0).alias("_n"), F.lit(1).alias("_new"))
+    )
+    days = marks.groupBy(KEY, DAY).agg(F.sum("_n").alias("_n"), F.max("_new").alias("_new"))
+    in_order = Window.partitionBy(KEY).orderBy(DAY)
+    until, after = in_order.rowsBetween(Window.unboundedPreceding, 0), in_order.rowsBetween(0, Window.unboundedFollowing)
+    counted = days.withColumn("_so_far", F.sum("_n").over(until))
+    new = F.col("_new") == 1
+    last_new = F.last(F.when(new, F.col("_so_far")), True).over(until)
+    next_new = F.first(F.when(new, F.col("_so_far") - F.col("_n")), True).over(after)
+    since, until_next = F.col("_so_far") - F.col("_n") - last_new, next_new - F.col("_so_far")
+    found = counted.withColumn("_near", new | F.coalesce(since < lookback, F.lit(False)) | F.coalesce(until_next < lookback, F.lit(False)))
+    return found.where("_near AND _n > 0").select(KEY, DAY)
+
+
 def rows_for_new(stored: DataFrame, new: DataFrame) -> DataFrame:
     """The readings that the features of ``new`` need, with ``is_new``.
 
-    Per series these are the new rows, the stored rows from the first new hour
-    on (none unless a row is late), and the last 23 stored rows before it.
+    Per series these are the new rows and the stored rows of the days that hold the 23 rows before and after each
+    (see ``neighbour_days``), however long the series is. The stored rows are met by (series, day), never by series alone.
     """
     columns = new.columns
-    first_new = new.groupBy(KEY).agg(F.min(TIME).alias("_first_new"))
-    touched = stored.select(*columns).join(first_new, KEY)
-    later = touched.where(F.col(TIME) >= F.col("_first_new")).drop("_first_new")
-    before = last_n_rows(touched.where(F.col(TIME) < F.col("_first_new")).drop("_first_new"), LOOKBACK_ROWS)
-    old = later.unionByName(before).withColumn("is_new", F.lit(0))
-    return old.unionByName(new.withColumn("is_new", F.lit(1)))
+    days = neighbour_days(stored.select(KEY, TIME), new.select(KEY, TIME))
+    old = stored.select(*columns, F.to_date(TIME).alias(DAY)).join(days, [KEY, DAY], "left_semi").drop(DAY)
+    return old.withColumn("is_new", F.lit(0)).unionByName(new.withColumn("is_new", F.lit(1)))
 
 
-def affected_features(rows: DataFrame, label_type: str = "bigint", **split) -> DataFrame:
-    """Features of the new rows and of the 23 rows after each, which a late row changes too."""
+def affected_rows(rows: DataFrame, **split) -> DataFrame:
+    """The new rows and the 23 rows after each, which a late row changes too, with lag and rolling features."""
 
     def build(window: WindowSpec) -> dict[str, Column]:
         frame = window.rowsBetween(-LOOKBACK_ROWS, 0)
         return {**lag_and_rolling(window), "_affected": F.max("is_new").over(frame)}
 
     windowed = with_row_windows(rows, build, [TARGET, "is_new"], LOOKBACK_ROWS, **split)
-    affected = windowed.where(F.col("_affected") == 1).drop("_affected", "is_new")
-    return coerce_types(add_event_id(add_calendar(drop_incomplete(affected))), label_type)
+    return windowed.where(F.col("_affected") == 1).drop("_affected", "is_new")
+
+
+def affected_features(rows: DataFrame, label_type: str = "bigint", **split) -> DataFrame:
+    """All features of these rows."""
+    return finished(affected_rows(rows, **split), label_type)
 
 
 def incremental_features(

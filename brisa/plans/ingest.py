@@ -1,7 +1,8 @@
 """The ingestion job: payloads to the feature table, as a batch.
 
-Tables under a job's folder: ``readings`` and ``features`` by day, and what was not taken in: ``rejected``
-readings and ``payload_errors``.
+Tables under a job's folder: ``readings`` and ``features`` by day, ``features_newest`` with one row per series, and by number of the
+batch what was not taken in (``rejected`` readings, ``payload_errors``) and the findings of the checks (``checks``).
+A batch that is repeated under its number writes these again; it adds nothing to the others.
 """
 
 from __future__ import annotations
@@ -12,29 +13,28 @@ from datetime import date, timedelta
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brisa.operators.checks import in_range
-from brisa.operators.features import (
-    LOOKBACK_ROWS,
-    affected_features,
-    floor_to_hour,
-    rows_for_new,
-)
-from brisa.operators.shape import last_n_rows
+from brisa.operators.checks import in_range, validate
+from brisa.operators.features import LOOKBACK_ROWS, affected_features, floor_to_hour
 from brisa.operators.upsert import dedup, not_stored
-from brisa.schemas import KEY, READINGS_SCHEMA, TIME
+from brisa.schemas import KEY, READINGS_SCHEMA, REQUIRED_COLUMNS, TIME
+from brisa.session import enable_checkpoints
 from brisa.sources.payload import payload_errors
-from brisa.sources.store import DATE, append_rows, read_table
+from brisa.sources.store import DATE, REVISION, append_rows, keep_newest, read_table, stored_days
 
-REVISION = "revision"
-LOOKBACK_DAYS = 7
+#: Days around a new row whose stored rows are looked at first; series with too few rows there are looked at further on.
+REACHES = (2, 64, 65536)
+#: Stretches of days that are named in a filter one by one.
+STRETCHES = 100
 
 
 def typed_readings(raw: DataFrame) -> DataFrame:
     """Readings on full hours, with ``reason`` for those that cannot be taken in.
 
     Incomplete ones are taken in: they have their place in the windows, and only their features are left out.
-    NaN is a missing value.
+    NaN is a missing value. Without a required column no row can be taken in.
     """
+    absent = [c for c in [KEY, *REQUIRED_COLUMNS] if c not in raw.columns]
+    raw = raw.withColumns({c: F.lit(None) for c in absent}) if absent else raw
     missing = {
         f.name: F.when(~F.isnan(f.name), F.col(f.name))
         for f in raw.schema.fields
@@ -42,6 +42,8 @@ def typed_readings(raw: DataFrame) -> DataFrame:
     }
     known = raw.withColumns(missing) if missing else raw
     typed = floor_to_hour(known.select([F.col(f.name).cast(f.dataType) for f in READINGS_SCHEMA.fields]))
+    if absent:
+        return typed.withColumn("reason", F.lit("no column " + ", ".join(absent)))
     reason = F.when(F.col(KEY).isNull() | F.col(TIME).isNull(), "no key").when(~in_range(), "out of range")
     return typed.withColumn("reason", reason)
 
@@ -56,52 +58,102 @@ def rejected_readings(raw: DataFrame) -> DataFrame:
     return typed_readings(raw).where("reason IS NOT NULL")
 
 
-def needed_history(stored: DataFrame, fresh: DataFrame, first_day: date) -> DataFrame:
-    """The stored readings that the features of new rows can depend on.
+def _put(df: DataFrame, path: str, number: int) -> None:
+    """Rows of one batch; a repeat of the batch writes them again."""
+    df.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    Usually the day partitions shortly before the new rows hold enough rows of
-    every series. Only series that have fewer there are looked up further back.
+
+def _within(days: list[date], reach: int):
+    """Filter on the stored day: within so many days of one of the given."""
+    stretches: list[list[date]] = []
+    for day in days:
+        low, high = day - timedelta(days=min(reach, day.toordinal() - 1)), day + timedelta(days=min(reach, date.max.toordinal() - day.toordinal()))
+        if stretches and low <= stretches[-1][1] + timedelta(days=1):
+            stretches[-1][1] = high
+        else:
+            stretches.append([low, high])
+    if len(stretches) > STRETCHES:
+        stretches = [[stretches[0][0], stretches[-1][1]]]
+    inside = F.lit(False)
+    for low, high in stretches:
+        inside = inside | F.col(DATE).between(F.lit(low), F.lit(high))
+    return inside
+
+
+def neighbour_rows(stored: DataFrame, fresh: DataFrame, days: list[date], first: date, last: date) -> tuple[DataFrame, list[DataFrame]]:
+    """The stored readings around new ones, of each side of a new row's day the days that hold its 23 nearest rows; and what is persisted for it.
+
+    ``days`` are those of the new rows, ``first`` and ``last`` the ends of the stored table. Rounds look at more and more days around the new
+    rows, by (series, day); only new rows that have too few neighbours there take part in the next. No round reads more than its
+    days, and series that are met in the first round, as all are that have a row an hour, are not looked up again.
     """
-    start = F.lit(first_day - timedelta(days=LOOKBACK_DAYS))
-    first_new = fresh.groupBy(KEY).agg(F.min(TIME).alias("_first_new"))
-    recent = stored.where(F.col(DATE) >= start)
-    found = recent.join(first_new, KEY).where(F.col(TIME) < F.col("_first_new")).groupBy(KEY).count()
-    short = first_new.join(found.where(F.col("count") >= LOOKBACK_ROWS), KEY, "left_anti").select(KEY)
-    earlier = stored.where(F.col(DATE) < start)
-    if earlier.isEmpty() or short.isEmpty():
-        return recent
-    return recent.unionByName(last_n_rows(earlier.join(short, KEY, "left_semi"), LOOKBACK_ROWS))
-
-
-def keep_errors(payloads: DataFrame, path: str) -> None:
+    open_ = fresh.select(KEY, F.to_date(TIME).alias("_new")).distinct()
+    found, held = None, []
+    for reach in REACHES:
+        low, high = F.greatest(F.date_sub("_new", reach), F.lit(first)), F.least(F.date_add("_new", reach), F.lit(last))
+        near = open_.where(low <= high).select(KEY, "_new", F.explode(F.sequence(low, high)).alias(DATE))
+        some = stored.where(_within(days, reach))
+        counts = some.select(KEY, DATE).join(near, [KEY, DATE]).groupBy(KEY, "_new", DATE).agg(F.count(F.lit(1)).alias("_n"))
+        ordered = counts.groupBy(KEY, "_new").agg(F.collect_list(F.struct(DATE, "_n")).alias("_days")).persist()
+        held.append(ordered)
+        # Of a side, the days with fewer than 23 rows between them and the new row.
+        rows_of = "aggregate(filter(_days, e -> {0}), 0L, (s, e) -> s + e._n)"
+        between = rows_of.format("(e.date > d.date AND e.date < _new) OR (e.date < d.date AND e.date > _new)")
+        wanted = ordered.select(KEY, F.explode(F.expr(f"filter(_days, d -> {between} < {LOOKBACK_ROWS})")["date"]).alias(DATE)).distinct()
+        rows = some.join(wanted, [KEY, DATE], "left_semi")
+        found = rows if found is None else found.unionByName(rows)
+        before, after = (F.coalesce(F.expr(rows_of.format(f"e.date {sign} _new")), F.lit(0)) for sign in "<>")
+        few = (before < LOOKBACK_ROWS) & (F.date_sub("_new", reach) > F.lit(first))
+        few = few | ((after < LOOKBACK_ROWS) & (F.date_add("_new", reach) < F.lit(last)))
+        open_ = open_.join(ordered, [KEY, "_new"], "left").where(few).select(KEY, "_new").checkpoint()
+        if open_.isEmpty():
+            break
+    return found.drop(DATE).distinct(), held
+
+
+def keep_errors(payloads: DataFrame, path: str, number: int | None = None) -> None:
     """Store payloads that report an error."""
-    payload_errors(payloads).write.mode("append").parquet(f"{path}/payload_errors")
+    _put(payload_errors(payloads), f"{path}/payload_errors", time.time_ns() // 1000 if number is None else number)
 
 
-def ingest_batch(raw: DataFrame, path: str, revision: int | None = None) -> None:
+def ingest_batch(raw: DataFrame, path: str, revision: int | None = None, number: int | None = None) -> None:
     """Add a batch of raw readings to the tables under ``path``.
 
     Features are written first and readings last: if the job dies in between, a
     repeat finds the readings missing and writes the same features again, which
     ``current_features`` sees as one of the revisions of the same key. The revision is the time of
-    writing, so later ones win also after a new start or a backfill.
+    writing, so later ones win also after a new start or a backfill. ``number`` names the batch, by default by its revision.
     """
+    spark = raw.sparkSession
+    enable_checkpoints(spark)
     revision = time.time_ns() // 1000 if revision is None else revision
-    rejected_readings(raw).write.mode("append").parquet(f"{path}/rejected")
-    clean = clean_readings(raw).persist()
-    days = clean.agg(F.min(F.to_date(TIME)).alias("first"), F.max(F.to_date(TIME)).alias("last")).first()
-    if days["first"] is not None:
-        stored = read_table(raw.sparkSession, f"{path}/readings", READINGS_SCHEMA)
-        nearby = stored.where(F.col(DATE).between(F.lit(days["first"]), F.lit(days["last"])))
-        fresh = not_stored(clean, nearby).persist()
-        history = needed_history(stored, fresh, days["first"]).drop(DATE)
-        rows = rows_for_new(history, fresh).persist()
-        features = affected_features(rows).withColumn(REVISION, F.lit(revision).cast("bigint"))
+    number = revision if number is None else number
+    typed = typed_readings(raw).persist()
+    taken = F.col("reason").isNull().alias("taken")
+    counts = typed.groupBy(F.to_date(TIME).alias("day"), taken).count().collect()
+    if any(not row["taken"] for row in counts):
+        _put(typed.where("reason IS NOT NULL"), f"{path}/rejected", number)
+    days = sorted(row["day"] for row in counts if row["taken"])
+    if days:
+        fresh = dedup(typed.where("reason IS NULL").drop("reason"))
+        stored = read_table(spark, f"{path}/readings", READINGS_SCHEMA)
+        known, held = stored_days(spark, f"{path}/readings"), []
+        if known:
+            # Checkpoints cut the plans, which grow with every round otherwise.
+            fresh = not_stored(fresh, stored.where(_within(days, 0))).checkpoint()
+            old, held = neighbour_rows(stored, fresh, days, known[0], known[-1])
+            rows = old.withColumn("is_new", F.lit(0)).unionByName(fresh.withColumn("is_new", F.lit(1))).checkpoint()
+        else:
+            fresh = fresh.checkpoint()
+            rows = fresh.withColumn("is_new", F.lit(1))
+        features = affected_features(rows).withColumn(REVISION, F.lit(revision).cast("bigint")).persist()
+        _put(validate(features), f"{path}/checks", number)
         append_rows(features, f"{path}/features")
+        keep_newest(features, f"{path}/features", number)
         append_rows(fresh, f"{path}/readings")
-        rows.unpersist()
-        fresh.unpersist()
-    clean.unpersist()
+        for used in (features, *held):
+            used.unpersist()
+    typed.unpersist()
 
 
 def current_features(features: DataFrame) -> DataFrame:

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import re
+from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType, StructField, StructType
+from pyspark.sql.types import DateType, LongType, StructField, StructType
 
 from brisa.operators.upsert import dedup_upsert
 from brisa.schemas import FEATURES_SCHEMA, KEY, TARGET, TIME
@@ -14,7 +15,7 @@ from brisa.schemas import FEATURES_SCHEMA, KEY, TARGET, TIME
 DATE = "date"
 
 
-def _children(spark: SparkSession, path: str) -> list[str]:
+def children(spark: SparkSession, path: str) -> list[str]:
     """Names directly under a folder on whatever file system holds it."""
     jvm = spark.sparkContext._jvm
     folder = jvm.org.apache.hadoop.fs.Path(path)
@@ -30,11 +31,17 @@ def _children(spark: SparkSession, path: str) -> list[str]:
 def read_table(spark: SparkSession, path: str, schema: StructType = FEATURES_SCHEMA) -> DataFrame:
     """The stored rows with their ``date`` partition; an empty table where nothing is stored yet."""
     full = StructType([*schema.fields, StructField(DATE, DateType())])
-    if not any(name.startswith(f"{DATE}=") for name in _children(spark, path)):
+    if not any(name.startswith(f"{DATE}=") for name in children(spark, path)):
         return spark.createDataFrame([], full)
     return spark.read.schema(full).parquet(path)
 
 
+def stored_days(spark: SparkSession, path: str) -> list[date]:
+    """The days that a stored table has, in order."""
+    names = (re.fullmatch(rf"{DATE}=(\d{{4}}-\d{{2}}-\d{{2}})", name) for name in children(spark, path))
+    return sorted(date.fromisoformat(match.group(1)) for match in names if match)
+
+
 def append_rows(df: DataFrame, path: str) -> None:
     """Append, partitioned by day. Rebalancing splits a day that is too large for one file."""
     (
@@ -85,11 +92,47 @@ def history_window(df: DataFrame, days_back: int, end: Column | None = None) ->
     return between(df, end - F.make_dt_interval(F.lit(days_back)), end)
 
 
+# --- Newest rows ----------------------------------------------------------
+
+REVISION = "revision"
+
+
+def newest_path(path: str) -> str:
+    """Where a feature table's newest rows stand: beside it, so its days are all that lies in it."""
+    return f"{path}_newest"
+
+
+def _newest(df: DataFrame) -> DataFrame:
+    rest = [c for c in df.columns if c != KEY]
+    newest = F.max_by(F.struct(*rest), F.struct(TIME, REVISION))
+    return df.groupBy(KEY).agg(newest.alias("row")).select(KEY, "row.*").select(df.columns)
+
+
+def keep_newest(features: DataFrame, path: str, number: int = 0) -> None:
+    """Keep the newest row of each series among rows that a job adds to the feature table at ``path``; ``number`` counts its batches."""
+    from brisa.sources import tiers
+
+    if REVISION not in features.columns:
+        features = features.withColumn(REVISION, F.lit(0).cast("bigint"))
+    tiers.add_run(features, newest_path(path), number, _newest)
+
+
+def newest_rows(spark: SparkSession, path: str, schema: StructType = FEATURES_SCHEMA) -> DataFrame:
+    """The newest row of every series of the feature table at ``path``, also of one that has long been silent.
+
+    Reads a table of one row per series and tier, not the history.
+    """
+    from brisa.sources import tiers
+
+    full = StructType([*schema.fields, StructField(REVISION, LongType())])
+    return tiers.read_runs(spark, newest_path(path), full, _newest).drop(REVISION)
+
+
 # --- Training snapshots ---------------------------------------------------
 
 
 def snapshot_versions(spark: SparkSession, path: str) -> list[int]:
-    names = [re.fullmatch(r"td_version=(\d+)", name) for name in _children(spark, path)]
+    names = [re.fullmatch(r"td_version=(\d+)", name) for name in children(spark, path)]
     return sorted(int(match.group(1)) for match in names if match)
 
 

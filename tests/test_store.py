@@ -6,11 +6,13 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
+from brisa.operators import features
 from brisa.operators.features import compute_features
+from brisa.operators.shape import latest_row
 from brisa.plans import ingest
 from brisa.schemas import FEATURES_SCHEMA, KEY, READINGS_SCHEMA, TARGET, TIME
 from brisa.session import new_dir, shared_dir
-from brisa.sources import files, payload, store
+from brisa.sources import files, payload, store, tiers
 from tests.conftest import hours, same_rows
 from tests.test_windows import ragged
 
@@ -126,6 +128,79 @@ def test_rejected_readings_are_not_stored(spark, make_readings):
     assert sorted((r[TARGET], r["reason"]) for r in rejected) == [(v, "out of range") for v in (-1.0, 9.0, 9.0)]
 
 
+def windowed_rows(monkeypatch):
+    """The numbers of rows that windows are computed over from now on."""
+    counts, compute = [], features.affected_rows
+
+    def counting(rows, **split):
+        counts.append(rows.count())
+        return compute(rows, **split)
+
+    monkeypatch.setattr(features, "affected_rows", counting)
+    return counts
+
+
+def test_a_late_hour_in_a_long_series_windows_few_rows(spark, make_readings, monkeypatch):
+    every = make_readings([(1, h, h % 5) for h in range(5000)] + [(2, 40 * h, h % 3) for h in range(200)])
+    late = F.col(TIME).isin([hours(h) for h in (2500, 2520, 0)])
+    counts = windowed_rows(monkeypatch)
+    got = features.incremental_features(every.where(~late & (F.col(KEY) == 1)), every.where(late & (F.col(KEY) == 1)))
+    want = compute_features(every.where(F.col(KEY) == 1)).where(F.col(TIME).between(hours(2500), hours(2543)) | (F.col(TIME) <= hours(23)))
+    same_rows(got, want)
+    path = new_dir(spark, "ingest")
+    ingest.ingest_batch(every.where(~late), path, 0)
+    ingest.ingest_batch(every.where(late & (F.col(TIME) == hours(2500)) & (F.col(KEY) == 1)), path, 1)
+    ingest.ingest_batch(every.where(late), path, 2)
+    assert counts[0] < 200 and counts[2] < 100 and counts[3] < 600
+    got = ingest.current_features(spark.read.parquet(f"{path}/features").drop("date"))
+    same_rows(got, compute_features(every).select(got.columns))
+
+
+def test_neighbours_are_not_met_by_series_alone(spark, make_readings):
+    every = make_readings(ragged())
+    late = F.hour(TIME) == 5
+    plan = features.incremental_features(every.where(~late), every.where(late))._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert joins and all("_day" in line for line in joins)
+
+
+def test_newest_rows_equal_those_of_all_history(spark, make_readings, monkeypatch):
+    """Many batches in any order of time, a series that falls silent at once, a revised newest row."""
+    monkeypatch.setattr(tiers, "FAN", 2)
+    readings = make_readings([(1, h, h % 5) for h in range(60)] + [(2, 3, 1)] + [(3, 7 * h, h % 4) for h in range(30)])
+    path = new_dir(spark, "ingest")
+    for number, part in enumerate((5, 0, 3, 3, 1, 4, 2)):
+        ingest.ingest_batch(readings.where(F.floor(F.unix_timestamp(TIME) / 3600 / 11) % 6 == part), path, number)
+    table = ingest.current_features(spark.read.parquet(f"{path}/features").drop("date"))
+    newest = store.newest_rows(spark, f"{path}/features")
+    same_rows(newest, latest_row(table))
+    assert newest.count() == 3
+    assert len(tiers.runs(spark, store.newest_path(f"{path}/features"))) <= 3
+    read = newest._jdf.queryExecution().executedPlan().toString()
+    assert f"{path}/features_newest" in read and f"{path}/features/" not in read
+
+
+def test_a_repeated_batch_writes_its_quarantine_once(spark, make_readings):
+    path = new_dir(spark, "ingest")
+    bad = make_readings([(1, 0, 9), (1, 1, 2), (2, 1, 7)])
+    failed = payload.parse_payloads(spark.createDataFrame([('{"series_id": 9, "cod": "401", "message": "Invalid key"}',)], "value string"))
+    for _ in range(2):
+        ingest.keep_errors(failed, path, 4)
+        ingest.ingest_batch(bad, path, number=4)
+    assert spark.read.parquet(f"{path}/rejected").count() == 2
+    assert spark.read.parquet(f"{path}/payload_errors").count() == 1
+    assert spark.read.parquet(f"{path}/features").count() == 1
+    checks = {r["check"]: r["passed"] for r in spark.read.parquet(f"{path}/checks").collect()}
+    assert checks["aqi_0_4"] and checks["integer:aqi"] and len(checks) > 10
+
+
+def test_rows_without_a_required_column_are_rejected(spark, make_readings):
+    path = new_dir(spark, "ingest")
+    ingest.ingest_batch(make_readings([(1, 0, 1), (1, 1, 2)]).drop("pm10", "o3"), path, 0)
+    assert {r["reason"] for r in spark.read.parquet(f"{path}/rejected").collect()} == {"no column o3, pm10"}
+    assert store.read_table(spark, f"{path}/readings", READINGS_SCHEMA).count() == 0
+
+
 def test_incomplete_readings_keep_their_place_in_the_windows(spark, make_readings):
     readings = make_readings([(1, 0, 4), (1, 1, 0), (1, 2, 2), (1, 3, 4), (1, 4, 1)])
     gone = F.when(F.col(TIME) != F.lit(hours(1)), F.col("pm2_5"))
