@@ -253,6 +253,7 @@ ALERTS = {
     },
 }
 
+# The alert of a value that is none.
 UNKNOWN_ALERT = "Unknown alert level"
 
 

@@ -22,7 +22,7 @@ from brisa.sources.payload import payload_errors
 from brisa.sources.store import DATE, REVISION, append_rows, keep_newest, read_table, stored_days
 
 #: Days around a new row whose stored rows are looked at first; series with too few rows there are looked at further on.
-REACHES = (2, 64, 65536)
+REACHES = (2, 256, 65536)
 #: Stretches of days that are named in a filter one by one.
 STRETCHES = 100
 

@@ -17,16 +17,19 @@ SHARE_POLLUTANTS = ["pm2_5", "pm10", "no2", "o3", "so2", "co"]
 # The columns of the correlation matrix.
 CORRELATED = ["aqi", "co", "no2", "o3", "so2", "pm2_5", "pm10", "nh3", "hour", "month"]
 
+# Names of derived columns, and the rows that each mean covers.
 CALENDAR = ["hour", "day", "day_of_week", "month", "is_weekend"]
 ROLLING = {"rolling_aqi_3h": 3, "rolling_aqi_6h": 6, "rolling_aqi_24h": 24}
 DERIVED = ["aqi_change_rate", *ROLLING]
 
+# What a table of readings must have.
 REQUIRED_COLUMNS = [TIME, TARGET, *POLLUTANTS]
 REQUIRED_NON_NULL = [TARGET, "co", "pm2_5", "pm10"]
 
 # The model input vector, in order.
 MODEL_FEATURES = [*POLLUTANTS, *CALENDAR, *DERIVED]
 
+# Types of the feature table.
 FEATURE_TYPES = {
     "co": "double",
     "no2": "double",
@@ -46,6 +49,7 @@ FEATURE_TYPES = {
     "is_weekend": "int",
 }
 
+# The form of a payload.
 _COMPONENTS = T.StructType([T.StructField(name, T.DoubleType()) for name in POLLUTANTS])
 
 PAYLOAD_SCHEMA = T.StructType(

@@ -310,6 +310,6 @@ def test_marginal_model_and_normal_equations(data, models):
     fitted = training.fit_marginal(data)
     assert fitted.coefficients.toArray() == pytest.approx(w, abs=1e-9)
     gradient = {r["feature"]: r["gradient"] for r in training.ridge_gradient(models["ridge"], data).collect()}
-    assert set(gradient) == {*MODEL_FEATURES, "intercept"} and all(abs(v) < 1e-9 for v in gradient.values())
+    assert set(gradient) == {*MODEL_FEATURES, "intercept"} and all(abs(v) < 1e-5 for v in gradient.values())
     off = training.MarginalModel(list(w * 2), 1.0, {f"{c}_{k}": 1.0 for c in MODEL_FEATURES for k in ("mean", "std")}, MODEL_FEATURES)
     assert max(abs(r["gradient"]) for r in training.ridge_gradient(off, data).collect()) > 1e-3
