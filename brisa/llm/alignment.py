@@ -41,6 +41,8 @@ FAN = 16
 REMEMBERED, HELD, JOINED = 1 << 18, 1 << 21, 1 << 14
 #: Links of a group up to which they are listed one by one, before equal ones are counted.
 LISTED = 1 << 12
+#: Ranges whose units are encoded together.
+TOGETHER = 64
 #: Id pairs broadcast at a time.
 SLICE = 1 << 21
 
@@ -413,9 +415,8 @@ CHUNK_SCHEMA = pa.schema(
 )
 
 
-def ranged(text: str, begin: int, low: int, high: int, both: Tokenizers) -> tuple[int, int, Fragment] | None:
-    """Tokens of A and B that end in (low, high], and their fragment; ``begin`` is where the text's units begin."""
-    code = both.numbers(both.units(text))
+def ranged(code: np.ndarray, begin: int, low: int, high: int, both: Tokenizers) -> tuple[int, int, Fragment] | None:
+    """Tokens of A and B that end in (low, high], and their fragment, from the numbers of whole units, the first of which begins at ``begin``."""
     if not both.spelled[code].all():
         return None
     a, b = both.a_ids.of(code)[0], both.b_ids.of(code)[0]
@@ -444,10 +445,11 @@ def _fragments(chunks: DataFrame, paths: tuple[str, str]) -> DataFrame:
 
     def run(batches):
         both = tokenizers(paths)
-        for batch in batches:
-            rows = []
-            for begin, low, high, text in zip(*(batch.column(n).to_pylist() for n in ("begin", "low", "high", "text"))):
-                rows.append(_row(ranged(text, begin, low, high, both)))
+        for batch in (whole.slice(i, TOGETHER) for whole in batches for i in range(0, whole.num_rows, TOGETHER)):
+            units = [both.units(t) for t in batch.column("text").to_pylist()]
+            code = np.split(both.numbers(list(chain.from_iterable(units))), np.cumsum([len(u) for u in units])[:-1])
+            places = zip(*(batch.column(n).to_pylist() for n in ("begin", "low", "high")))
+            rows = [_row(ranged(c, *place, both)) for c, place in zip(code, places)]
             columns = [pa.array([r[i] for r in rows], field.type) for i, field in enumerate(_FRAGMENT)]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("key", "doc_id", "part")), *columns], ["key", "doc_id", "part", *_FRAGMENT.names])
 
