@@ -218,8 +218,8 @@ def rolling_means_by_time(
 ) -> DataFrame:
     """Trailing means over true hours, so a gap shortens the window instead of stretching it.
 
-    With ``many_per_second`` rows of one second are first added up, map-side, and the windows run over seconds, of which a chunk has
-    a bounded number however many rows it holds; each row then takes the means of its second.
+    With ``many_per_second`` rows of one second are first added up, map-side, and the windows run over seconds, in groups of an
+    hour however many rows it holds; each row then takes the means of its second.
     """
     if not many_per_second:
         return with_time_windows(
@@ -231,16 +231,48 @@ def rolling_means_by_time(
             **split,
         )
     keys, time = split.get("keys", (KEY,)), split.get("time", TIME)
-    second = F.timestamp_seconds(F.unix_timestamp(F.col(time).cast("timestamp"))).alias("_second")
+    second = F.unix_timestamp(F.col(time).cast("timestamp")).alias("_second")
     known = without_nan(F.col(value).cast("double"))
     sums = df.groupBy(*keys, second).agg(F.sum(known).alias("_sum"), F.count(known).alias("_count"))
+    means = _means_of_seconds(sums, hours, list(keys))
+    return df.withColumn("_second", second).join(means, [*keys, "_second"]).select(*df.columns, *hours)
 
-    def build(w: WindowSpec) -> dict[str, Column]:
-        frames = {name: w.rangeBetween(1 - n * 3600, 0) for name, n in hours.items()}
-        return {name: F.try_divide(F.sum("_sum").over(frame), F.sum("_count").over(frame)) for name, frame in frames.items()}
 
-    means = with_time_windows(sums, build, max(hours.values()) * 3600, **{**split, "time": "_second"})
-    return df.withColumn("_second", second).join(means.select(*keys, "_second", *hours), [*keys, "_second"]).select(*df.columns, *hours)
+def _means_of_seconds(sums: DataFrame, hours: dict[str, int], keys: list[str]) -> DataFrame:
+    """Trailing means for rows (keys, _second, _sum, _count), one per second; the work grows with the rows and not with the windows.
+
+    A window of n hours is what its own hour holds up to its second, the n - 1 whole hours before, and what the hour before those holds after
+    the same minute and second. The outer two are running sums in groups of an hour, in which seconds of later hours stand as questions.
+    """
+    hour, sizes = F.floor(F.col("_second") / 3600), sorted(set(hours.values()))
+    placed = F.array(
+        F.struct(hour.alias("_hour"), F.lit(0).alias("_n"), F.col("_sum").alias("_s"), F.col("_count").alias("_c")),
+        *[
+            F.struct((hour - n).alias("_hour"), F.lit(n).alias("_n"), F.lit(None).cast("double").alias("_s"), F.lit(0).cast("bigint").alias("_c"))
+            for n in sizes
+        ],
+    )
+    rows = sums.select(*keys, "_second", F.inline(placed)).withColumn("_place", F.col("_second") % 3600)
+    group = Window.partitionBy(*keys, "_hour")
+    until = group.orderBy("_place").rangeBetween(Window.unboundedPreceding, 0)
+    after = group.orderBy(F.col("_place").desc()).rangeBetween(Window.unboundedPreceding, -1)
+    own = F.col("_n") == 0
+    ends = rows.withColumns({f"_{c}end": F.when(own, F.sum(c).over(until)).otherwise(F.sum(c).over(after)) for c in ("_s", "_c")})
+    ends = ends.groupBy(*keys, "_second").agg(
+        *[F.max(F.when(F.col("_n") == n, F.col(f"_{c}end"))).alias(f"{c}{n}") for n in (0, *sizes) for c in ("_s", "_c")]
+    )
+    whole = sums.groupBy(*keys, hour.alias("_hour")).agg(F.sum("_sum").alias("_s"), F.sum("_count").alias("_c"))
+    later = whole.select(*keys, "_hour", "_s", "_c", F.explode(F.sequence(F.lit(0), F.lit(sizes[-1] - 1))).alias("_later"))
+    between = later.groupBy(*keys, (F.col("_hour") + F.col("_later")).alias("_hour")).agg(
+        *[
+            F.sum(F.when((F.col("_later") > 0) & (F.col("_later") < n), F.col(c))).alias(f"{c}{n}whole")
+            for n in sizes
+            for c in ("_s", "_c")
+        ]
+    )
+    total = lambda c, n: sum((F.coalesce(F.col(x), F.lit(0)) for x in (f"{c}0", f"{c}{n}whole", f"{c}{n}")), F.lit(0))
+    found = ends.withColumn("_hour", hour).join(between, [*keys, "_hour"])
+    return found.select(*keys, "_second", *[F.try_divide(total("_s", n), total("_c", n)).alias(name) for name, n in hours.items()])
 
 
 def with_previous(df: DataFrame, columns: dict[str, str], **split) -> DataFrame:

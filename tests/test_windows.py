@@ -2,6 +2,7 @@
 
 import datetime
 import random
+import re
 
 import pytest
 from pyspark.sql import Window
@@ -88,6 +89,15 @@ def test_time_windows_over_seconds_equal_plain_windows(spark, chunk_hours):
     same_rows(got.select("event_id", *sizes), want.select("event_id", *sizes))
 
 
+def test_windows_over_seconds_add_each_row_a_fixed_number_of_times(spark):
+    """A frame that slides over the seconds of a day is added up anew for each row; running sums start where their group does."""
+    rows = spark.range(10).selectExpr("1L AS series_id", "timestamp_seconds(id * 1000) AS datetime", "double(id) AS aqi")
+    means = windows.rolling_means_by_time(rows, {"mean_3h": 3, "mean_24h": 24}, many_per_second=True)
+    plan = means._jdf.queryExecution().optimizedPlan().toString()
+    frames = re.findall(r"specifiedwindowframe\((\w+), (\S+),", plan)
+    assert frames and all(low == "unboundedpreceding$()" for _, low in frames)
+
+
 @pytest.mark.parametrize("chunk_hours", [1, 7, 24 * 90])
 def test_next_equals_lead(make_readings, chunk_hours):
     df = make_readings(ragged()).select(KEY, TIME, TARGET)
