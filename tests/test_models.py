@@ -313,3 +313,15 @@ def test_marginal_model_and_normal_equations(data, models):
     assert set(gradient) == {*MODEL_FEATURES, "intercept"} and all(abs(v) < 1e-5 for v in gradient.values())
     off = training.MarginalModel(list(w * 2), 1.0, {f"{c}_{k}": 1.0 for c in MODEL_FEATURES for k in ("mean", "std")}, MODEL_FEATURES)
     assert max(abs(r["gradient"]) for r in training.ridge_gradient(off, data).collect()) > 1e-3
+
+
+def test_models_are_compared_once(spark, monkeypatch):
+    """What is derived from a comparison reads its rows and scores nothing again."""
+    from brisa.catalog import models
+
+    folder = "/root/testdata/sf0.001"
+    monkeypatch.setattr(models, "model", lambda spark, folder, name: models.marginal(spark, folder))
+    rows = models.comparison(spark, folder)
+    reduced = training.error_reduction(rows)
+    assert "sum" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    assert reduced.inputFiles() and all("/comparison-" in name for name in reduced.inputFiles())
