@@ -20,8 +20,16 @@ from brisa.sources.store import newest_rows
 from brisa.streaming import jobs, keyed
 
 
-#: Payloads in a file of the source that the ingestion stream reads.
-FILE_ROWS = 10_000
+#: Events behind a file of a source that a stream reads in several micro-batches, and the most files of such a source: larger tables
+#: have larger files, so the number of micro-batches, each of which looks at what is stored, does not grow.
+FILE_ROWS, FILES = 10_000, 12
+#: Events behind each of the files that make up one micro-batch.
+TASK_ROWS = 500_000
+
+
+def _files(spark: SparkSession, folder: str, rows: int, most: int | None = None) -> int:
+    files = max(1, -(-table(spark, folder, "events").count() // rows))
+    return files if most is None else min(files, most)
 
 
 def _finish(running: StreamingQuery) -> None:
@@ -44,8 +52,8 @@ def _ingested(spark: SparkSession, path: str) -> DataFrame:
 def stream_ingest(spark, folder):
     """Payload files, two per micro-batch, in any order of time."""
     path = new_dir(spark, "ingest")
-    texts = payload_texts(spark, folder).write.option("compression", "none").option("maxRecordsPerFile", FILE_ROWS)
-    texts.text(f"{path}/payloads")
+    texts = payload_texts(spark, folder).repartition(_files(spark, folder, FILE_ROWS, FILES))
+    texts.write.option("compression", "none").text(f"{path}/payloads")
     stream = jobs.stream_files(
         spark, f"{path}/payloads", spark.read.text(f"{path}/payloads").schema, "text", files_per_batch=2
     )
@@ -59,8 +67,9 @@ def _(spark, folder):
     path = new_dir(spark, "rolling")
     typed = readings(spark, folder).select([F.col(f.name).cast(f.dataType) for f in READINGS_SCHEMA.fields])
     late = F.col(TIME) < F.lit("2024-01-16").cast("timestamp")
+    files = _files(spark, folder, 10 * FILE_ROWS, FILES // 3)
     for part in (~late, late):
-        typed.where(part).write.mode("append").parquet(f"{path}/source")
+        typed.where(part).repartition(files).write.mode("append").parquet(f"{path}/source")
     stream = jobs.stream_files(spark, f"{path}/source", READINGS_SCHEMA, "parquet", files_per_batch=1)
     _finish(jobs.stream_ingest(stream, path))
     return _ingested(spark, path)
@@ -80,30 +89,32 @@ def _(spark, folder):
     return newest_rows(spark, f"{path}/features")
 
 
-def _out_of_order(spark: SparkSession, source: DataFrame, path: str) -> StructType:
-    """Files of a source, most days of the month before earlier ones, and then the row that ends it."""
+def _out_of_order(spark: SparkSession, source: DataFrame, path: str, files: int) -> StructType:
+    """Files of a source, most days of the month before earlier ones, and then the row that ends it; so many files to a part."""
     schema = StructType([StructField(f.name, f.dataType) for f in source.schema.fields])
     for low, high in ((20, 31), (8, 14), (15, 19), (1, 7)):
-        source.where(F.dayofmonth(TIME).between(low, high)).coalesce(1).write.mode("append").parquet(path)
+        source.where(F.dayofmonth(TIME).between(low, high)).repartition(files).write.mode("append").parquet(path)
     keyed.end_marker(spark, path, schema)
     return schema
 
 
 @query("stream_rolling_state", f"{S.FT} SELECT {S.FEATURE_COLUMNS} FROM f")
 def _(spark, folder):
-    """Reading files, one per micro-batch, many of them later than the watermark, against state that holds few rows."""
+    """Parts of the readings, one per micro-batch, many of them later than the watermark, against state that holds few rows."""
     path = new_dir(spark, "rolling_state")
     typed = readings(spark, folder).select([F.col(f.name).cast(f.dataType) for f in READINGS_SCHEMA.fields])
-    schema = _out_of_order(spark, typed, f"{path}/source")
-    stream = jobs.stream_files(spark, f"{path}/source", schema, "parquet", files_per_batch=1)
+    files = _files(spark, folder, TASK_ROWS)
+    schema = _out_of_order(spark, typed, f"{path}/source", files)
+    stream = jobs.stream_files(spark, f"{path}/source", schema, "parquet", files_per_batch=files)
     _finish(keyed.rolling_by_state(stream, path, "2 days"))
     return keyed.rolling_features(spark, path)
 
 
 def _late_events(spark: SparkSession, folder: str, path: str) -> DataFrame:
     source = events(spark, folder).select(F.col("user_id").alias(KEY), F.col("ts").alias(TIME), "event_id", "value")
-    schema = _out_of_order(spark, source, f"{path}/source")
-    return jobs.stream_files(spark, f"{path}/source", schema, "parquet", files_per_batch=1)
+    files = _files(spark, folder, TASK_ROWS)
+    schema = _out_of_order(spark, source, f"{path}/source", files)
+    return jobs.stream_files(spark, f"{path}/source", schema, "parquet", files_per_batch=files)
 
 
 @query("stream_dedup_state", "SELECT DISTINCT user_id AS series_id, date_trunc('hour', ts) AS datetime FROM events")

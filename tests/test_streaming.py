@@ -159,3 +159,35 @@ def test_hourly_sums_of_many_micro_batches(spark, make_readings, monkeypatch):
     assert means() == want
     found = tiers.runs(spark, f"{path}/sums")
     assert sum(3**tier for tier, _ in found) >= 10 and len(found) <= 6 and max(tier for tier, _ in found) == 2
+
+
+def test_ticks_go_no_further_than_the_watermark(spark, make_readings):
+    """Only data rows reach the state, each once."""
+    readings = make_readings(ragged())
+    assert keyed.with_clock(readings, "1 hour").count() == readings.count()
+
+
+def test_sources_of_larger_tables_have_larger_files(spark, monkeypatch):
+    """The number of micro-batches follows neither from the number of tasks nor from that of rows."""
+    from brisa.catalog import QUERIES, streams
+
+    class Seen(Exception):
+        pass
+
+    def seen(spark, folder, schema, kind, **_):
+        raise Seen(len(spark.read.format(kind).schema(schema).load(folder).inputFiles()))
+
+    monkeypatch.setattr(jobs, "stream_files", seen)
+    monkeypatch.setattr(streams, "FILE_ROWS", 10)
+    settings = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {name: spark.conf.get(name) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        for name in ("stream_ingest", "stream_rolling_features"):
+            with pytest.raises(Seen) as found:
+                QUERIES[name](spark, "/root/testdata/sf0.001")
+            assert found.value.args[0] <= streams.FILES
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
