@@ -10,7 +10,7 @@ from __future__ import annotations
 import time
 from datetime import date, timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brisa.operators.checks import in_range, validate
@@ -80,35 +80,50 @@ def _within(days: list[date], reach: int):
     return inside
 
 
-def neighbour_rows(stored: DataFrame, fresh: DataFrame, days: list[date], first: date, last: date) -> tuple[DataFrame, list[DataFrame]]:
-    """The stored readings around new ones, of each side of a new row's day the days that hold its 23 nearest rows; and what is persisted for it.
+def neighbour_rows(stored: DataFrame, fresh: DataFrame, days: list[date], first: date, last: date) -> DataFrame:
+    """The stored readings around new ones, of each side of a new row's day the days that hold its 23 nearest rows.
 
     ``days`` are those of the new rows, ``first`` and ``last`` the ends of the stored table. Rounds look at more and more days around the new
     rows, by (series, day); only new rows that have too few neighbours there take part in the next. No round reads more than its
     days, and series that are met in the first round, as all are that have a row an hour, are not looked up again.
+
+    Stored rows are counted by day where they are read. A day is held against the nearest new day on either side only, by running counts
+    over the series' days: a farther one has at least as many rows between.
     """
-    open_ = fresh.select(KEY, F.to_date(TIME).alias("_new")).distinct()
-    found, held = None, []
+    open_ = fresh.select(KEY, F.to_date(TIME).alias(DATE)).distinct()
+    found = None
+    in_order = Window.partitionBy(KEY).orderBy("_day")
+    until, after = in_order.rowsBetween(Window.unboundedPreceding, 0), in_order.rowsBetween(0, Window.unboundedFollowing)
     for reach in REACHES:
-        low, high = F.greatest(F.date_sub("_new", reach), F.lit(first)), F.least(F.date_add("_new", reach), F.lit(last))
-        near = open_.where(low <= high).select(KEY, "_new", F.explode(F.sequence(low, high)).alias(DATE))
         some = stored.where(_within(days, reach))
-        counts = some.select(KEY, DATE).join(near, [KEY, DATE]).groupBy(KEY, "_new", DATE).agg(F.count(F.lit(1)).alias("_n"))
-        ordered = counts.groupBy(KEY, "_new").agg(F.collect_list(F.struct(DATE, "_n")).alias("_days")).persist()
-        held.append(ordered)
-        # Of a side, the days with fewer than 23 rows between them and the new row.
-        rows_of = "aggregate(filter(_days, e -> {0}), 0L, (s, e) -> s + e._n)"
-        between = rows_of.format("(e.date > d.date AND e.date < _new) OR (e.date < d.date AND e.date > _new)")
-        wanted = ordered.select(KEY, F.explode(F.expr(f"filter(_days, d -> {between} < {LOOKBACK_ROWS})")["date"]).alias(DATE)).distinct()
-        rows = some.join(wanted, [KEY, DATE], "left_semi")
+        counts = some.groupBy(KEY, DATE).agg(F.count(F.lit(1)).alias("_n"))
+        marks = counts.withColumn("_new", F.lit(False)).unionByName(open_.select(KEY, DATE, F.lit(0).alias("_n"), F.lit(True).alias("_new")))
+        by_day = marks.groupBy(KEY, DATE).agg(F.sum("_n").alias("_n"), F.max("_new").alias("_new"))
+        so_far = by_day.withColumn("_day", F.unix_date(DATE)).withColumn("_so_far", F.sum("_n").over(until))
+        mark = lambda rows: F.when(F.col("_new"), F.struct(F.col("_day").alias("day"), rows.alias("rows")))
+        sides = so_far.withColumns(
+            {
+                "_last": F.last(mark(F.col("_so_far")), True).over(until),
+                "_next": F.first(mark(F.col("_so_far") - F.col("_n")), True).over(after),
+                "_before": F.sum("_n").over(in_order.rangeBetween(-reach, -1)),
+                "_after": F.sum("_n").over(in_order.rangeBetween(1, reach)),
+            }
+        )
+        # Rows strictly between the day and the nearest new day on either side.
+        since, to_next = F.col("_so_far") - F.col("_n") - F.col("_last.rows"), F.col("_next.rows") - F.col("_so_far")
+        near = (since < LOOKBACK_ROWS) & (F.col("_day") - F.col("_last.day") <= reach)
+        near_next = (to_next < LOOKBACK_ROWS) & (F.col("_next.day") - F.col("_day") <= reach)
+        wanted_ = F.col("_new") | F.coalesce(near, F.lit(False)) | F.coalesce(near_next, F.lit(False))
+        few = (F.coalesce("_before", F.lit(0)) < LOOKBACK_ROWS) & (F.date_sub(DATE, reach) > F.lit(first))
+        few = few | ((F.coalesce("_after", F.lit(0)) < LOOKBACK_ROWS) & (F.date_add(DATE, reach) < F.lit(last)))
+        ordered = sides.select(KEY, DATE, ((F.col("_n") > 0) & wanted_).alias("_wanted"), (F.col("_new") & few).alias("_few"))
+        ordered = ordered.where("_wanted OR _few").checkpoint()
+        rows = some.join(ordered.where("_wanted").select(KEY, DATE), [KEY, DATE], "left_semi")
         found = rows if found is None else found.unionByName(rows)
-        before, after = (F.coalesce(F.expr(rows_of.format(f"e.date {sign} _new")), F.lit(0)) for sign in "<>")
-        few = (before < LOOKBACK_ROWS) & (F.date_sub("_new", reach) > F.lit(first))
-        few = few | ((after < LOOKBACK_ROWS) & (F.date_add("_new", reach) < F.lit(last)))
-        open_ = open_.join(ordered, [KEY, "_new"], "left").where(few).select(KEY, "_new").checkpoint()
+        open_ = ordered.where("_few").select(KEY, DATE)
         if open_.isEmpty():
             break
-    return found.drop(DATE).distinct(), held
+    return found.drop(DATE).distinct()
 
 
 def keep_errors(payloads: DataFrame, path: str, number: int | None = None) -> None:
@@ -137,22 +152,21 @@ def ingest_batch(raw: DataFrame, path: str, revision: int | None = None, number:
     if days:
         fresh = dedup(typed.where("reason IS NULL").drop("reason"))
         stored = read_table(spark, f"{path}/readings", READINGS_SCHEMA)
-        known, held = stored_days(spark, f"{path}/readings"), []
+        known = stored_days(spark, f"{path}/readings")
         if known:
-            # Checkpoints cut the plans, which grow with every round otherwise.
+            # Checkpoints cut the plans, which grow with every round otherwise, and have as many parts as their rows need: a cached plan keeps all
+            # partitions of its shuffles, however few rows a batch has.
             fresh = not_stored(fresh, stored.where(_within(days, 0))).checkpoint()
-            old, held = neighbour_rows(stored, fresh, days, known[0], known[-1])
+            old = neighbour_rows(stored, fresh, days, known[0], known[-1])
             rows = old.withColumn("is_new", F.lit(0)).unionByName(fresh.withColumn("is_new", F.lit(1))).checkpoint()
         else:
             fresh = fresh.checkpoint()
             rows = fresh.withColumn("is_new", F.lit(1))
-        features = affected_features(rows).withColumn(REVISION, F.lit(revision).cast("bigint")).persist()
+        features = affected_features(rows).withColumn(REVISION, F.lit(revision).cast("bigint")).checkpoint()
         _put(validate(features), f"{path}/checks", number)
         append_rows(features, f"{path}/features")
         keep_newest(features, f"{path}/features", number)
         append_rows(fresh, f"{path}/readings")
-        for used in (features, *held):
-            used.unpersist()
     typed.unpersist()
 
 

@@ -231,3 +231,38 @@ def test_only_a_local_master_may_make_its_own_folder():
         with pytest.raises(ValueError):
             shared_dir(session_stub(cluster))
     assert shared_dir(session_stub("local[2]")) == shared_dir(session_stub("local[2]"))
+
+
+def test_a_small_batch_has_few_parts(spark, make_readings, monkeypatch):
+    """Steps of a batch after the first have as many parts as their rows need, not as shuffles have partitions."""
+    parts, append = [], ingest.append_rows
+    monkeypatch.setattr(ingest, "append_rows", lambda df, path: (parts.append(df.rdd.getNumPartitions()), append(df, path)))
+    before, path = spark.conf.get("spark.sql.shuffle.partitions"), new_dir(spark, "job")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        for number, offset in enumerate((30, 0)):
+            ingest.ingest_batch(make_readings([(s, h * 7 + offset, h % 5) for s in range(3) for h in range(30)]), path, number)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(parts) == 4 and max(parts) < 40
+
+
+def test_neighbour_rows_are_those_of_the_nearest_days(spark, make_readings):
+    """Against plain Python, for series of a row an hour, a day, a fortnight and of one row only, and new days beside and far from stored ones."""
+    steps = {1: 1, 2: 24, 3: 24 * 14, 4: 24 * 400}
+    stored = [(s, h, 1) for s, step in steps.items() for h in range(0, 24 * 700, step) if not 4000 < h < 4100]
+    fresh = [(s, h, 2) for s in (*steps, 5) for h in (4030, 4050, 24 * 365 + 1, 24 * 701)]
+    table = make_readings(stored).withColumn("date", F.to_date(TIME))
+    new = make_readings(fresh)
+    days = lambda df: sorted(r[0] for r in df.select(F.to_date(TIME)).distinct().collect())
+    ends = days(table)
+    got = ingest.neighbour_rows(table, new, days(new), ends[0], ends[-1])
+    want = set()
+    for s in steps:
+        held = sorted(h // 24 for t, h, _ in stored if t == s)
+        for at in {h // 24 for t, h, _ in fresh if t == s}:
+            before, after = [d for d in held if d < at], [d for d in held if d > at]
+            low, high = before[-23:][:1] or [at], after[:23][-1:] or [at]
+            want |= {(s, h) for t, h, _ in stored if t == s and low[0] <= h // 24 <= high[0]}
+    found = {(r[KEY], int((r[TIME] - hours(0)).total_seconds()) // 3600) for r in got.collect()}
+    assert found == want and got.count() == len(want)
