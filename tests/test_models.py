@@ -302,6 +302,29 @@ def test_tree_contributions_add_up_to_the_prediction(data, models, kind):
     assert all(r["n"] == len(MODEL_FEATURES) and r["whole"] == pytest.approx(r["prediction"], abs=1e-9) for r in both)
 
 
+def test_leaves_are_gone_through_once_per_cell(spark, data, monkeypatch):
+    """Rows between the same thresholds share their values, whatever way cells are numbered; values on a threshold, NaN and infinities too."""
+    names = ["co", "hour", "rolling_aqi_3h", "pm10"]
+    fitted = training.train_models(data, SMALL, only=("gradient_boosting",), names=names)["gradient_boosting"]
+    nodes = attribution.node_table(fitted, spark).collect()
+    trees, _ = attribution.leaves_of(nodes)
+    cuts = [sorted({n["threshold"] for n in nodes if n["left"] >= 0 and n["feature"] == f}) for f in range(4)]
+    assert min(len(c) for c in cuts) >= 1
+    edges = [[v for t in c for v in (t, np.nextafter(t, 9e9))] + [-np.inf, np.inf] for c in cuts]
+    x = np.array([[e[(i * k) % len(e)] for e, k in zip(edges, (1, 3, 5, 7))] for i in range(60)])
+    for row, one in zip(x[:12], attribution.Scorer(trees, 4).of(x[:12])):
+        assert one == pytest.approx(shapley(nodes, row, 4)[0], abs=1e-9)
+    x = np.vstack([x, np.where(np.arange(4) == np.arange(4)[:, None], np.nan, x[:4])])
+    plain = sum(attribution.Tree(groups, 4).of(x) for groups in trees)
+    seen = []
+    whole = attribution.Tree.of
+    monkeypatch.setattr(attribution.Tree, "of", lambda self, rows: seen.append(len(rows)) or whole(self, rows))
+    for cells in (attribution.CELLS, 1):
+        monkeypatch.setattr(attribution, "CELLS", cells)
+        assert attribution.Scorer(trees, 4).of(np.tile(x, (50, 1))) == pytest.approx(np.tile(plain, (50, 1)), abs=1e-12)
+    assert len(seen) == 2 * len(trees) and max(seen) <= len(x)
+
+
 def test_marginal_model_and_normal_equations(data, models):
     x, y, train = arrays(data)
     z = (x - x[train].mean(0)) / np.where(np.ptp(x[train], 0) > 0, x[train].std(0), 1.0)
