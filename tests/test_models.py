@@ -184,6 +184,16 @@ def test_importances(data, features, models):
     assert sum(r["impact"] == "High" for r in impact) == 15
 
 
+def test_inputs_of_equal_weight_rank_by_name(spark, data):
+    """Two multiples of one input: which of them is larger by the last digits depends on the order of sums."""
+
+    names = ["co", "pm2_5", "a"]
+    moments = {f"{n}_{k}": 1.0 for n in names for k in ("mean", "std")}
+    for weights in ([0.1, np.nextafter(0.1, 1), 0.2], [np.nextafter(0.1, 1), 0.1, 0.2]):
+        rows = explain.feature_importance(training.MarginalModel(weights, 0.0, moments, names), data, names).orderBy("rank").collect()
+        assert [r["feature"] for r in rows] == ["a", "co", "pm2_5"]
+
+
 def test_linear_contributions_sum_to_the_prediction(data, models):
     rows = explain.linear_contributions(models["ridge"], data)
     sums = rows.groupBy(KEY, TIME).agg(F.sum("contribution").alias("total"))
