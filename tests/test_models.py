@@ -101,6 +101,17 @@ def test_training_again_gives_the_same(data, models):
     assert first == second
 
 
+def test_partitions_follow_the_training_rows(data, monkeypatch):
+    """A task reads about as many rows however many there are; a small table keeps the fixed number."""
+    found = []
+    monkeypatch.setattr(training, "fit_model", lambda train, *_: found.append([len(p) for p in train.select(KEY).rdd.glom().collect()]))
+    rows = data.where("is_train").count()
+    training.train_models(data, training.ModelSettings(rows_per_partition=20), only=("random_forest",))
+    training.train_models(data, training.ModelSettings(), only=("random_forest",))
+    assert len(found[0]) == -(-rows // 20) > 8 and len(found[1]) == 8
+    assert sum(found[0]) == sum(found[1]) == rows and max(found[0]) < 60
+
+
 def test_saved_model_predicts_the_same(data, models, tmp_path):
     from pyspark.ml import PipelineModel
 
