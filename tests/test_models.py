@@ -10,7 +10,7 @@ from brisa.operators import metrics
 from brisa.operators.features import compute_features
 from brisa.operators.forecast import forecast_heuristic, forecast_kpis
 from brisa.operators.shape import latest_row
-from brisa.plans import attribution, explain, training
+from brisa.plans import attribution, explain, swaps, training
 from brisa.schemas import KEY, MODEL_FEATURES, TARGET, TIME
 
 SMALL = training.ModelSettings(forest_trees=5, forest_depth=6, boosting_rounds=5, boosting_rate=0.3)
@@ -226,6 +226,45 @@ def test_permutation_importance(data, models):
     assert max(r["r2_loss"] for r in rows.values()) > 0.01
 
 
+@pytest.mark.parametrize("kind", ["gradient_boosting", "random_forest"])
+def test_swapped_inputs_are_scored_as_by_the_model(spark, data, models, kind, monkeypatch):
+    """Each input in turn from another row, also on a threshold: what the model itself predicts for such a row."""
+    monkeypatch.setattr(swaps, "ROWS", 64)
+    rows = data.orderBy(KEY, TIME).limit(40).toPandas()
+    others = rows.iloc[::-1].reset_index(drop=True)
+    pairs = rows.join(others[MODEL_FEATURES].add_prefix("o_"))
+    pairs[training.LABEL] = np.arange(40.0)
+    found = swaps.swapped_predictions(models[kind], spark.createDataFrame(pairs), {n: f"o_{n}" for n in MODEL_FEATURES}, MODEL_FEATURES)
+    got = {(r[swaps.VARIANT], r[training.LABEL]): r["prediction"] for r in found.collect()}
+    assert len(got) == 40 * (len(MODEL_FEATURES) + 1)
+    parts = []
+    for i in range(-1, len(MODEL_FEATURES)):
+        part = pairs[[KEY, TIME, training.LABEL, *MODEL_FEATURES]].copy()
+        if i >= 0:
+            part[MODEL_FEATURES[i]] = pairs[f"o_{MODEL_FEATURES[i]}"]
+        parts.append(part.assign(variant=i))
+    import pandas as pd
+
+    for r in models[kind].transform(spark.createDataFrame(pd.concat(parts))).collect():
+        assert got[r["variant"], r[training.LABEL]] == pytest.approx(r["prediction"], abs=1e-9)
+    trees = swaps.Trees.of(models[kind], spark)
+    cuts = [np.unique(trees.threshold[(trees.feature == f) & ~trees.leaf]) for f in range(len(MODEL_FEATURES))]
+    edges = [[v for t in c for v in (t, np.nextafter(t, 9e9))] or [0.0] for c in cuts]
+    x, other = (np.array([[e[(i * k + f) % len(e)] for f, e in enumerate(edges)] for i in range(50)]) for k in (1, 3))
+    whole = trees.swapped(x, other)
+    for f in range(len(MODEL_FEATURES)):
+        changed = x.copy()
+        changed[:, f] = other[:, f]
+        assert whole[f + 1] == pytest.approx(trees.swapped(changed, changed)[0], abs=1e-9)
+
+
+def test_permutation_scores_a_row_once(data, models):
+    """Rows are not multiplied by the inputs before the trees see them."""
+    plan = explain.permutation_importance(models["random_forest"], data)._jdf.queryExecution().optimizedPlan().toString()
+    before = plan[plan.index("MapInArrow"):]
+    assert "_variant" not in before and "UDF(features" not in plan
+
+
 def test_split(data):
     share = data.agg(F.avg(F.col("is_train").cast("int"))).first()[0]
     assert 0.7 < share < 0.9
